@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import bitplane, packing, transducer, warc
+from heronlake.llm import bitplane, jaccard, kdtree, linewinnow, packing, transducer, warc
 from heronlake.llm.common import read_table
 from heronlake.llm.tokens import tokenizer_path
 
@@ -13,6 +13,11 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_files_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kdtree.quantised(read_table(spark, sf_dir, "embeddings"))
+    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -21,13 +26,30 @@ def op5_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(read_table(spark, sf_dir, "documents"), size=5, num=80, den=100)
+
+
+def op9_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return linewinnow.dedup_lines(docs, min_words=50, gram_words=25, removed="lines_removed").select("doc_id", "lines_removed", "text")
+
+
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op3_best_fit_packing, op5_transducer_counts, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_kdtree_topk, op3_best_fit_packing, op5_transducer_counts, op8_ngram_jaccard, op9_winnow_lines, op10_warc_bundles)}
 
 ORACLE_SQL = {
+    "op2_kdtree_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op10_warc_bundles": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
