@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import bitplane, jaccard, kdtree, linewinnow, packing, transducer, warc
+from heronlake.llm import bitplane, jaccard, kdtree, langid, linewinnow, packing, templates, transducer, warc
 from heronlake.llm.common import read_table
 from heronlake.llm.tokens import tokenizer_path
 
@@ -26,6 +26,20 @@ def op5_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=8, cover=0.5)
+
+
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"), declared="lang", host="source").drop("row_hash")
+
+
+def language_fusion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence for raw pages: markup language, address suffix, host."""
+    rows = langid.page_rows(read_table(spark, sf_dir, "pages"))
+    return langid.identify(rows, declared="declared", host="host", suffix="suffix", label="declared").drop("row_hash").withColumnRenamed("doc_id", "page_id")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(read_table(spark, sf_dir, "documents"), size=5, num=80, den=100)
 
@@ -39,7 +53,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_kdtree_topk, op3_best_fit_packing, op5_transducer_counts, op8_ngram_jaccard, op9_winnow_lines, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_kdtree_topk, op3_best_fit_packing, op5_transducer_counts, op6_template_decontamination, op7_language_fusion, language_fusion_pages, op8_ngram_jaccard, op9_winnow_lines, op10_warc_bundles)}
 
 ORACLE_SQL = {
     "op2_kdtree_topk": """
