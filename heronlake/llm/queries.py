@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import bitplane, jaccard, kdtree, langid, linewinnow, packing, templates, transducer, warc
+from heronlake.llm import bitplane, jaccard, kdtree, langid, linewinnow, packing, suffixtree, templates, transducer, warc
 from heronlake.llm.common import read_table
 from heronlake.llm.tokens import tokenizer_path
 
@@ -22,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
@@ -53,7 +57,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_kdtree_topk, op3_best_fit_packing, op5_transducer_counts, op6_template_decontamination, op7_language_fusion, language_fusion_pages, op8_ngram_jaccard, op9_winnow_lines, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_kdtree_topk, op3_best_fit_packing, op4_suffix_tree_scores, op5_transducer_counts, op6_template_decontamination, op7_language_fusion, language_fusion_pages, op8_ngram_jaccard, op9_winnow_lines, op10_warc_bundles)}
 
 ORACLE_SQL = {
     "op2_kdtree_topk": """
