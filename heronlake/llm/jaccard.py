@@ -58,7 +58,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         except KeyError:
             if len(known) > 1_000_000:
                 known.clear()
-            known.update((w, xxhash.xxh64_intdigest(w)) for w in set(found) - known.keys())
+            known.update([(w, xxhash.xxh64_intdigest(w)) for w in set(found) if w not in known])
             h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         width = min(size, len(h))
         acc = np.full(len(h) - width + 1, np.uint64(width), np.uint64)

@@ -176,7 +176,7 @@ def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
                 except KeyError:
                     if len(known) > 1_000_000:
                         known.clear()
-                    known.update((w, xxhash.xxh64_intdigest(w)) for w in set(found) - known.keys())
+                    known.update([(w, xxhash.xxh64_intdigest(w)) for w in set(found) if w not in known])
                     h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                 words.append(np.append(h, END))
                 ids.append(doc_id)
