@@ -39,6 +39,10 @@ def word_code(word: str) -> int:
     """A word's canonical code: hash in the upper bits, then whether it is capitalised (2) and ends a sentence (1)."""
     import xxhash
 
+    if word.isalpha():
+        low = word.lower()
+        if low not in UNITS or len(low) < 2:
+            return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | word[0].isupper() << 1
     ends = word[-1:] in ".!?:;\"”»)" and word.rstrip("\"”»)")[-1:] in (".", "!", "?", ":")
     if word == "\0":
         return int(BREAK) << 2
@@ -48,8 +52,7 @@ def word_code(word: str) -> int:
         return int(NUM) << 2 | ends
     if low in UNITS and len(low) > 1:
         return int(UNIT) << 2 | ends
-    h = xxhash.xxh64_intdigest(low) >> 2
-    return (h | 1 << 40) << 2 | (core[:1].isupper() << 1) | ends
+    return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | core[:1].isupper() << 1 | ends
 
 
 def canonical(text: str | None) -> tuple[np.ndarray, list[str]]:
@@ -61,7 +64,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, list[str]]:
     except KeyError:
         if len(known) > 1_000_000:
             known.clear()
-        known.update((w, word_code(w)) for w in set(found) - known.keys())
+        known.update([(w, word_code(w)) for w in set(found) if w not in known])
         code = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     if not len(code):
         return code, found
