@@ -8,6 +8,7 @@ from heronlake.operators import catalog as ct
 from heronlake.operators import rules as ru
 from heronlake.operators.filters import in_scope, parse_when
 from heronlake.plans.fixtures import catalog, duck_catalog
+from heronlake.plans.scratch import folder
 
 NOW = parse_when("2000-01-01")
 SINCE, UNTIL = parse_when("1999-01-01"), parse_when("1999-03-01")
@@ -123,6 +124,7 @@ def catalog_purge_plan(spark, d):
 def catalog_lineage(spark, d):
     """Roots of grown copies: artifact n grew from n // 3."""
     a = catalog(spark, d, "artifacts").where("artifact_id >= 3")
+    folder(spark, "lineage")
     return ct.lineage_roots(a.select(F.col("artifact_id").alias("child"), F.expr("artifact_id div 3").alias("parent")).distinct())
 
 

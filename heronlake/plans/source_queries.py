@@ -1,4 +1,177 @@
-"""Queries."""
+"""Queries of readers, sinks and redaction, over transcripts rebuilt from the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heronlake.functions import redact
+from heronlake.operators import diagnose, search
+from heronlake.plans.fixtures import DUCK_EVENTS, events, table
+from heronlake.plans.scratch import folder
+from heronlake.sources import jsonl, normalizers, sinks
+
+CONV = "conversations"
+
+
+def obj(**fields):
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def conv(spark, d):
+    return table(spark, d, CONV).select(F.concat(F.lit("c"), "conv_id").alias("session_uid"), F.col("turn").alias("n"), (F.col("turn") + 1).cast("long").alias("line_no"), "role", "text")
+
+
+def plain(df):
+    return df.select("session_uid", "pos", "event_type", "actor", "content", "tool_name", "call_id", "tool_error")
+
+
+def normalize_claude(spark, d):
+    """Every turn as a line of one text block; every third also calls a tool, and the next holds its result."""
+    c, lit = conv(spark, d), F.lit
+    text = F.struct(lit("text").alias("type"), F.col("text").alias("text"), lit(None).cast("string").alias("id"), lit(None).cast("string").alias("name"), lit(None).cast("string").alias("tool_use_id"), lit(None).cast("boolean").alias("is_error"))
+    block = lambda t, **v: F.struct(lit(t).alias("type"), *[v.get(k, lit(None)).cast(ty).alias(k) for k, ty in (("text", "string"), ("id", "string"), ("name", "string"), ("tool_use_id", "string"), ("is_error", "boolean"))])
+    call = block("tool_use", id=F.concat(lit("t"), "n"), name=lit("Read"))
+    result = block("tool_result", tool_use_id=F.concat(lit("t"), F.col("n") - 1), is_error=(F.col("n") % 2 == 0))
+    content = F.when(F.col("n") % 3 == 0, F.array(text, call)).when(F.col("n") % 3 == 1, F.array(result, text)).otherwise(F.array(text))
+    lines = c.select("session_uid", "line_no", obj(type=F.when(F.col("role") == "assistant", "assistant").otherwise("user"), cwd=lit("/w"), message=F.struct(F.col("role").alias("role"), content.alias("content"))).alias("line"))
+    return plain(normalizers.NORMALIZERS["claude"](lines)).select("session_uid", "pos", "event_type", "actor", "content", "tool_name", "call_id", "tool_error")
+
+
+def normalize_codex(spark, d):
+    c, lit = conv(spark, d), F.lit
+    body = F.when(F.col("n") % 3 == 0, obj(type=lit("event_msg"), payload=F.struct(lit("user_message").alias("type"), F.col("text").alias("message")))).when(
+        F.col("n") % 3 == 1, obj(type=lit("response_item"), payload=F.struct(lit("function_call").alias("type"), lit("exec_command").alias("name"), F.concat(lit("c"), "n").alias("call_id"), F.col("text").alias("arguments")))
+    ).otherwise(obj(type=lit("response_item"), payload=F.struct(lit("function_call_output").alias("type"), F.concat(lit("c"), F.col("n") - 1).alias("call_id"), F.col("text").alias("output"))))
+    return plain(normalizers.NORMALIZERS["codex"](c.select("session_uid", "line_no", body.alias("line"))))
+
+
+def normalize_opencode(spark, d):
+    c = conv(spark, d)
+    part = F.struct(F.lit("text").alias("type"), F.col("text"))
+    one = F.struct("n", F.struct(F.struct("role").alias("info"), F.array(part).alias("parts")).alias("m"))
+    docs = c.groupBy("session_uid").agg(F.array_sort(F.collect_list(one)).alias("ms")).select("session_uid", F.to_json(F.struct(F.col("ms.m").alias("messages"))).alias("text"))
+    return plain(normalizers.NORMALIZERS["opencode"](docs))
+
+
+def normalize_grok(spark, d):
+    """Each turn in two chunks, which are joined again; neighbours of one kind and message are one event."""
+    c, lit = conv(spark, d), F.lit
+    kind = F.when(F.col("role") == "user", "user_message_chunk").otherwise("agent_message_chunk")
+    halves = F.array(F.struct(lit(0).alias("h"), F.substring("text", 1, 10).alias("t")), F.struct(lit(1).alias("h"), F.substring("text", 11, 1 << 30).alias("t")))
+    lines = c.select("session_uid", "n", kind.alias("k"), F.explode(halves).alias("x")).select("session_uid", (F.col("n") * 2 + F.col("x.h") + 1).cast("long").alias("line_no"), obj(update=F.struct(F.col("k").alias("sessionUpdate"), F.concat(lit("m"), "n").alias("messageId"), F.struct(F.col("x.t").alias("text")).alias("content"))).alias("line"))
+    return plain(normalizers.NORMALIZERS["grok"](lines))
+
+
+def normalize_grokbot(spark, d):
+    return plain(normalizers.NORMALIZERS["grokbot"](conv(spark, d).select("session_uid", "line_no", obj(role=F.col("role"), message=F.col("text")).alias("line"))))
+
+
+def normalize_native(spark, d):
+    c, lit = conv(spark, d), F.lit
+    block = F.array(F.struct(lit("text").alias("type"), F.col("text")))
+    return plain(normalizers.NORMALIZERS["native"](c.select("session_uid", "line_no", obj(type=lit("message"), message=F.struct("role", block.alias("content"))).alias("line"))))
+
+
+def normalize_cursor(spark, d):
+    """Bubbles stored in an order of their own, put back by the composer's headers."""
+    c, lit = conv(spark, d), F.lit
+    bubble = F.md5(F.concat_ws("|", "session_uid", "n"))
+    bubbles = c.select("session_uid", F.concat(lit("bubbleId:"), "session_uid", lit(":"), bubble).alias("key"), obj(type=F.when(F.col("role") == "user", 1).otherwise(2), text=F.col("text")).alias("value"))
+    heads = c.groupBy("session_uid").agg(F.array_sort(F.collect_list(F.struct("n", bubble.alias("bubbleId")))).alias("h"))
+    composer = heads.select("session_uid", F.concat(lit("composerData:"), "session_uid").alias("key"), obj(name=F.col("session_uid"), fullConversationHeadersOnly=F.transform("h", lambda x: F.struct(x["bubbleId"].alias("bubbleId"), lit(1).alias("type")))).alias("value"))
+    return plain(normalizers.NORMALIZERS["cursor"](composer.unionByName(bubbles)))
+
+
+def normalize_cursor_cli(spark, d):
+    """Blobs in hash order with a root that lists them in conversation order."""
+    c, lit = conv(spark, d), F.lit
+    bid = F.sha2(F.concat_ws("|", "session_uid", "n"), 256)
+    none = lit(None)
+    blobs = c.select("session_uid", bid.alias("id"), obj(role=F.col("role"), content=F.col("text")).alias("data"), none.cast("array<string>").alias("links"), none.cast("string").alias("latest"))
+    root = F.concat(lit("root"), "session_uid")
+    roots = c.groupBy("session_uid").agg(F.array_sort(F.collect_list(F.struct("n", bid.alias("id"))))["id"].alias("links")).select("session_uid", root.alias("id"), lit("").alias("data"), "links", root.alias("latest"))
+    from pyspark.sql import Window
+
+    both = blobs.unionByName(roots).withColumn("n", F.row_number().over(Window.partitionBy("session_uid").orderBy("id")))
+    return plain(normalizers.NORMALIZERS["cursor-cli"](both))
+
+
+def unreadable_lines(spark, d):
+    """Lines of documents, every seventh not an object; files that fail drop out."""
+    c = conv(spark, d).select("session_uid", "line_no", F.when(F.col("line_no") % 7 == 0, F.concat(F.lit("{bad "), "text")).otherwise(obj(t=F.col("text"))).alias("line"))
+    kept, _ = jsonl.readable(c, "session_uid")
+    return jsonl.unreadable_events(kept).select("session_uid", "line_no", "extra")
+
+
+def line_scan(spark, d):
+    """Whole files split into numbered lines with byte offsets."""
+    files = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\r\n\r\n")).alias("text"))
+    return jsonl.split_lines(files, "doc_id").select("doc_id", "line_no", "offset", F.md5("line").alias("line_md5"))
+
+
+def redact_documents(spark, d):
+    """Documents with a key planted in every third: hits and the redacted text's digest."""
+    t = table(spark, d, "documents")
+    key = F.concat(F.lit(" AKIA"), F.upper(F.lpad(F.col("doc_id").cast("string"), 16, "A")), F.lit(" end"))
+    rows = t.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, key).otherwise("")).alias("text"))
+    own = rows.select("doc_id", F.regexp_replace("text", r"\b(?:ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})\b", "").alias("text"))
+    planted = own.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, key).otherwise("")).alias("text"))
+    out = redact.redacted(planted, "text")
+    return out.select("doc_id", F.col("hits").cast("long").alias("hits"), F.contains("text", F.lit("[redacted:aws-access-key-id] end")).alias("cut"))
+
+
+def redact_scan_rules(spark, d):
+    """All hits in the documents as they are, by rule."""
+    t = table(spark, d, "documents").where(redact.may_hold(F.col("text")))
+    return t.select(F.explode(redact.scan("text")).alias("h")).groupBy("h.rule").agg(F.count("*").alias("hits"))
+
+
+def sharegpt_export(spark, d):
+    c = conv(spark, d).select("session_uid", F.lit("claude").alias("harness"), F.col("n").alias("pos"), F.lit("message").alias("event_type"), F.col("role").alias("actor"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("call_id"))
+    return sinks.sharegpt(c)
+
+
+def parquet_sink_generations(spark, d):
+    """Events written by day and harness; a second generation of some sessions replaces these alone."""
+    root = folder(spark, "sink")
+    e = events(spark, d).withColumn("date", F.coalesce(F.date_format(F.timestamp_micros(F.expr("recorded_ns div 1000")), "yyyy-MM-dd"), F.lit("2024-02-01"))).select("session_uid", "pos", "harness", "event_type", "content_bytes", "date")
+    sinks.write_events(e.withColumn("gen", F.lit(1)), root)
+    sinks.write_events(e.where("harness = 'codex' and pos < 20").withColumn("gen", F.lit(2)), root)
+    back = sinks.read_events(spark, root)
+    return back.select("session_uid", "pos", "gen", "harness", F.col("date").cast("string").alias("date"), "content_bytes")
+
+
+def normalized_to_search(spark, d):
+    """Normalized claude lines straight into search."""
+    e = normalize_claude(spark, d).withColumn("recorded_ns", F.lit(None).cast("long"))
+    return search.matches(search.docs(e), "eau").select("session_uid", "pos")
+
+
+NAMES = (normalize_claude, normalize_codex, normalize_opencode, normalize_grok, normalize_grokbot, normalize_native, normalize_cursor, normalize_cursor_cli, unreadable_lines, line_scan, redact_documents, redact_scan_rules, sharegpt_export, parquet_sink_generations, normalized_to_search)
+QUERIES = {f.__name__: f for f in NAMES}
+
+ONE = "SELECT 'c' || conv_id AS session_uid, turn AS pos, 'message' AS event_type, role AS actor, text AS content, NULL::VARCHAR AS tool_name, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS tool_error FROM conversations"
+CLAUDE = """WITH b AS (SELECT 'c' || conv_id AS session_uid, turn AS n, role, text, unnest(CASE turn % 3 WHEN 0 THEN ['text', 'call'] WHEN 1 THEN ['result', 'text'] ELSE ['text'] END) AS t, unnest(CASE WHEN turn % 3 = 2 THEN [0] ELSE [0, 1] END) AS i FROM conversations),
+x AS (SELECT session_uid, row_number() OVER (PARTITION BY session_uid ORDER BY n, i) - 1 AS pos, CASE t WHEN 'text' THEN 'message' WHEN 'call' THEN 'tool_call' ELSE 'tool_result' END AS event_type, CASE t WHEN 'text' THEN role WHEN 'call' THEN 'assistant' ELSE 'tool' END AS actor,
+CASE WHEN t = 'text' THEN text END AS content, CASE WHEN t = 'call' OR t = 'result' AND EXISTS (SELECT 1 FROM b c WHERE c.session_uid = b.session_uid AND c.n = b.n - 1 AND c.t = 'call') THEN 'Read' END AS tool_name, CASE t WHEN 'call' THEN 't' || n WHEN 'result' THEN 't' || (n - 1) END AS call_id, CASE WHEN t = 'result' THEN n % 2 = 0 END AS tool_error FROM b)"""
+ORACLE_SQL = {
+    "normalize_claude": f"{CLAUDE} SELECT * FROM x",
+    "normalized_to_search": f"{CLAUDE} SELECT session_uid, pos FROM x WHERE contains(lower(content), 'eau')",
+    "normalize_codex": """SELECT 'c' || conv_id AS session_uid, turn AS pos, CASE turn % 3 WHEN 0 THEN 'message' WHEN 1 THEN 'tool_call' ELSE 'tool_result' END AS event_type, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'tool' END AS actor, text AS content,
+CASE WHEN turn % 3 > 0 THEN 'exec_command' END AS tool_name, CASE turn % 3 WHEN 1 THEN 'c' || turn WHEN 2 THEN 'c' || (turn - 1) END AS call_id, NULL::BOOLEAN AS tool_error FROM conversations""",
+    "normalize_opencode": ONE,
+    "normalize_native": ONE,
+    "normalize_grokbot": ONE,
+    "normalize_cursor_cli": ONE,
+    "normalize_grok": ONE.replace("role AS actor", "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS actor"),
+    "normalize_cursor": f"""SELECT session_uid, pos + 1 AS pos, event_type, CASE WHEN actor = 'user' THEN 'user' ELSE 'assistant' END AS actor, content, tool_name, call_id, tool_error FROM ({ONE})
+UNION ALL SELECT DISTINCT session_uid, 0, 'meta', 'harness', session_uid, NULL, NULL, NULL FROM ({ONE})""",
+    "unreadable_lines": """SELECT 'c' || conv_id AS session_uid, turn + 1 AS line_no, '{"unreadable_line":' || (turn + 1) || ',"bytes":' || (strlen(text) + 5) || '}' AS extra FROM conversations WHERE (turn + 1) % 7 = 0""",
+    "line_scan": """WITH p AS (SELECT doc_id, unnest(string_split(text || chr(13) || chr(10) || chr(13) || chr(10), chr(10))) AS raw, generate_subscripts(string_split(text || chr(13) || chr(10) || chr(13) || chr(10), chr(10)), 1) AS line_no FROM documents),
+o AS (SELECT *, (sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(raw) - 1)::BIGINT AS "offset", regexp_replace(raw, '\\r$', '') AS line FROM p)
+SELECT doc_id, line_no::BIGINT AS line_no, "offset", md5(line) AS line_md5 FROM o WHERE trim(line) <> ''""",
+    "redact_documents": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS hits, doc_id % 3 = 0 AS cut FROM documents",
+    "sharegpt_export": """SELECT 'c' || conv_id AS session_uid, 'claude' AS harness, count(*) AS turns, '[' || string_agg('{"from":"' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE 'system' END || '","value":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS conversations FROM conversations GROUP BY conv_id""",
+    "parquet_sink_generations": f"""WITH ev AS ({DUCK_EVENTS}), m AS (SELECT session_uid, harness = 'codex' AS again FROM ev GROUP BY ALL)
+SELECT session_uid, pos, CASE WHEN harness = 'codex' THEN 2 ELSE 1 END AS gen, harness, coalesce(strftime(make_timestamp(recorded_ns // 1000), '%Y-%m-%d'), '2024-02-01') AS date, content_bytes FROM ev WHERE harness <> 'codex' OR pos < 20""",
+}
