@@ -89,21 +89,26 @@ def _bucket(n):
     return F.when(n < 1, 0).otherwise(F.floor(F.log2(n.cast("double")) * 4).cast("long") + 1)
 
 
-def histogram_percentiles(values: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Percentiles to a quarter octave, never above the largest value: per key, by cumulated bucket counts."""
-    own = values.where(F.col(value).isNotNull()).groupBy(*keys, _bucket(F.col(value)).alias("b")).agg(F.count("*").alias("n"), F.max(value).alias("top"))
-    up = Window.partitionBy(*keys).orderBy("b")
-    whole = Window.partitionBy(*keys)
-    cum = own.withColumns({"cum": F.sum("n").over(up), "all": F.sum("n").over(whole), "most": F.max("top").over(whole)})
-    upper = F.when(F.col("b") == 0, 0).otherwise((F.ceil(F.pow(F.lit(2.0), F.col("b") / 4)) - 1).cast("long"))
-    at = [F.min(F.when(F.col("cum") >= F.ceil(F.lit(p) * F.col("all")), F.struct("b", F.least(upper, "most").alias("v"))))["v"].alias(name) for name, p in points.items()]
-    return cum.groupBy(*keys).agg(*at)
-
-
-def _sizes(rows: DataFrame, value: str, prefix: str, total: bool = True) -> DataFrame:
-    own = rows.where(F.col(value).isNotNull())
-    sums = own.groupBy(*KEY).agg(F.count("*").alias(f"{prefix}_count"), *[F.sum(value).alias(f"{prefix}_total")] * total, F.max(value).alias(f"{prefix}_max"))
-    return sums.join(histogram_percentiles(own, KEY, value, {f"{prefix}_p50": 0.5, f"{prefix}_p95": 0.95}), KEY)
+def _upper():
+    """The largest size of bucket b."""
+    return F.when(F.col("b") == 0, 0).otherwise((F.ceil(F.pow(F.lit(2.0), F.col("b") / 4)) - 1).cast("long"))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Counts, totals, largest values and percentiles of input, output and latency: one pass over the rows."""
+    call, size = F.col("is_call"), F.col("content_bytes")
+    values = {"input": F.when(call, size), "output": F.when(~call, size), "latency": F.when(~call, F.col("latency_ms"))}
+    long = rows.select(*KEY, F.explode(F.array(*[F.struct(F.lit(n).alias("what"), v.alias("v")) for n, v in values.items()])).alias("m")).select(*KEY, "m.*").where("v is not null")
+    own = long.groupBy(*KEY, "what", _bucket(F.col("v")).alias("b")).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"))
+    whole = Window.partitionBy(*KEY, "what")
+    cum = own.withColumns({"cum": F.sum("n").over(whole.orderBy("b")), "all": F.sum("n").over(whole), "most": F.max("top").over(whole)})
+    columns = []
+    for n in values:
+        of = F.col("what") == n
+        columns += [F.sum(F.when(of, F.col("n"))).alias(f"{n}_count"), F.max(F.when(of, F.col("most"))).alias(f"{n}_max")]
+        columns += [F.sum(F.when(of, F.col("total"))).alias(f"{n}_total")] * (n != "latency")
+        columns += [F.min(F.when(of & (F.col("cum") >= F.ceil(F.lit(p) * F.col("all"))), F.struct("b", F.least(_upper(), "most").alias("v"))))["v"].alias(f"{n}_p{round(p * 100)}") for p in (0.5, 0.95)]
+    return cum.groupBy(*KEY).agg(*columns)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -115,11 +120,7 @@ def groups(rows: DataFrame) -> DataFrame:
         count(~call & failed).alias("errors"), count(~call & failed.isNotNull()).alias("error_known"), F.count_distinct("session_uid").alias("sessions"),
         F.max(F.when(F.col("waits"), "waits_on_person").when((F.col("harness") == "codex") & (F.col("tool") == "exec"), "code_mode_cell")).alias("latency_note"),
     )
-    sized = {"input": rows.where(call), "output": rows.where(~call)}
-    out = base
-    for prefix, own in sized.items():
-        out = out.join(_sizes(own, "content_bytes", prefix), KEY, "left")
-    out = out.join(_sizes(rows.where(~call), "latency_ms", "latency", total=False), KEY, "left")
+    out = base.join(_sizes(rows), KEY, "left")
     class_total = F.sum(F.coalesce("output_total", F.lit(0))).over(Window.partitionBy("inner"))
     per = rows.where(~call & (F.col("content_bytes") > 0)).groupBy(*KEY, "session_uid").agg(F.sum("content_bytes").alias("own"), F.max("class_bytes").alias("of"))
     share = F.col("own") / F.col("of")
