@@ -7,7 +7,6 @@ unsure (its place is a guess; rules that read sequence skip it).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
