@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,9 +39,12 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def words(text: Column | str) -> Column:
-    """Maximal runs of characters other than blank and the ASCII controls tab to carriage return."""
-    return F.expr(rf"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+', 0)")
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of finished work: Spark does so once the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +72,17 @@ def put_file(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def worker_state(key: str, make):
-    """A value kept for the life of a Python worker, across its tasks."""
+def worker_state(key: str, make, family: str | None = None):
+    """A value kept for the life of a Python worker, across its tasks.
+
+    Values of a family are large; a worker that turns to another family first forgets those of the one before.
+    """
     import builtins
 
     kept = builtins.__dict__.setdefault("_heronlake_worker_state", {})
+    if family and key not in kept:
+        for other in [k for k, (f, _) in kept.items() if f and f != family]:
+            del kept[other]
     if key not in kept:
-        kept[key] = make()
-    return kept[key]
+        kept[key] = family, make()
+    return kept[key][1]

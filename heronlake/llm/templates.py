@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import stored, worker_state
-from heronlake.llm.jaccard import WORD_BITS, mixed
+from heronlake.llm.jaccard import window_hashes
+from heronlake.llm.wordhash import buffers
 
 MOST_BROADCAST = 1 << 20
 # Units of measure and currency, as written after a number or alone.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gal gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years hz khz mhz ghz w kw kwh v kv a b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent % $ € £ °c °f".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:st|nd|rd|th)?[%$€£]?")
-NAME, NUM, UNIT, BREAK = (np.uint64(x) for x in (1, 2, 3, 4))
+NAME, NUM, UNIT = (np.uint64(x) for x in (1, 2, 3))
+#: Codes of distinct words that a worker remembers; the table is emptied beyond.
+MOST_KNOWN = 500_000
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 
 
@@ -44,8 +47,6 @@ def word_code(word: str) -> int:
         if low not in UNITS or len(low) < 2:
             return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | word[0].isupper() << 1
     ends = word[-1:] in ".!?:;\"”»)" and word.rstrip("\"”»)")[-1:] in (".", "!", "?", ":")
-    if word == "\0":
-        return int(BREAK) << 2
     core = EDGE.sub("", word) or word
     low = core.lower()
     if NUMBER.fullmatch(low):
@@ -55,25 +56,30 @@ def word_code(word: str) -> int:
     return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | core[:1].isupper() << 1 | ends
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, list[str]]:
-    """Codes of a text's words, with placeholders in place, and the words."""
-    known: dict[str, int] = worker_state("template words", dict)
-    found = text.replace("\n", " \0 ").split() if text else []
-    try:
-        code = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    except KeyError:
-        if len(known) > 1_000_000:
+def canonical_texts(texts: list[str | None]) -> list[tuple[np.ndarray, Callable[[int], str]]]:
+    """Of each text the codes of its words, with placeholders in place, and a function from place to word."""
+    known: dict[int, int] = worker_state("template words", dict, "templates")
+    out = []
+    for _, w in buffers(texts, lower=False):
+        distinct, first, index = np.unique(w.hashes, return_index=True, return_inverse=True)
+        codes = [known.get(h) for h in distinct.tolist()]
+        new = [i for i, c in enumerate(codes) if c is None]
+        if len(known) + len(new) > MOST_KNOWN:
             known.clear()
-        known.update([(w, word_code(w)) for w in set(found) if w not in known])
-        code = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    if not len(code):
-        return code, found
-    h, flags = code >> np.uint64(2), code & np.uint64(3)
-    begins = np.ones(len(code), bool)
-    begins[1:] = (h[:-1] == BREAK) | ((flags[:-1] & np.uint64(1)) == 1)
-    h[(flags & np.uint64(2) > 0) & ~begins] = NAME
-    keep = h != BREAK
-    return (h, found) if keep.all() else (h[keep], [w for w, k in zip(found, keep) if k])
+        for i in new:
+            codes[i] = known[int(distinct[i])] = word_code(w.word(first[i]))
+        code = np.array(codes, np.uint64)[index] if len(index) else np.zeros(0, np.uint64)
+        h, flags = code >> np.uint64(2), code & np.uint64(3)
+        begins = w.after_newline()
+        begins[1:] |= (flags[:-1] & np.uint64(1)) == 1
+        begins[w.at[:-1][w.at[:-1] < len(begins)]] = True
+        h[(flags & np.uint64(2) > 0) & ~begins] = NAME
+        out += [(h[a:b], lambda i, w=w, a=a: w.word(a + i)) for a, b in zip(w.at.tolist(), w.at[1:].tolist())]
+    return out
+
+
+def canonical(text: str | None) -> tuple[np.ndarray, Callable[[int], str]]:
+    return canonical_texts([text])[0]
 
 
 def windows(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +87,7 @@ def windows(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes) - width + 1
     if n <= 0 or not width:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    acc = np.full(n, np.uint64(width), np.uint64)
-    for i in range(width):
-        acc = mixed(acc * WORD_BITS + codes[i : n + i])
+    acc = window_hashes(codes, width)
     slots = np.concatenate([[0], np.cumsum(codes <= UNIT)])
     return acc, (slots[width:] - slots[:-width]) * 2 <= width
 
@@ -121,7 +125,7 @@ def judge(doc: tuple, item: tuple, width: int) -> tuple[int, int, int, bool] | N
     for i in sorted({i for s in starts for i in range(s, s + own)}):
         kind = int(icodes[i])
         if kind <= int(UNIT):
-            a, b = (EDGE.sub("", w).lower() for w in (ifound[i], found[i + diagonal]))
+            a, b = (EDGE.sub("", w).lower() for w in (ifound(i), found(i + diagonal)))
             agree &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
     return int(covered.sum()), len(icodes), diagonal + min(starts), agree
 
@@ -163,8 +167,7 @@ def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
                 rows = []
                 for i in range(0, batch.num_rows, 1000):
                     some = batch.slice(i, 1000)
-                    for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
-                        doc = canonical(text)
+                    for doc_id, doc in zip(some.column("doc_id").to_pylist(), canonical_texts(some.column("text").to_pylist())):
                         met = set()
                         for own in widths:
                             w = windows(doc[0], own)[0]

@@ -16,7 +16,7 @@ from heronlake.llm.common import worker_state
 #: White space outside ASCII; a text with any of these is encoded in one piece.
 WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Stems a worker remembers; beyond, it encodes without remembering.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -109,9 +109,9 @@ def load(path: str):
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in one array, and where each text's ids begin and the last end. Null counts as empty."""
-    tok = worker_state(f"tokenizer {path}", lambda: load(path))
-    known: dict[str, bytes] = worker_state(f"stems {path}", dict)
-    lower = worker_state(f"lower {path}", lambda: '"Lowercase"' in tok.to_str()[:2000] and '"Removed"' in tok.to_str()[:2000])
+    tok = worker_state(f"tokenizer {path}", lambda: load(path), "tokens")
+    known: dict[str, bytes] = worker_state(f"stems {path}", dict, "tokens")
+    lower = worker_state(f"lower {path}", lambda: '"Lowercase"' in tok.to_str()[:2000] and '"Removed"' in tok.to_str()[:2000], "tokens")
     chunks, bounds = chunked(texts)
     coded = chunks.dictionary_encode()
     pairs = [stem_of(v, lower) for v in coded.dictionary.to_pylist()]
@@ -119,7 +119,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     new = [x for x in needed if x not in known]
     ids = known
     if new:
-        more = encode_new(tok, new, lower, *worker_state(f"shapes {path}", lambda: shapes(tok)))
+        more = encode_new(tok, new, lower, *worker_state(f"shapes {path}", lambda: shapes(tok), "tokens"))
         if len(known) + len(more) <= REMEMBERED:
             known.update(more)
         else:

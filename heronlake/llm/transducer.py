@@ -172,7 +172,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: in
     from heronlake.llm.common import stored
 
     def machine():
-        return worker_state(f"transducer {model}", lambda: load(model))
+        return worker_state(f"transducer {model}", lambda: load(model), "transducer")
 
     def counts_of(normal: list[str], m: Transducer, memo: dict[str, int]):
         import numpy as np
@@ -195,7 +195,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: in
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, m = machine()
-        memo = worker_state(f"counts {model}", dict)
+        memo = worker_state(f"counts {model}", dict, "transducer")
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
