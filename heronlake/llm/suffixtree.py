@@ -30,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import open_fs, put_file, scratch, stored, worker_state
-from heronlake.llm.jaccard import LOWER, WORD_BITS, mixed
+from heronlake.llm.common import open_fs, put_file, release, scratch, stored
+from heronlake.llm.jaccard import WORD_BITS
+from heronlake.llm.wordhash import mixed, text_hashes
 
 END = np.uint64(0x5EED0FD0C5)
 ROWS = "kind long, bucket long, block long, keys binary, vals binary"
 ROW_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 ROW_NAMES = ["kind", "bucket", "block", "keys", "vals"]
 UNI, BI, TRI, CTX1, CTX2 = range(5)
+VALUES = (np.uint32, np.uint32, np.uint32, np.float32, np.float32)
+BACK = (np.uint64, np.uint64, np.uint64, np.float32, np.float32)
 
 
 def squeezed(a: np.ndarray) -> bytes:
@@ -73,14 +76,14 @@ def load(uri: str) -> dict[str, np.ndarray]:
 
 
 def key_rows(kind: int, block: int, keys: np.ndarray, vals: list[np.ndarray], bits: int) -> list[tuple]:
-    """A block's sorted keys with their values, a row per key range."""
+    """A block's sorted keys with their values, a row per key range. Counts go as integers, sums in single precision."""
     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     rows = []
     for b in range(1 << bits):
         x, y = int(cuts[b]), int(cuts[b + 1])
         if y > x:
             own = keys[x:y]
-            rows.append((kind, b, block, squeezed(np.concatenate([own[:1], np.diff(own)])), squeezed(np.concatenate([v[x:y] for v in vals]).astype(np.float64))))
+            rows.append((kind, b, block, squeezed(np.concatenate([own[:1], np.diff(own)])), squeezed(np.concatenate([v[x:y] for v in vals]).astype(VALUES[kind]))))
     return rows
 
 
@@ -96,24 +99,27 @@ def exchange(rows: DataFrame, name: str) -> DataFrame:
 
     def total(key, group):
         lists = [np.cumsum(unsqueezed(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-        vals = [unsqueezed(v, np.float64) for v in group.column("vals").to_pylist()]
+        sent = VALUES[key[0].as_py()]
+        vals = [unsqueezed(v, sent) for v in group.column("vals").to_pylist()]
         sizes = [len(x) for x in lists]
         keys, place = np.unique(np.concatenate(lists), return_inverse=True)
         wide = len(vals[0]) // sizes[0]
         sums = [np.bincount(place, np.concatenate([v.reshape(wide, -1)[i] for v in vals]), len(keys)) for i in range(wide)]
         at = np.cumsum([0, *sizes])
-        out = [squeezed(np.concatenate([s[place[a:b]] for s in sums])) for a, b in zip(at, at[1:])]
+        back = BACK[key[0].as_py()]
+        out = [squeezed(np.concatenate([s[place[a:b]] for s in sums]).astype(back)) for a, b in zip(at, at[1:])]
         n = len(out)
         distinct = [int((sums[0] > 0).sum())] + [0] * (n - 1)
         return pa.table([group.column("kind"), group.column("bucket"), group.column("block"), pa.array(out, pa.binary()), pa.array(distinct, pa.int64())], names=["kind", "bucket", "block", "vals", "distinct"])
 
-    return stored(rows.groupBy("kind", "bucket").applyInArrow(total, "kind long, bucket long, block long, vals binary, distinct long"), name)
+    out = stored(rows.groupBy("kind", "bucket").applyInArrow(total, "kind long, bucket long, block long, vals binary, distinct long"), name)
+    return out
 
 
 def returned(group: pa.Table, kind: int, wide: int) -> list[np.ndarray]:
     """The sums of one kind that came back to a block, in key order."""
     rows = sorted((b, v) for k, b, v in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "vals"))) if k == kind)
-    parts = [unsqueezed(v, np.float64).reshape(wide, -1) for _, v in rows]
+    parts = [unsqueezed(v, BACK[kind]).reshape(wide, -1).astype(np.float64) for _, v in rows]
     return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0)] * wide
 
 
@@ -148,10 +154,8 @@ def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
     """Write the blocks; a row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
-        known: dict[bytes, int] = worker_state("suffix words", dict)
         part, seq, made = TaskContext.get().partitionId(), 0, []
         words, ids, n = [], [], 0
 
@@ -169,20 +173,14 @@ def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
             seq, words, ids, n = seq + 1, [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-                try:
-                    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                except KeyError:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    known.update([(w, xxhash.xxh64_intdigest(w)) for w in set(found) if w not in known])
-                    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                words.append(np.append(h, END))
-                ids.append(doc_id)
-                n += len(found) + 1
-                if n >= block_tokens:
-                    close()
+            for i in range(0, batch.num_rows, 1000):
+                some = batch.slice(i, 1000)
+                for doc_id, h in zip(some.column("doc_id").to_pylist(), text_hashes(some.column("text").to_pylist())):
+                    words.append(np.append(h, END))
+                    ids.append(doc_id)
+                    n += len(h) + 1
+                    if n >= block_tokens:
+                        close()
         if ids:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64())], ["block"])
@@ -190,7 +188,7 @@ def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(run, "block long"), "suffix-blocks")
 
 
-def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 3_000_000) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     folder = scratch(spark, "suffix")
@@ -206,6 +204,7 @@ def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 2_000_000) ->
                 yield from table(key_rows(UNI, block, b.uni, [n], bits)).to_batches()
 
     uni = exchange(blocks.repartition(tasks).mapInArrow(words, ROWS), "suffix-uni")
+    release(spark)
     known = uni.agg(F.sum("distinct")).first()[0] or 0
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +229,7 @@ def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 2_000_000) ->
 
     bi = exchange(uni.groupBy("block").applyInArrow(pairs, ROWS), "suffix-bi")
     per_block = lambda df: df.unionByName(blocks.select(F.lit(-1).cast("long").alias("kind"), F.lit(0).cast("long").alias("bucket"), "block", F.lit(b"").alias("vals"), F.lit(0).cast("long").alias("distinct"))).groupBy("block")
+    release(spark)
 
     def triples(key, group):
         block = key[0].as_py()
@@ -252,49 +252,54 @@ def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 2_000_000) ->
         return table(rows + key_rows(TRI, block, keys, [np.bincount(place, b.train[deep], len(keys))], bits))
 
     tri = exchange(per_block(bi).applyInArrow(triples, ROWS), "suffix-tri")
+    release(spark)
 
-    def first_level(b: Block, group) -> tuple:
+    def first_level(b: Block) -> tuple:
         """The root's and the one-word contexts' probabilities, and where the latter are states."""
         c = b.c0[b.index]
         p0 = (c + 0.1) / floor
         n_ctx = shifted(c, b.first, 0)
         use = np.flatnonzero(n_ctx >= min_count)
         _, at = np.unique(shifted(b.word, b.first, np.uint64(0))[use], return_inverse=True)
-        gain, kinds = (x[at] for x in returned(group, CTX1, 2))
+        kinds = b.kinds1[at]
         p1 = p0.copy()
         p1[use] = (b.n1[use] + kinds * p0[use]) / (n_ctx[use] + kinds)
         state = np.zeros(len(c), bool)
-        state[use] = gain > kinds * math.log(known + 1)
+        state[use] = b.state1[at] > 0
         return p0, p1, state
 
     def contexts(key, group):
         block = key[0].as_py()
-        b = Block(folder, block, "c0", "n1")
-        p0, p1, state = first_level(b, group)
+        gain, kinds = returned(group, CTX1, 2)
+        save(f"{folder}/block-{block}.level1", {"kinds1": np.rint(kinds).astype(np.int64), "state1": (gain > kinds * math.log(known + 1)).astype(np.uint8)})
+        b = Block(folder, block, "c0", "n1", "level1")
+        p0, p1, state = first_level(b)
         pair = b.pair_keys()
         n_ctx = shifted(b.n1, b.first, 0)
         deep = np.flatnonzero(n_ctx >= min_count)
         _, place = np.unique(b.triple_keys(pair)[deep], return_inverse=True)
         n2 = returned(group, TRI, 1)[0][place]
-        save(f"{folder}/block-{block}.level1", {"p1": p1[:], "state1": state.astype(np.uint8), "n2": n2.astype(np.int64)})
+        save(f"{folder}/block-{block}.n2", {"n2": n2.astype(np.int64)})
         ctx, at = np.unique(shifted(pair, b.first, np.uint64(0))[deep], return_inverse=True)
         t = b.train[deep]
         gain = np.where(t, np.log(np.maximum(n2, 1) / n_ctx[deep]) - np.log(p1[deep]), 0)
         return table(key_rows(CTX2, block, ctx, [np.bincount(at, gain, len(ctx)), np.bincount(at, np.where(t, 1 / np.maximum(n2, 1), 0), len(ctx))], bits))
 
     ctx2 = exchange(per_block(tri).applyInArrow(contexts, ROWS), "suffix-ctx2")
+    release(spark)
 
     def scores(key, group):
-        b = Block(folder, key[0].as_py(), "c0", "n1", "level1")
+        b = Block(folder, key[0].as_py(), "c0", "n1", "level1", "n2")
         c = b.c0[b.index]
-        p0 = (c + 0.1) / floor
-        p = np.where(b.state1 > 0, b.p1, p0)
+        p0, p1, state1 = first_level(b)
+        p = np.where(state1, p1, p0)
         n_ctx = shifted(b.n1, b.first, 0)
         deep = np.flatnonzero(n_ctx >= min_count)
         _, at = np.unique(shifted(b.pair_keys(), b.first, np.uint64(0))[deep], return_inverse=True)
         gain, kinds = (x[at] for x in returned(group, CTX2, 2))
+        kinds = np.rint(kinds)
         state = gain > kinds * math.log(known + 1)
-        p2 = (b.n2 + kinds * b.p1[deep]) / (n_ctx[deep] + kinds)
+        p2 = (b.n2 + kinds * p1[deep]) / (n_ctx[deep] + kinds)
         p[deep[state]] = p2[state]
         add = lambda x: np.add.reduceat(x, b.starts)
         ids = pa.array(b.ids, mask=b.null.astype(bool))
