@@ -6,9 +6,9 @@ n - ceil(t*n) + 1 shingles of each, the prefix. Documents of equal size and equa
 within it, documents of equal sets form a class. Prefix shingles of groups are joined, group pairs are
 filtered by size, and the pairs that remain are expanded to classes and verified on whole sets.
 
-Candidate pairs are not written out for every pair of a large group of copies: first each shingle's groups
-are verified against one pivot of their size band, then, in further rounds with other pivots, only where
-different components still share a shingle; last, all pairs left of different components are verified.
+Candidate pairs are not written out for every pair of a large group of copies: each shingle's groups are
+verified against one pivot of their size band, with other pivots in further turns while the pairs of
+different components outnumber the postings; last, all pairs left of different components are verified.
 So every link between documents of different components would have been found, and no row is dropped.
 
 Which shingles are frequent affects the order alone, hence cost and not results. It is found by counting
@@ -17,54 +17,41 @@ within each task's documents and adding the counts of those met more than once t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import stored, worker_state
+from heronlake.llm.common import drop_stored, release, stored
 from heronlake.llm.components import components
+from heronlake.llm.wordhash import buffers, mixed
 
 #: Frequent shingles are those met at least total/FREQUENT_SHARE times, so there are at most so many.
-FREQUENT_SHARE = 1 << 20
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+FREQUENT_SHARE = 1 << 22
 WORD_BITS = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` codes: a polynomial, mixed at the end."""
+    n = len(codes) - width + 1
+    acc = np.full(n, np.uint64(width), np.uint64)
+    for i in range(width):
+        acc *= WORD_BITS
+        acc += codes[i : n + i]
+    return mixed(acc)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text. A word is a run outside blank and tab to carriage return."""
-    import xxhash
-
-    known: dict[bytes, int] = worker_state("shingle words", dict)
+    """Sorted distinct shingle hashes of each text; words are lower-cased (A-Z)."""
     out = []
-    empty = np.zeros(0, np.uint64)
-    for text in texts:
-        # bytes.split() parts at exactly the ASCII blanks that bound words
-        found = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-        if not found:
-            out.append(empty)
-            continue
-        try:
-            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            if len(known) > 1_000_000:
-                known.clear()
-            known.update([(w, xxhash.xxh64_intdigest(w)) for w in set(found) if w not in known])
-            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        width = min(size, len(h))
-        acc = np.full(len(h) - width + 1, np.uint64(width), np.uint64)
-        for i in range(width):
-            acc = mixed(acc * WORD_BITS + h[i : len(h) - width + 1 + i])
-        out.append(np.unique(acc))
+    for _, w in buffers(texts, lower=True):
+        all_ = window_hashes(w.hashes, size) if len(w.hashes) >= size else w.hashes[:0]
+        for a, b in zip(w.at.tolist(), w.at[1:].tolist()):
+            n = b - a
+            own = np.sort(all_[a : b - size + 1] if n >= size else window_hashes(w.hashes[a:b], n) if n else all_[:0])
+            out.append(own[np.append(True, own[1:] != own[:-1])] if n else own)
     return out
 
 
@@ -80,7 +67,7 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
 
         def out():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 4
+            often = times >= 2
             return pa.RecordBatch.from_arrays([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(times[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), n))], ["h", "n", "total"])
 
         for batch in batches:
@@ -95,7 +82,7 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
 
     counted = stored(docs.select("text").mapInArrow(count, "h long, n long, total long"), "jaccard-frequent")
     total = counted.agg(F.sum("total")).first()[0] or 0
-    least = max(32, -(-total // FREQUENT_SHARE))
+    least = max(8, -(-total // FREQUENT_SHARE))
     rows = counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
     table = rows.toArrow()
     return np.sort(table.column("h").to_numpy().view(np.uint64))
@@ -143,13 +130,18 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                     keep.append(both > 0 and den * both >= num * (len(sets[x]) + len(sets[y]) - both))
                 yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    texts = docs.select("id", "text")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = stored(docs.select("id", "text").join(needed, "id", "left_semi"), "jaccard-texts")
+    release(docs.sparkSession)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    out = stored(with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jaccard-links")
+    drop_stored(texts)
+    release(docs.sparkSession)
+    return out
 
 
-def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 3) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 6) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id: components of links with den*both >= num*union.
 
     Words are lower-cased (A-Z). A document of fewer than `size` words is one shingle; one without words has
@@ -160,63 +152,85 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     often = spark.sparkContext.broadcast(frequent(rows, size))
     pre = stored(prefixes(rows, size, num, den, often), "jaccard-prefixes")
-    real = pre.where("n > 0 and id is not null")
+    real = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix_hash")
 
-    # classes of equal sets, then groups of classes with equal prefix and size; named by their smallest document
+    # classes of equal sets, then groups of classes with equal prefix and size; named by their smallest document.
+    # A repeated doc_id may stand for several sets; each gives its own postings under the same node.
     classes = real.groupBy("set_hash").agg(F.min("id").alias("rep"))
     member = stored(real.select("id", "set_hash").join(classes, "set_hash").select("id", "rep"), "jaccard-members")
-    reps = stored(real.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", "set_hash", "prefix_hash", "prefix"), "jaccard-classes")
-    # a repeated doc_id may stand for several sets; each gives its own postings under the same node
+    reps = stored(real.join(member.where("id = rep").select("id").distinct(), "id", "left_semi"), "jaccard-classes")
     groups = reps.groupBy("n", "prefix_hash").agg(F.min("id").alias("gid"), F.count_distinct("id").alias("c"))
-    of_group = stored(reps.join(groups, ["n", "prefix_hash"]).select("id", "gid", "n", "c", "prefix"), "jaccard-groups")
-    heads = of_group.where("id = gid").select("gid", "n", "prefix").dropDuplicates(["gid", "n"])
-    postings = heads.select("gid", "n", F.explode("prefix").alias("h"))
+    of_group = stored(reps.join(groups, ["n", "prefix_hash"]).select("id", "gid", "n", "c").distinct(), "jaccard-groups")
+    heads = of_group.where("id = gid").select("id", "n")
+    postings = stored(pre.select("id", "n", "prefix").join(heads, ["id", "n"], "left_semi").select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("h")), "jaccard-postings")
+    release(spark)
     shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    posts = stored(postings.join(stored(shared, "jaccard-shared"), "h", "left_semi"), "jaccard-postings")
+    posts = stored(postings.join(stored(shared, "jaccard-shared"), "h", "left_semi"), "jaccard-shared-postings")
+    drop_stored(postings)
     inner = of_group.where("c > 1").select("gid", "id", "n")
 
     # a posting per class: groups expand to their classes, and the group itself is a posting key of its classes
-    keys = posts.join(of_group.select("gid", "id").distinct(), "gid").select("h", "id", "n")
-    keys = stored(keys.unionByName(inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n")).distinct(), "jaccard-keys")
-    band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    keys = keys.withColumn("band", band)
-
-    links = None
-    comp = None
-    done = None
+    keys = posts.join(of_group.select("gid", "id", "n"), ["gid", "n"]).select("h", "id", "n", F.lit(1).alias("w"))
+    whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.col("n").cast("int").alias("w"))
+    keys = stored(keys.unionByName(whole).distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")), "jaccard-keys")
+    drop_stored(posts)
+    release(spark)
+
+    def close(n1, n2):
+        return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
+
+    def promising(pairs):
+        """Distinct pairs (a, b, n1, n2, w) that share enough: with o prefix shingles in common, two sets share at
+        most o more than the longer rest; sizes and o bound the similarity."""
+        rest = lambda n: F.ceil(F.col(n) * num / den) - 1
+        both = pairs.groupBy("a", "b", "few", "many").agg(F.sum("w").alias("o"))
+        return both.where((F.col("o") + rest("many")) * (den + num) >= (F.col("few") + F.col("many")) * num).select("a", "b").distinct()
+
+    def pair_columns(id1, n1, id2, n2):
+        return [F.least(id1, id2).alias("a"), F.greatest(id1, id2).alias("b"), F.least(n1, n2).alias("few"), F.greatest(n1, n2).alias("many"), "w"]
+
+    def open_keys(comp):
+        """Postings of keys that more than one component shares, with components."""
+        state = keys.withColumn("comp", F.col("id")) if comp is None else stored(keys.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-state")
+        several = state.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+        return stored(state.join(stored(several, "jaccard-open"), "h", "left_semi"), "jaccard-open-keys")
+
+    def pairs_left(state):
+        """About how many rows a join of all pairs of different components would make, against the postings there."""
+        per = state.groupBy("h", "band", "comp").agg(F.count("*").alias("c")).groupBy("h", "band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        return per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+
+    links = comp = done = None
+    state = open_keys(None)
     for turn in range(pivots):
-        state = keys if comp is None else stored(keys.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-state")
-        if comp is None:
-            state = state.withColumn("comp", F.col("id"))
-        open_ = state.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-        state = state.join(stored(open_, "jaccard-open"), "h", "left_semi")
-        # the pivot of a shingle's size band: another one each turn
-        rank = F.xxhash64("comp", F.lit(turn))
-        lead = state.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n")).alias("p")).select("h", "band", "p")
+        # each turn takes other pivots, mostly from large components; pairs that share little wait for the last turn
+        rank = F.xxhash64("id", F.lit(turn))
+        lead = state.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n")).alias("p"))
         near = stored(lead, "jaccard-pivots")
-        near = near.unionByName(near.select("h", (F.col("band") + 1).alias("band"), "p"))
-        pairs = state.join(near, ["h", "band"]).where(F.col("comp") != F.col("p.comp"))
-        pairs = pairs.where((F.least("n", "p.n") * den >= F.greatest("n", "p.n") * num))
-        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        near = near.unionByName(near.select("h", (F.col("band") + 1).alias("band"), "p")).select("h", "band", F.col("p.id").alias("id2"), F.col("p.comp").alias("comp2"), F.col("p.n").alias("n2"))
+        pairs = promising(state.join(near, ["h", "band"]).where(F.col("comp") != F.col("comp2")).where(close(F.col("n"), F.col("n2"))).select(*pair_columns("id", "n", "id2", "n2")))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "jaccard-pairs")
-        found = stored(verified(pairs, rows, size, num, den), "jaccard-links")
+        found = verified(pairs, rows, size, num, den)
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comp = stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
-        if found.isEmpty():
+        drop_stored(state)
+        state = open_keys(comp)
+        release(spark)
+        left, postings_left = pairs_left(state)
+        if (left or 0) <= 4 * (postings_left or 0) or found.isEmpty():
             break
 
-    state = stored(keys.join(comp, "id", "left").select("h", "id", "n", "band", F.coalesce("component", "id").alias("comp")), "jaccard-state")
-    open_ = state.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    state = stored(state.join(stored(open_, "jaccard-open"), "h", "left_semi"), "jaccard-rest")
     other = state.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("band").alias("band2"))
-    pairs = state.join(other, ["h", "band"]).where("comp <> comp2 and (band <> band2 or id < id2)").where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    last = stored(verified(stored(pairs, "jaccard-pairs"), rows, size, num, den), "jaccard-links")
+    last = promising(state.join(other, ["h", "band"]).where("comp <> comp2 and (band <> band2 or id < id2)").where(close(F.col("n"), F.col("n2"))).select(*pair_columns("id", "n", "id2", "n2")))
+    last = stored(last if done is None else last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    release(spark)
     if not last.isEmpty():
-        comp = components(links.unionByName(last)).select(F.col("node").alias("id"), "component")
+        found = verified(last, rows, size, num, den)
+        links = found if links is None else links.unionByName(found)
+        comp = stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
 
     by_rep = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = pre.select("id", "n").join(by_rep, "id", "left")
