@@ -5,8 +5,11 @@ on that holds `gram_words` words; a window is the shortest run that holds `min_w
 inside each window the one with the smallest hash is selected, so two documents that share a run of at
 least `min_words` words share a selected gram. A selected gram's occurrences are joined with its first
 occurrence (by doc_id, then position), alone and together with the line before or the gram after; a later
-occurrence within one document is joined with the one before it. Each such alignment is extended over
-equal lines both ways; a run of at least `min_words` words goes from the later place, the earlier stays.
+occurrence within one document is joined with the one before it. The first occurrence of a gram may stand
+in a document that shares too few words, so each line's whole window is a fingerprint as well: places that
+share one share a run of `min_words` words, and none but its first occurrence stays. Each such alignment is
+extended over equal lines both ways; a run of at least `min_words` words goes from the later place, the
+earlier stays.
 
 Lines are compared without blanks at their ends. Null texts pass unchanged. Rows with equal doc_id and text
 are one document and stay as equal rows; rows with equal doc_id and other texts are told apart. Null
@@ -33,16 +36,22 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_words: int, gram_words: int) -> DataFrame:
-    """k, n, key: the selected grams, each under up to three keys."""
+    """k, n, key: the selected grams, each under up to three keys, and the whole window from each line."""
     by = Window.partitionBy("k").orderBy("c")
     whole = F.col("c") + gram_words <= F.col("t")
     gram = F.when(whole, F.xxhash64(F.collect_list("h").over(by.rangeBetween(0, gram_words - 1))))
-    grams = lines.select("k", "n", "c", "t", "prev_h", gram.alias("g"))
+    window = F.when(F.col("c") + min_words <= F.col("t"), F.xxhash64(F.collect_list("h").over(by.rangeBetween(0, min_words - 1)), F.lit(3)))
+    grams = lines.select("k", "n", "c", "t", "prev_h", gram.alias("g"), window.alias("window"))
     grams = grams.withColumn("next_g", F.lead("g").over(by))
     least = F.min(F.when(F.col("g").isNotNull(), F.struct("g", "n", "prev_h", "next_g"))).over(by.rangeBetween(0, min_words - gram_words))
-    picked = grams.select("k", F.when(F.col("c") + min_words <= F.col("t"), least).alias("s")).where("s is not null").select("k", "s.*").distinct()
-    keys = F.array(F.col("g"), F.xxhash64("g", "prev_h", F.lit(1)), F.xxhash64("g", "next_g", F.lit(2)))
-    return picked.select("k", "n", F.explode(keys).alias("key"))
+    found = grams.select("k", "n", "c", "window", least.alias("s"))
+    # selected places only move forward, so each is new once
+    fresh = F.coalesce(F.lag("s.n").over(by) != F.col("s.n"), F.lit(True))
+    keys = [F.col("s.g"), F.xxhash64("s.g", "s.prev_h", F.lit(1)), F.xxhash64("s.g", "s.next_g", F.lit(2))]
+    own = F.struct("n", F.col("window").alias("key"))
+    picked = [F.struct(F.col("s.n").alias("n"), key.alias("key")) for key in keys]
+    found = found.withColumn("fresh", fresh).where("window is not null")
+    return found.select("k", F.explode(F.when(F.col("fresh"), F.array(own, *picked)).otherwise(F.array(own))).alias("p")).select("k", "p.*")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50, gram_words: int = 25) -> DataFrame:

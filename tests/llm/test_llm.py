@@ -443,6 +443,26 @@ def test_op9_odd(spark):
     assert linewinnow.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_op9_first_parts(spark, seed):
+    """Earlier documents hold parts of a passage, each of under 50 words; the whole passage comes later, more than once."""
+    r = random.Random(seed)
+    line = lambda n: " ".join(f"t{r.randrange(3000)}" for _ in range(n))
+    rows, top = [], 1000
+    for _ in range(25):
+        passage = [line(r.randint(3, 14)) for _ in range(r.randint(8, 11))]
+        for i in range(r.randint(1, 4)):
+            a = r.randrange(len(passage))
+            b = a + 1
+            while b < len(passage) and sum(len(x.split()) for x in passage[a : b + 1]) < 50:
+                b += 1
+            rows.append((len(rows), "\n".join([line(9), *passage[a:b], line(9)])))
+        for _ in range(3):
+            rows.append((top := top + 1, "\n".join([line(8), *passage, line(8)])))
+    got = {x.doc_id: x.text for x in linewinnow.dedup_lines(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 # 10: WARC
 
 
