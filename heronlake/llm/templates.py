@@ -3,9 +3,11 @@
 Words lose punctuation at their ends and become lower case; numbers, names and units become typed
 placeholders. Windows of `width` canonical words of the benchmark are the hash table; windows of the
 documents probe it. For each document and item that meet, the item's words covered by shared windows are
-found on whole texts, and the slots must be consistent: along the matched stretch one item value maps to
-one document value of its type and the other way round. A pair is a leak if at least `cover` of the
-item's words are covered and the slots are consistent, so re-parameterised questions are leaks too.
+found on whole texts, and the slots must be consistent: along a matched stretch (the windows of one
+alignment) one item value maps to one document value of its type and the other way round. A pair is a leak
+if consistent stretches cover at least `cover` of the item's words, so re-parameterised questions are leaks
+too, and an inconsistent instance of a template hides no other one of the document. `covered_words` counts
+the words of all stretches.
 
 The table goes to every task if it holds at most MOST_BROADCAST windows; otherwise windows are joined by a
 shuffle. Both ways give the same rows. Items shorter than `width` use windows of their own length; items
@@ -100,8 +102,8 @@ def item_windows(codes: np.ndarray, width: int) -> tuple[int, np.ndarray, np.nda
     return own, h[at], at
 
 
-def judge(doc: tuple, item: tuple, width: int) -> tuple[int, int, int, bool] | None:
-    """Words covered, the item's words, where the document's stretch begins, and whether slots agree."""
+def judge(doc: tuple, item: tuple, width: int) -> tuple[int, int, int, int] | None:
+    """Words covered, the item's words, where the document's stretch begins, and words covered by diagonals whose slots agree."""
     codes, found = doc
     icodes, ifound = item
     own, ih, iat = item_windows(icodes, width)
@@ -118,24 +120,39 @@ def judge(doc: tuple, item: tuple, width: int) -> tuple[int, int, int, bool] | N
         for at in places[int(dh[p])]:
             covered[at : at + own] = True
             by_diagonal[p - at].append(at)
-    diagonal, starts = max(by_diagonal.items(), key=lambda x: (len(x[1]), -x[0]))
-    there: dict[tuple, str] = {}
-    back: dict[tuple, str] = {}
-    agree = True
-    for i in sorted({i for s in starts for i in range(s, s + own)}):
-        kind = int(icodes[i])
-        if kind <= int(UNIT):
-            a, b = (EDGE.sub("", w).lower() for w in (ifound(i), found(i + diagonal)))
-            agree &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-    return int(covered.sum()), len(icodes), diagonal + min(starts), agree
-
-
-OUT = "doc_id long, item_id long, item_words long, covered_words long, first_word long, slots_agree boolean"
+    slots = {i: EDGE.sub("", ifound(i)).lower() for i in np.flatnonzero(icodes <= UNIT).tolist()}
+
+    def agrees(diagonal: int, words: list[int]) -> bool:
+        there: dict[tuple, str] = {}
+        back: dict[tuple, str] = {}
+        for i in words:
+            if i in slots:
+                kind, a, b = int(icodes[i]), slots[i], EDGE.sub("", found(i + diagonal)).lower()
+                if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                    return False
+        return True
+
+    # most windows first, then the earliest; the stretch told is the first that agrees
+    ranked = sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0]))
+    agreed = np.zeros(len(icodes), bool)
+    first = None
+    for diagonal, starts in ranked:
+        words = sorted({i for s in starts for i in range(s, s + own)})
+        if not agreed[words].all() and agrees(diagonal, words):
+            agreed[words] = True
+            first = diagonal + min(starts) if first is None else first
+            if agreed.sum() == covered.sum():
+                break
+    if first is None:
+        first = ranked[0][0] + min(ranked[0][1])
+    return int(covered.sum()), len(icodes), first, int(agreed.sum())
+
+
+OUT = "doc_id long, item_id long, item_words long, covered_words long, first_word long, agreed_words long"
 
 
 def rows_out(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (*[pa.int64()] * 5, pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "item_id", "item_words", "covered_words", "first_word", "slots_agree"])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "item_id", "item_words", "covered_words", "first_word", "agreed_words"])
 
 
 def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
@@ -211,7 +228,7 @@ def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, cover: float = 0.5) -> DataFrame:
     """A row for each document and benchmark item that it leaks: doc_id, item_id, item_words, covered_words, first_word."""
     met = meetings(docs, benchmark, width)
-    return met.where((F.col("covered_words") >= F.col("item_words") * cover) & F.col("slots_agree")).drop("slots_agree")
+    return met.where(F.col("agreed_words") >= F.col("item_words") * cover).drop("agreed_words")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, cover: float = 0.5) -> DataFrame:

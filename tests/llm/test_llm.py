@@ -287,6 +287,23 @@ def test_slots_must_agree():
     assert judge(swap)[3] and not judge(mixed)[3]
 
 
+def test_any_instance_is_a_leak(spark, monkeypatch):
+    """An inconsistent instance of the template before or after a copy, or between two halves, hides no leak."""
+    wrong = ITEM.replace("60", "9").replace("after 3", "after 9")
+    other = ITEM.replace("60", "75").replace("after 3", "after 5")
+    split = ITEM.replace("and meets", "and then finally meets")
+    fill = "Here is some filler text that stands between the questions"
+    texts = [f"{wrong}. {fill}. {ITEM}", f"{ITEM}. {fill}. {wrong}", f"{wrong}. {fill}. {other}. {fill}. {wrong}", f"{wrong}. {fill}. {wrong}", wrong, f"{wrong}. {fill}. {split}", split]
+    df, bench = docs(spark, list(enumerate(texts))), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    size = len(ITEM.split())
+    for most in (templates.MOST_BROADCAST, 0):
+        monkeypatch.setattr(templates, "MOST_BROADCAST", most)
+        got = {r.doc_id: r for r in templates.leaks(df, bench).collect()}
+        assert set(got) == {0, 1, 2, 5, 6}
+        assert got[0].first_word == size + len(fill.split()) and got[1].first_word == 0 and got[0].covered_words == size
+    assert {r.doc_id for r in templates.decontaminated(df, bench).collect()} == {3, 4}
+
+
 def test_leaks_of_real_texts(spark, real):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: f" {' '.join((t or '').lower().split())} "
