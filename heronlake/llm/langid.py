@@ -7,9 +7,11 @@ prior is smoothed hierarchically: host towards suffix, suffix towards the whole
 text is taken out of its host's counts. Text likelihoods are tempered by length, as neighbouring
 trigrams are not independent.
 
-The trigram models are fitted on labelled rows: about `train_rows` of them, chosen by a hash of the id
-(a bound on the fit alone). All counts, priors and decisions cover all rows. Without labelled rows every
-document is undetermined. A document is rejected when it holds no letters or when no language reaches
+The trigram models are fitted on labelled rows: about `train_rows` of them, and about `language_rows` of each
+language or all it has, chosen by a hash of the id (a bound on the fit alone). Every labelled language with
+text gets a model. All counts, priors and decisions cover all rows. Without labelled rows every document is
+undetermined. A document is rejected when it holds no letters, when its text lies below the floor of every
+language (text of no known language; its confidence is among the known ones), or when no language reaches
 `least` of the posterior. Null declarations, addresses and hosts are no evidence. Repeated rows are
 treated row by row.
 """
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from heronlake.llm.common import stored
 
 CODES = 1 << 16
+#: Share of the way from a language's own text to foreign text at which text counts as foreign.
+FOREIGN = 0.6
 
 
 def trigram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,57 +45,81 @@ def trigram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.append(code, [CODES, CODES]).astype(np.int64), np.concatenate([[0], np.cumsum([len(d) + 4 for d in data])])
 
 
-def fit(rows: DataFrame, label: str, train_rows: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities [language, code] from about train_rows labelled rows."""
-    sizes = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(256).collect()}
-    total = sum(sizes.values())
-    langs = sorted(x for x, n in sizes.items() if n * 500 >= total)
-    if not langs:
+def fit(rows: DataFrame, label: str, train_rows: int, language_rows: int) -> tuple[list[str], np.ndarray]:
+    """Every labelled language with text and its log probabilities [language, code], from about train_rows rows, and language_rows of each language."""
+    sizes = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    if not sizes:
         return [], np.zeros((0, CODES + 1), np.float32)
-    share = min(1.0, train_rows / total)
-    some = rows.where(F.col(label).isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)))
+    total, names = sum(sizes.values()), sorted(sizes)
+    rates = [(x, i, min(1.0, max(train_rows / total, language_rows / sizes[x]))) for i, x in enumerate(names)]
+    rates = rows.sparkSession.createDataFrame(rates, "label string, lang long, rate double")
+    some = rows.select("doc_id", "text", F.col(label).alias("label")).join(F.broadcast(rates), "label")
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(langs), CODES + 1), np.int64)
-        place = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 code, at = trigram_codes(part.column("text"))
-                of = np.array([place[x] for x in part.column("label").to_pylist()])
-                seen += np.bincount(np.repeat(of, np.diff(at)) * (CODES + 1) + code, minlength=seen.size).reshape(seen.shape)
-        lang, code = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(code), pa.array(seen[lang, code])], ["lang", "code", "n"])
-
-    counted = some.select("text", F.col(label).alias("label")).mapInArrow(count, "lang long, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros((len(langs), CODES + 1))
-    seen[counted.column("lang").to_numpy(), counted.column("code").to_numpy()] = counted.column("n").to_numpy()
-    seen[:, CODES] = 0
-    used = max(1, int((seen.sum(axis=0) > 0).sum()))
-    logs = np.log((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * used))
-    logs[:, CODES] = 0
-    return langs, logs.astype(np.float32)
+                of = part.column("lang").to_numpy()
+                key, n = np.unique(np.repeat(of, np.diff(at)) * (CODES + 1) + code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // (CODES + 1)), pa.array(key % (CODES + 1)), pa.array(n)], ["lang", "code", "n"])
+
+    counted = some.select("text", "lang").mapInArrow(count, "lang long, code long, n long").where(F.col("code") < CODES).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    lang, code, n = (counted.column(c).to_numpy() for c in ("lang", "code", "n"))
+    with_text, lang = np.unique(lang, return_inverse=True)
+    used = max(1, len(np.unique(code)))
+    logs = np.zeros((len(with_text), CODES + 1), np.float32)
+    for i in range(len(with_text)):
+        mine = lang == i
+        in_all = n[mine].sum()
+        # a small sample is smoothed by a share of itself: a flat model would attract all strange text
+        add = min(0.5, 0.05 * in_all / used)
+        seen = np.full(CODES, add)
+        seen[code[mine]] += n[mine]
+        logs[i, :CODES] = np.log(seen / (in_all + add * used))
+    return [names[i] for i in with_text], logs
+
+
+def floors(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each language the least log likelihood a trigram at which text is taken for that language, and the spread of a trigram's.
+
+    The floor lies FOREIGN of the way from the language's own text to the farthest other language's; with
+    one language alone, to text of its trigrams in equal shares.
+    """
+    size = len(logs)
+    codes = logs[:, :CODES]
+    p = np.where(codes > codes.min(axis=1, keepdims=True) + 1e-6, np.exp(codes), 0).astype(np.float32)
+    p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-30)
+    under = (p @ codes.T).astype(np.float64)  # of one language's text, under another's model
+    own = under.diagonal()
+    spread = np.sqrt([np.float64(a @ (b - o) ** 2) for a, b, o in zip(p, codes, own)])
+    far = under.min(axis=0) if size > 1 else np.array([b[a > 0].mean() if (a > 0).any() else o for a, b, o in zip(p, codes, own)])
+    return own - FOREIGN * np.maximum(own - far, 2 * spread), spread
 
 
 def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray, temper: float) -> DataFrame:
-    """rows with `letters` and `ll`, the tempered log likelihood by language, in place of the text."""
-    held = rows.sparkSession.sparkContext.broadcast(logs)
+    """rows with `letters`, `known` (whether any language's floor is reached) and `ll`, the tempered log likelihood by language, in place of the text."""
+    held = rows.sparkSession.sparkContext.broadcast((logs, *floors(logs)))
     others = [c for c in rows.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = held.value
+        logs, low, spread = held.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 code, at = trigram_codes(part.column("text"))
                 n = np.add.reduceat(code < CODES, at[:-1]).astype(np.int64)
                 # a text of n trigrams counts as n**temper independent ones
-                weight = np.where(n > 0, n ** (temper - 1.0), 0) if len(n) else n
-                ll = np.stack([np.add.reduceat(row[code], at[:-1]) * weight for row in logs], axis=1) if len(logs) else np.zeros((len(n), 0))
-                lists = pa.array(list(ll.astype(np.float64)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(n), lists], [*others, "letters", "ll"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", letters long, ll array<double>"
+                weight = np.where(n > 0, np.maximum(n, 1) ** (temper - 1.0), 0)
+                raw = np.stack([np.add.reduceat(row[code], at[:-1]) for row in logs], axis=1).astype(np.float64)
+                some = np.maximum(n, 1)[:, None]
+                # short texts vary more: two standard errors are granted
+                known = (raw / some >= low - 2 * spread / some ** (temper / 2)).any(axis=1) & (n > 0)
+                lists = pa.array(list(raw * weight[:, None]), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(n), pa.array(known), lists], [*others, "letters", "known", "ll"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", letters long, known boolean, ll array<double>"
     return rows.select(*others, "text").mapInArrow(score, schema)
 
 
@@ -101,7 +129,7 @@ def softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(docs: DataFrame, declared: str | None, host: str | None, suffix: str | None = None, label: str = "lang", train_rows: int = 20_000, temper: float = 0.6, least: float = 0.5, kappa: float = 5.0) -> DataFrame:
+def identify(docs: DataFrame, declared: str | None, host: str | None, suffix: str | None = None, label: str = "lang", train_rows: int = 20_000, language_rows: int = 200, temper: float = 0.6, least: float = 0.5, kappa: float = 5.0) -> DataFrame:
     """(doc_id, text and the named columns) -> doc_id, row_hash, lang_id, confidence, keep.
 
     declared, host, suffix: columns of evidence, or None; label: the column of the labelled rows that models
@@ -110,11 +138,11 @@ def identify(docs: DataFrame, declared: str | None, host: str | None, suffix: st
     none = F.lit(None).cast("string")
     pick = lambda c: F.col(c).cast("string") if c else none
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), pick(declared).alias("declared"), pick(host).alias("host"), pick(suffix).alias("suffix"), "text")
-    langs, logs = fit(docs.select("doc_id", "text", pick(label).alias("label")), "label", train_rows)
+    langs, logs = fit(docs.select("doc_id", "text", pick(label).alias("label")), "label", train_rows, language_rows)
     if not langs:
         return rows.select("doc_id", "row_hash", F.lit("und").alias("lang_id"), F.lit(0.0).alias("confidence"), F.lit(False).alias("keep"))
     ll = stored(text_evidence(rows, langs, logs, temper), "langid-evidence").withColumn("p", softmax(F.col("ll")))
-    size, weight = len(langs), F.when(F.col("letters") > 0, 1.0).otherwise(0.0)
+    size, weight = len(langs), F.when(F.col("known"), 1.0).otherwise(0.0)
     sums = [F.sum(F.get("p", F.lit(i)) * weight).alias(f"s{i}") for i in range(size)]
     vector = F.array(*[F.col(f"s{i}") for i in range(size)])
 
@@ -140,7 +168,7 @@ def identify(docs: DataFrame, declared: str | None, host: str | None, suffix: st
     fused = F.zip_with(F.zip_with("ll", "prior", lambda a, b: a + F.log(b)), F.when(F.col("declared").isNull(), zeros).otherwise(said), lambda a, b: a + b)
     out = out.withColumn("post", softmax(fused)).withColumn("confidence", F.array_max("post"))
     best = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("post", F.col("confidence")).cast("int"))
-    keep = (F.col("letters") > 0) & (F.col("confidence") >= least)
+    keep = F.col("known") & (F.col("confidence") >= least)
     return out.select("doc_id", "row_hash", F.when(keep, best).otherwise("und").alias("lang_id"), "confidence", keep.alias("keep"))
 
 

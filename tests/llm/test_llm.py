@@ -333,6 +333,26 @@ def test_op7_odd_rows(spark, real, odd):
     assert langid.known_language(df, declared="lang", host="source").columns == df.columns
 
 
+def test_op7_rare_languages(spark):
+    """A language of fewer than 1 of 500 labelled rows has a model."""
+    r = random.Random(0)
+    text = lambda k, n: " ".join("".join(chr(0x4E00 + 40 * k + r.randrange(12)) for _ in range(r.randint(2, 5))) for _ in range(n))
+    rows = [(i, text(0, 20), "big") for i in range(700)] + [(1000 + k, text(k, 300), f"l{k:03}") for k in range(1, 4)]
+    rows += [(5000 + k, text(k, 60), None) for k in range(1, 4)] + [(6000, text(0, 60), None)]
+    df = docs(spark, rows, "doc_id long, text string, lang string")
+    out = {x.doc_id: x.lang_id for x in langid.identify(df, declared=None, host=None).where("doc_id >= 5000").collect()}
+    assert out == {5000 + k: f"l{k:03}" for k in range(1, 4)} | {6000: "big"}
+
+
+def test_op7_unknown_language(spark, real):
+    """Text of a language without labels is undetermined; the others' documents stay."""
+    lang = F.when(F.col("lang") != "es", F.col("lang"))
+    out = {r.doc_id: r for r in langid.identify(real.withColumn("label", lang), declared="label", host="source", label="label").collect()}
+    es, rest = ([out[r.doc_id] for r in real.where(x).collect()] for x in ("lang = 'es'", "lang <> 'es'"))
+    assert es and sum(not r.keep and r.lang_id == "und" for r in es) >= 0.9 * len(es)
+    assert all(r.keep for r in rest)
+
+
 def test_pages(spark):
     rows = [(1, "https://u@a.example.de:80/x", '<html lang="de"><script>x</script><p>und der &amp; die'), (2, None, None)]
     got = [tuple(r) for r in langid.page_rows(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
