@@ -12,7 +12,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(a, b) -> (node, component), the smallest node reachable; nodes without edges are absent.
 
     Each step joins nodes with a grouped minimum, so no neighbourhood is gathered in one place. Edge tables
-    between rounds are written to the shared folder.
+    between rounds are written to the shared folder. Rounds grow with the logarithm of the largest component;
+    beyond most_rounds it is an error.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = stored(pairs, "components")
@@ -31,5 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == total:
             break
         total = state
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,10 +6,13 @@ n - ceil(t*n) + 1 shingles of each, the prefix. Documents of equal size and equa
 within it, documents of equal sets form a class. Prefix shingles of groups are joined, group pairs are
 filtered by size, and the pairs that remain are expanded to classes and verified on whole sets.
 
-Candidate pairs are not written out for every pair of a large group of copies: each shingle's groups are
-verified against one pivot of their size band, with other pivots in further turns while the pairs of
-different components outnumber the postings; last, all pairs left of different components are verified.
-So every link between documents of different components would have been found, and no row is dropped.
+Candidate pairs are not written out for every pair of a large group of copies. Each shingle's groups are first
+verified against one pivot of their size band, the one that has the fewest rarer shingles and so is likest to
+the text that the others were copied from. What then remains are pairs of different components: rows outside
+a shingle's largest component against all its rows, with further pivots before that while such pairs
+outnumber the postings. A pair is bounded before its row is made, by sizes and by the places of the shingle it
+meets at, and before texts are fetched, by parity sketches of whole sets. So every link between documents
+of different components would have been found, and no row is dropped.
 
 Which shingles are frequent affects the order alone, hence cost and not results. It is found by counting
 within each task's documents and adding the counts of those met more than once there.
@@ -31,6 +34,7 @@ from heronlake.llm.wordhash import buffers, mixed
 #: Frequent shingles are those met at least total/FREQUENT_SHARE times, so there are at most so many.
 FREQUENT_SHARE = 1 << 22
 WORD_BITS = np.uint64(0x9E3779B97F4A7C15)
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -88,8 +92,19 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(table.column("h").to_numpy().view(np.uint64))
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """256 bits of each set, as four words: the parity of its members in each of 256 shares of the hashes.
+
+    Two sets differ in at least as many members as their sketches do in bits.
+    """
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    odd = np.bincount(of * 256 + ((flat >> np.uint64(40)) & np.uint64(255)).astype(np.int64), minlength=len(sets) * 256) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+
+
 def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame:
-    """id, n, set_hash, prefix_hash, prefix: the first shingles in the order (frequent, hash)."""
+    """id, n, set_hash, prefix_hash, sketch, prefix: the first shingles in the order (frequent, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -109,12 +124,13 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame
                     whole.append(xxhash.xxh128_digest(s.tobytes()))
                     first.append(xxhash.xxh128_digest(prefix.tobytes()))
                     lists.append(prefix.view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(ns, pa.int64()), pa.array(whole, pa.binary()), pa.array(first, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "set_hash", "prefix_hash", "prefix"])
+                sketch = [pa.array(c) for c in np.ascontiguousarray(sketches(sets).T)]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(ns, pa.int64()), pa.array(whole, pa.binary()), pa.array(first, pa.binary()), *sketch, pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "set_hash", "prefix_hash", *SKETCH, "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_hash binary, prefix_hash binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_hash binary, prefix_hash binary, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of ids whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,110 +144,115 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 for x, y in zip(ta, tb):
                     both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     keep.append(both > 0 and den * both >= num * (len(sets[x]) + len(sets[y]) - both))
-                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select("id", "text").join(needed, "id", "left_semi"), "jaccard-texts")
-    release(docs.sparkSession)
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    out = stored(with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jaccard-links")
-    drop_stored(texts)
-    release(docs.sparkSession)
-    return out
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jaccard-links")
 
-def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 6) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id: components of links with den*both >= num*union.
 
-    Words are lower-cased (A-Z). A document of fewer than `size` words is one shingle; one without words has
-    none and links with nothing. doc_id must not be null; rows with null doc_id come out with their size and
-    no component. Rows that share a doc_id are one node: their sets link it wherever any of them does.
+def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The prefix table, its documents with the class each belongs to (id, n, rep, sketch), and the postings of
+    classes under keys that several classes share: h, id, n, pos, band.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    often = spark.sparkContext.broadcast(frequent(rows, size))
-    pre = stored(prefixes(rows, size, num, den, often), "jaccard-prefixes")
-    real = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix_hash")
+    often = spark.sparkContext.broadcast(frequent(docs, size))
+    pre = stored(prefixes(docs, size, num, den, often), "jaccard-prefixes")
+    real = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix_hash", *SKETCH)
 
     # classes of equal sets, then groups of classes with equal prefix and size; named by their smallest document.
     # A repeated doc_id may stand for several sets; each gives its own postings under the same node.
-    classes = real.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    member = stored(real.select("id", "set_hash").join(classes, "set_hash").select("id", "rep"), "jaccard-members")
-    reps = stored(real.join(member.where("id = rep").select("id").distinct(), "id", "left_semi"), "jaccard-classes")
-    groups = reps.groupBy("n", "prefix_hash").agg(F.min("id").alias("gid"), F.count_distinct("id").alias("c"))
-    of_group = stored(reps.join(groups, ["n", "prefix_hash"]).select("id", "gid", "n", "c").distinct(), "jaccard-groups")
-    heads = of_group.where("id = gid").select("id", "n")
-    postings = stored(pre.select("id", "n", "prefix").join(heads, ["id", "n"], "left_semi").select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("h")), "jaccard-postings")
+    classes = stored(real.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "jaccard-classes")
+    member = stored(real.join(classes.hint("merge"), "set_hash", "left").withColumn("rep", F.coalesce("rep", "id")), "jaccard-members")
+    reps = member.where("id = rep").drop("rep").distinct()
+    groups = stored(reps.groupBy("n", "prefix_hash").agg(F.min("id").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c"), "jaccard-groups")
+    inner = stored(reps.join(groups.hint("merge"), ["n", "prefix_hash"]).select("gid", "id", "n", "set_hash"), "jaccard-inner")
+    behind = member.where("id <> rep").select("id", "set_hash").unionByName(inner.where("id <> gid").select("id", "set_hash"))
+    lists = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix")
+    heads = stored(lists.join(behind.hint("merge"), ["id", "set_hash"], "left_anti").select(F.col("id").alias("gid"), "n", "prefix"), "jaccard-heads")
+    release(spark)
+
+    posts = heads.select("gid", F.posexplode("prefix").alias("pos", "h"))
+    shared = stored(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "jaccard-shared")
+    release(spark)
+    posts = stored(posts.join(shared.hint("merge"), "h", "left_semi"), "jaccard-shared-postings")
+    drop_stored(shared)
     release(spark)
-    shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    posts = stored(postings.join(stored(shared, "jaccard-shared"), "h", "left_semi"), "jaccard-shared-postings")
-    drop_stored(postings)
-    inner = of_group.where("c > 1").select("gid", "id", "n")
-
-    # a posting per class: groups expand to their classes, and the group itself is a posting key of its classes
-    keys = posts.join(of_group.select("gid", "id", "n"), ["gid", "n"]).select("h", "id", "n", F.lit(1).alias("w"))
-    whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.col("n").cast("int").alias("w"))
-    keys = stored(keys.unionByName(whole).distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")), "jaccard-keys")
-    drop_stored(posts)
+    # groups expand to their classes, and the group itself is a key of its classes
+    of_group = heads.select("gid", F.col("gid").alias("id"), "n").unionByName(inner.where("id <> gid").select("gid", "id", "n")).distinct()
+    keys = posts.join(of_group.hint("merge"), "gid").select("h", "id", "n", "pos")
+    whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.lit(0).alias("pos"))
+    banded = keys.unionByName(whole.distinct()).withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int"))
+    keys = stored(banded, "jaccard-keys")
+    for done in (posts, heads):
+        drop_stored(done)
     release(spark)
+    return pre, member.select("id", "n", "rep", *SKETCH), keys
+
 
-    def close(n1, n2):
-        return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
-
-    def promising(pairs):
-        """Distinct pairs (a, b, n1, n2, w) that share enough: with o prefix shingles in common, two sets share at
-        most o more than the longer rest; sizes and o bound the similarity."""
-        rest = lambda n: F.ceil(F.col(n) * num / den) - 1
-        both = pairs.groupBy("a", "b", "few", "many").agg(F.sum("w").alias("o"))
-        return both.where((F.col("o") + rest("many")) * (den + num) >= (F.col("few") + F.col("many")) * num).select("a", "b").distinct()
-
-    def pair_columns(id1, n1, id2, n2):
-        return [F.least(id1, id2).alias("a"), F.greatest(id1, id2).alias("b"), F.least(n1, n2).alias("few"), F.greatest(n1, n2).alias("many"), "w"]
-
-    def open_keys(comp):
-        """Postings of keys that more than one component shares, with components."""
-        state = keys.withColumn("comp", F.col("id")) if comp is None else stored(keys.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-state")
-        several = state.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-        return stored(state.join(stored(several, "jaccard-open"), "h", "left_semi"), "jaccard-open-keys")
-
-    def pairs_left(state):
-        """About how many rows a join of all pairs of different components would make, against the postings there."""
-        per = state.groupBy("h", "band", "comp").agg(F.count("*").alias("c")).groupBy("h", "band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        return per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-
-    links = comp = done = None
-    state = open_keys(None)
-    for turn in range(pivots):
-        # each turn takes other pivots, mostly from large components; pairs that share little wait for the last turn
-        rank = F.xxhash64("id", F.lit(turn))
-        lead = state.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n")).alias("p"))
-        near = stored(lead, "jaccard-pivots")
-        near = near.unionByName(near.select("h", (F.col("band") + 1).alias("band"), "p")).select("h", "band", F.col("p.id").alias("id2"), F.col("p.comp").alias("comp2"), F.col("p.n").alias("n2"))
-        pairs = promising(state.join(near, ["h", "band"]).where(F.col("comp") != F.col("comp2")).where(close(F.col("n"), F.col("n2"))).select(*pair_columns("id", "n", "id2", "n2")))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "jaccard-pairs")
-        found = verified(pairs, rows, size, num, den)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
+def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 6) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id: components of links with den*both >= num*union.
+
+    Words are lower-cased (A-Z). A document of fewer than `size` words is one shingle; one without words has
+    none and links with nothing. Rows with null doc_id come out with their size and no component. Rows that share
+    a doc_id are one node: their sets link it wherever any of them does. pivots: turns with pivots at most.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    pre, member, keys = postings(rows, size, num, den)
+    texts = stored(rows.join(keys.select("id").distinct().hint("merge"), "id", "left_semi"), "jaccard-texts")
+    sketch = member.where("id = rep").select("id", "n", *SKETCH)
+    # a repeated doc_id that belongs to several classes links them
+    several = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id")
+    links = stored(member.join(several.hint("merge"), "id", "left_semi").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-links")
+    release(spark)
+
+    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Distinct pairs of documents of different components whose postings under one key may be their first in common."""
+        right = right.select("h", "band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
+        # up to the first shingle in common, in the order of all shingles, neither has any of the other's
+        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"), F.col("n"), F.col("n2"))
+        near = (F.col("comp") != F.col("comp2")) & (most * (den + num) >= (F.col("n") + F.col("n2")) * num)
+        met = left.join(right.hint("merge"), ["h", "band"]).where(near)
+        pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        for side in "ab":
+            pairs = pairs.join(sketch.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH)]).hint("merge"), side)
+        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
+        return stored(pairs.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b").distinct(), "jaccard-pairs")
+
+    def merged(links: DataFrame) -> DataFrame:
+        return stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
+
+    comp = merged(links)
+    for turn in range(pivots + 1):
+        state = stored(keys.join(comp.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-state")
+        # keys that more than one component shares, each with the component that has most rows there
+        per = state.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.max("c").alias("most"))
+        top = stored(per.where("n > most"), "jaccard-tops")
+        left, there = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))), F.sum("n")).first()
+        last = turn == pivots or (turn and left is not None and left <= 4 * there)
+        if left is None:
+            break
+        opened = state.join(top.select("h", "top").hint("merge"), "h")
+        wide = lambda rows: rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+        if last:
+            outside = opened.where("comp <> top").drop("top")
+            # rows of the same band meet once, those of neighbouring bands at the upper one, either way round
+            pairs = candidates(wide(outside), opened.drop("top")).unionByName(candidates(outside, wide(opened.drop("top")))).distinct()
+        else:
+            # pivots of further turns are drawn by hash
+            rank = F.col("pos") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            lead = opened.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n", "pos")).alias("p"))
+            pairs = candidates(opened.drop("top"), wide(lead.select("h", "band", "p.id", "p.comp", "p.n", "p.pos")))
+        found = verified(pairs, texts, size, num, den)
+        links = links.unionByName(found)
         drop_stored(state)
-        state = open_keys(comp)
         release(spark)
-        left, postings_left = pairs_left(state)
-        if (left or 0) <= 4 * (postings_left or 0) or found.isEmpty():
+        if not found.isEmpty():
+            comp = merged(links)
+        if last:
             break
 
-    other = state.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("band").alias("band2"))
-    last = promising(state.join(other, ["h", "band"]).where("comp <> comp2 and (band <> band2 or id < id2)").where(close(F.col("n"), F.col("n2"))).select(*pair_columns("id", "n", "id2", "n2")))
-    last = stored(last if done is None else last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-    release(spark)
-    if not last.isEmpty():
-        found = verified(last, rows, size, num, den)
-        links = found if links is None else links.unionByName(found)
-        comp = stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
-
-    by_rep = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
-    out = pre.select("id", "n").join(by_rep, "id", "left")
+    by_rep = member.select("id", "rep").join(comp.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+    out = pre.select("id", "n").join(by_rep.hint("merge"), "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
