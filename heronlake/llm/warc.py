@@ -116,21 +116,23 @@ def parse(plain: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 def dedup_plan(rows: DataFrame, min_dedup: int = 100) -> DataFrame:
     """(id, url, payload) -> those with payload_bytes, payload_digest, record_type, refers_to.
 
-    The smallest id of a digest is found by a grouped minimum, which combines before the shuffle, and joined back.
+    The smallest id of a digest is found by a grouped minimum over ids and digests alone, which combines before the
+    shuffle. Payloads are dealt once, by id and digest, to meet the revisits; so equal payloads spread over tasks.
     """
     rows = rows.withColumn("payload", F.coalesce("payload", F.lit("").cast("binary")))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    large = rows.where((F.col("payload_bytes") >= min_dedup) & F.col("id").isNotNull())
-    first = large.groupBy(F.col("payload_digest").alias("_d")).agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(first, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= min_dedup) & F.col("id").isNotNull(), "left")
-    again = F.col("_first") != F.col("id")
-    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_d", "_first")
+    large = rows.where((F.col("payload_bytes") >= min_dedup) & F.col("id").isNotNull()).select("id", F.col("payload_digest").alias("_d"))
+    first = stored(large.groupBy("_d").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last").drop("_last"), "warc-first")
+    again = stored(large.distinct().join(first.hint("merge"), "_d").where("id <> _first").withColumnRenamed("id", "_id"), "warc-revisits")
+    joined = rows.join(again.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("payload_digest") == F.col("_d")), "left")
+    return joined.withColumns({"record_type": F.when(F.col("_first").isNotNull(), "revisit").otherwise("response"), "refers_to": F.col("_first")}).drop("_id", "_d", "_first")
 
 
 def write_bundles(plan: DataFrame, out_dir: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 1 << 25, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write the archives; returns a row per bundle: path, records, bytes.
 
-    A payload goes with a response alone. Bundles are closed at bundle_bytes, so a task holds one at most.
+    A payload goes with a response alone. Bundles are closed at bundle_bytes, so a task holds one at most; each
+    task of the plan writes its own.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +165,7 @@ def write_bundles(plan: DataFrame, out_dir: str, frame_bytes: int = 1 << 20, bun
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made) if made else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
     cols = plan.select("id", "url", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-    dealt = cols.repartitionByRange(F.col("id"), F.col("payload_digest"))
-    return stored(dealt.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    return stored(cols.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_bundles(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
