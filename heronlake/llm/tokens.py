@@ -49,11 +49,28 @@ def chunked(texts: pa.Array, lead: bool = True) -> tuple[pa.Array, np.ndarray]:
     return chunks, bounds
 
 
-def stem_of(chunk: str, lower: bool) -> tuple[str, str]:
+class Letters(dict):
+    """By character: whether the library takes it for a letter after which a full stop begins a pre-token of its own.
+
+    It is asked, as normalisation turns some letters into a letter with a mark and its tables are of another Unicode version.
+    """
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, c: str) -> bool:
+        text = f"a{c}."
+        plain = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str(plain)
+        self[c] = c.isalpha() and len(pieces) == 2 and pieces[1][0] == "."
+        return self[c]
+
+
+def stem_of(chunk: str, lower: bool, letters: Letters) -> tuple[str, str]:
     """A chunk as a stem and trailing full stops and commas: after a letter these are a pre-token of their own."""
     core = chunk.lstrip(" \n\t\r\x0b\x0c") if lower else chunk
     stem = core.rstrip(".,")
-    if stem and stem != core and stem[-1].isalpha():
+    if stem and stem != core and letters[stem[-1]]:
         tail = core[len(stem) :]
     else:
         stem, tail = core, ""
@@ -70,14 +87,15 @@ def shapes(tok) -> tuple[np.ndarray, np.ndarray]:
     return closes, width
 
 
-def encode_new(tok, stems: list[str], lower: bool, closes: np.ndarray, width: np.ndarray) -> dict[str, bytes]:
+def encode_new(tok, stems: list[str], lower: bool, letters: Letters, closes: np.ndarray, width: np.ndarray) -> dict[str, bytes]:
     """Ids of distinct stems as bytes. Plain words go through the library joined, many to a call.
 
     Their ids are told apart by the tokens that close a word or by the bytes that tokens stand for;
     if these do not fit, the words are encoded one by one.
     """
     ids: dict[str, bytes] = {}
-    plain = [x for x in stems if (x.isalpha() if lower else x[:1] == " " and x[1:].isalpha())]
+    words = [(x, x if lower else x[1:]) for x in stems if lower or x[:1] == " "]
+    plain = [x for x, w in words if w.isalpha() and (w.isascii() or all(letters[c] for c in set(w)))]
     for i in range(0, len(plain), 512):
         some = plain[i : i + 512]
         got = np.array(tok.encode_batch_fast([(" " if lower else "").join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -114,12 +132,13 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lower = worker_state(f"lower {path}", lambda: '"Lowercase"' in tok.to_str()[:2000] and '"Removed"' in tok.to_str()[:2000], "tokens")
     chunks, bounds = chunked(texts)
     coded = chunks.dictionary_encode()
-    pairs = [stem_of(v, lower) for v in coded.dictionary.to_pylist()]
+    letters = worker_state(f"letters {path}", lambda: Letters(tok), "tokens")
+    pairs = [stem_of(v, lower, letters) for v in coded.dictionary.to_pylist()]
     needed = {x for pair in pairs for x in pair}
     new = [x for x in needed if x not in known]
     ids = known
     if new:
-        more = encode_new(tok, new, lower, *worker_state(f"shapes {path}", lambda: shapes(tok), "tokens"))
+        more = encode_new(tok, new, lower, letters, *worker_state(f"shapes {path}", lambda: shapes(tok), "tokens"))
         if len(known) + len(more) <= REMEMBERED:
             known.update(more)
         else:

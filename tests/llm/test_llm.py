@@ -62,6 +62,18 @@ def test_ids_equal_the_librarys(path, real):
         assert ids[starts[i] : starts[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_after_any_letter(path):
+    tok = loaded(path)
+    texts = [f"ab{c}{end} {c}b{c}." for c in map(chr, range(0x110000)) if c.isalpha() for end in ("., z", ".", ",")]
+    texts += ["TÜRKİYE CUMHURİYETİ.", "DİYARBAKIR, ŞEHRİ, BELEDİYESİ."]
+    for i in range(0, len(texts), 50_000):
+        some = texts[i : i + 50_000]
+        ids, starts = tokens.encode(pa.array(some), path)
+        want = [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="abT.,'s \n\t\r é1<|", max_size=40), max_size=4))
 def test_ids_of_any_text(texts):
