@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,6 +48,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of a membership filter. Its size is the bound of what is broadcast, at every size of the input.
+FILTER_BITS = 1 << 24
+
+
+def perhaps_in(df: DataFrame, ids: DataFrame, columns: list[str], flag: str = "perhaps") -> DataFrame:
+    """df with a boolean column: false only for rows whose columns are certainly not those of a row of ids.
+
+    A broadcast bitmap of FILTER_BITS tells most rows that a join would not need before they are shuffled; joins
+    that follow decide exactly. With more than about as many ids as bits it tells nothing, and costs no more for it.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bit = lambda x: F.expr(f"shiftleft(1L, cast({x} & 63 as int))")
+    words = ids.select(place.alias("_place")).groupBy((F.col("_place").bitwiseAND(F.lit(-64))).alias("_word")).agg(F.bit_or(bit("_place")).alias("_bits"))
+    met = df.withColumn("_place", place).withColumn("_at", F.col("_place").bitwiseAND(F.lit(-64)))
+    met = met.join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    return met.withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit("_place")) != 0, F.lit(False))).drop("_place", "_at", "_word", "_bits")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

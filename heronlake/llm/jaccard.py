@@ -10,12 +10,14 @@ Candidate pairs are not written out for every pair of a large group of copies. E
 verified against one pivot of their size band, the one that has the fewest rarer shingles and so is likest to
 the text that the others were copied from. What then remains are pairs of different components: rows outside
 a shingle's largest component against all its rows, with further pivots before that while such pairs
-outnumber the postings. A pair is bounded before its row is made, by sizes and by the places of the shingle it
-meets at, and before texts are fetched, by parity sketches of whole sets. So every link between documents
-of different components would have been found, and no row is dropped.
-
-Which shingles are frequent affects the order alone, hence cost and not results. It is found by counting
-within each task's documents and adding the counts of those met more than once there.
+outnumber the postings and pivots settle most of them. A pair is bounded before its row is made, by sizes, by the
+places of the shingle it meets at and by parity sketches of whole sets. So every link between documents of
+different components would have been found, and no row is dropped.
+
+The order puts first a quarter of all shingles, by hash, whose documents are counted, as far as they are not
+frequent; then the others; then the frequent ones, more frequent later. As a prefix is a fifth of a set,
+it comes from the counted quarter but for sets that largely consist of frequent shingles. The order affects
+cost and not results.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import drop_stored, release, stored
+from heronlake.llm.common import drop_stored, perhaps_in, release, stored
 from heronlake.llm.components import components
 from heronlake.llm.wordhash import buffers, mixed
 
-#: Frequent shingles are those met at least total/FREQUENT_SHARE times, so there are at most so many.
-FREQUENT_SHARE = 1 << 22
+#: The bound of the table of frequent shingles that is broadcast.
+MOST_FREQUENT = 1 << 22
 WORD_BITS = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -63,33 +65,50 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles; their number is bounded by FREQUENT_SHARE."""
+def sampled(hashes: np.ndarray) -> np.ndarray:
+    """Whether each shingle is among the quarter, by hash, whose documents are counted."""
+    return hashes >> np.uint64(62) == 0
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the sampled shingles met in most documents, at most MOST_FREQUENT, and the level of each.
 
-        def out():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 2
-            return pa.RecordBatch.from_arrays([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(times[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), n))], ["h", "n", "total"])
+    Levels are quarter octaves of the number of documents, so those of a level come or stay together.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                held += shingle_sets(batch.column("text").slice(i, 1000).to_pylist(), size)
-                n = sum(map(len, held))
-                if n > 4_000_000:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
-
-    counted = stored(docs.select("text").mapInArrow(count, "h long, n long, total long"), "jaccard-frequent")
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    least = max(8, -(-total // FREQUENT_SHARE))
-    rows = counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-    table = rows.toArrow()
-    return np.sort(table.column("h").to_numpy().view(np.uint64))
+                flat = np.concatenate([*shingle_sets(batch.column("text").slice(i, 1000).to_pylist(), size), np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[sampled(flat)].view(np.int64))], ["h"])
+
+    met = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = stored(met.select("h", F.floor(F.log2("n") * 4).cast("int").alias("level")), "jaccard-frequent")
+    release(docs.sparkSession)
+    least, total = 1 << 30, 0
+    for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):
+        if (total := total + n) > MOST_FREQUENT:
+            break
+        least = level
+    table = counted.where(F.col("level") >= least).toArrow().sort_by("h")
+    h = table.column("h").to_numpy().view(np.uint64)
+    return h, table.column("level").to_numpy().astype(np.uint8)
+
+
+def in_order(sets: list[np.ndarray], late: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
+    """The members of each set in the order of all shingles."""
+    known, levels = late
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    rank = np.where(sampled(flat), 0, 1).astype(np.uint8)
+    if len(known):
+        few = np.flatnonzero(rank == 0)
+        at = np.minimum(np.searchsorted(known, flat[few]), len(known) - 1)
+        met = known[at] == flat[few]
+        rank[few[met]] = 2 + levels[at[met]]
+    at = 0
+    for s in sets:
+        yield s[np.argsort(rank[at : at + len(s)], kind="stable")]
+        at += len(s)
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -104,21 +123,17 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame:
-    """id, n, set_hash, prefix_hash, sketch, prefix: the first shingles in the order (frequent, hash)."""
+    """id, n, set_hash, prefix_hash, sketch, prefix: the first shingles in the order of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        late = often.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
                 sets = shingle_sets(some.column("text").to_pylist(), size)
                 ns, whole, first, lists = [], [], [], []
-                for s in sets:
-                    at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
-                    flag = late[at] == s if len(late) else np.zeros(len(s), bool)
-                    ordered = np.concatenate([s[~flag], s[flag]])
+                for s, ordered in zip(sets, in_order(sets, often.value)):
                     prefix = ordered[: prefix_length(len(s), num, den)] if len(s) else s
                     ns.append(len(s))
                     whole.append(xxhash.xxh128_digest(s.tobytes()))
@@ -130,8 +145,34 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame
     return docs.select("id", "text").mapInArrow(run, "id long, n long, set_hash binary, prefix_hash binary, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of ids whose whole sets are similar enough."""
+def wide_sketch(s: np.ndarray) -> bytes:
+    """The parity sketch of a set in at least twice as many bits as it has members."""
+    bits = 64 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def far_apart(x: bytes, y: bytes, most: int) -> bool:
+    """Whether two sets, by their wide sketches, differ in more than `most` members. A longer sketch folds to the shorter's size."""
+    size = min(len(x), len(y))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, size // 8), axis=0) for v in (x, y))
+    return int(np.bitwise_count(a ^ b).sum()) > most
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of ids whose whole sets are similar enough. Sketches go first, so that few texts move."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                some = batch.slice(i, 1000)
+                sets = shingle_sets(some.column("text").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(wide_sketch, sets)), pa.binary())], ["id", "n", "wide"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "wa", "wb")))
+            keep = [not far_apart(x, y, (na + nb) * (den - num) // (den + num)) for na, nb, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +187,29 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
                     keep.append(both > 0 and den * both >= num * (len(sets[x]) + len(sets[y]) - both))
                 yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jaccard-links")
+    def some_of(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-needed")
+        return stored(perhaps_in(docs, needed, ["id"]).where("perhaps").drop("perhaps"), name)
+
+    def beside(pairs: DataFrame, rows: DataFrame, **columns: str) -> DataFrame:
+        """The pairs with columns of both documents, those of a under the names ending in a."""
+        for side in "ba":
+            pairs = pairs.join(rows.select(F.col("id").alias(side), *[F.col(c).alias(f"{short}{side}") for c, short in columns.items()]).hint("merge"), side)
+        return pairs
+
+    texts = some_of(docs, pairs, "jaccard-texts")
+    wide = stored(texts.mapInArrow(sketched, "id long, n long, wide binary"), "jaccard-wide")
+    close = stored(beside(pairs, wide, n="n", wide="w").mapInArrow(near, "a long, b long").distinct(), "jaccard-close")
+    fewer = some_of(texts, close, "jaccard-texts")
+    found = stored(beside(close, fewer, text="t").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jaccard-links")
+    for done in (texts, wide, fewer):
+        drop_stored(done)
+    return found
 
 
-def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The prefix table, its documents with the class each belongs to (id, n, rep, sketch), and the postings of
-    classes under keys that several classes share: h, id, n, pos, band.
+def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The prefix table, its documents with the class each belongs to (id, rep), and the postings of
+    classes under keys that several classes share: h, id, n, pos, band, sketch; and how many pairs meet under them.
     """
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent(docs, size))
@@ -166,90 +222,95 @@ def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     member = stored(real.join(classes.hint("merge"), "set_hash", "left").withColumn("rep", F.coalesce("rep", "id")), "jaccard-members")
     reps = member.where("id = rep").drop("rep").distinct()
     groups = stored(reps.groupBy("n", "prefix_hash").agg(F.min("id").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c"), "jaccard-groups")
-    inner = stored(reps.join(groups.hint("merge"), ["n", "prefix_hash"]).select("gid", "id", "n", "set_hash"), "jaccard-inner")
-    behind = member.where("id <> rep").select("id", "set_hash").unionByName(inner.where("id <> gid").select("id", "set_hash"))
-    lists = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix")
-    heads = stored(lists.join(behind.hint("merge"), ["id", "set_hash"], "left_anti").select(F.col("id").alias("gid"), "n", "prefix"), "jaccard-heads")
-    release(spark)
+    inner = stored(reps.join(groups.hint("merge"), ["n", "prefix_hash"]).select("gid", "id", "n", "set_hash", *SKETCH), "jaccard-inner")
+    behind = stored(member.where("id <> rep").select("id", "set_hash").unionByName(inner.where("id <> gid").select("id", "set_hash")), "jaccard-behind")
+    lists = perhaps_in(pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix", *SKETCH), behind, ["id", "set_hash"])
+    unsure = lists.where("perhaps").join(behind.hint("merge"), ["id", "set_hash"], "left_anti")
+    heads = lists.where("not perhaps").unionByName(unsure).select(F.col("id").alias("gid"), "n", "prefix", *SKETCH)
+    heads = stored(heads, "jaccard-heads")
 
     posts = heads.select("gid", F.posexplode("prefix").alias("pos", "h"))
-    shared = stored(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "jaccard-shared")
+    shared = stored(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-shared")
+    meetings = shared.agg(F.sum(F.col("c") * (F.col("c") - 1))).first()[0] or 0
+    shared = shared.select("h")
     release(spark)
-    posts = stored(posts.join(shared.hint("merge"), "h", "left_semi"), "jaccard-shared-postings")
+    posts = stored(perhaps_in(posts, shared, ["h"]).where("perhaps").join(shared.hint("merge"), "h", "left_semi").select("gid", "pos", "h"), "jaccard-shared-postings")
     drop_stored(shared)
-    release(spark)
     # groups expand to their classes, and the group itself is a key of its classes
-    of_group = heads.select("gid", F.col("gid").alias("id"), "n").unionByName(inner.where("id <> gid").select("gid", "id", "n")).distinct()
-    keys = posts.join(of_group.hint("merge"), "gid").select("h", "id", "n", "pos")
-    whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.lit(0).alias("pos"))
-    banded = keys.unionByName(whole.distinct()).withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int"))
+    of_group = heads.select("gid", F.col("gid").alias("id"), "n", *SKETCH).unionByName(inner.where("id <> gid").select("gid", "id", "n", *SKETCH))
+    keys = posts.join(of_group.hint("merge"), "gid").select("h", "id", "n", "pos", *SKETCH)
+    whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.lit(0).alias("pos"), *SKETCH)
+    banded = keys.unionByName(whole).withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int"))
     keys = stored(banded, "jaccard-keys")
     for done in (posts, heads):
         drop_stored(done)
-    release(spark)
-    return pre, member.select("id", "n", "rep", *SKETCH), keys
+    return pre, member.select("id", "rep"), keys, meetings
 
 
-def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 6) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 7) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id: components of links with den*both >= num*union.
 
     Words are lower-cased (A-Z). A document of fewer than `size` words is one shingle; one without words has
     none and links with nothing. Rows with null doc_id come out with their size and no component. Rows that share
-    a doc_id are one node: their sets link it wherever any of them does. pivots: turns with pivots at most.
+    a doc_id are one node: their sets link it wherever any of them does. pivots: turns at most, of which
+    the last compares what is left without pivots.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("id"), "text")
-    pre, member, keys = postings(rows, size, num, den)
-    texts = stored(rows.join(keys.select("id").distinct().hint("merge"), "id", "left_semi"), "jaccard-texts")
-    sketch = member.where("id = rep").select("id", "n", *SKETCH)
+    pre, member, keys, before = postings(rows, size, num, den)
     # a repeated doc_id that belongs to several classes links them
     several = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id")
     links = stored(member.join(several.hint("merge"), "id", "left_semi").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-links")
-    release(spark)
 
     def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         """Distinct pairs of documents of different components whose postings under one key may be their first in common."""
-        right = right.select("h", "band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
+        right = right.select("h", "band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp", *SKETCH)])
+        both = F.col("n") + F.col("n2")
         # up to the first shingle in common, in the order of all shingles, neither has any of the other's
-        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"), F.col("n"), F.col("n2"))
-        near = (F.col("comp") != F.col("comp2")) & (most * (den + num) >= (F.col("n") + F.col("n2")) * num)
+        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
+        near = (F.col("comp") != F.col("comp2")) & (most * (den + num) >= both * num) & (apart * (den + num) <= both * (den - num))
         met = left.join(right.hint("merge"), ["h", "band"]).where(near)
-        pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        for side in "ab":
-            pairs = pairs.join(sketch.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH)]).hint("merge"), side)
-        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
-        return stored(pairs.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b").distinct(), "jaccard-pairs")
+        return stored(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "jaccard-pairs")
 
     def merged(links: DataFrame) -> DataFrame:
         return stored(components(links).select(F.col("node").alias("id"), "component"), "jaccard-components")
 
+    def near_pivots(state: DataFrame, turn: int) -> DataFrame:
+        # pivots of further turns are drawn by hash
+        rank = F.col("pos") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        lead = state.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n", "pos", *SKETCH)).alias("p"))
+        return candidates(state, lead.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p.*"))
+
+    def with_found(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        found = verified(pairs, rows, size, num, den)
+        release(spark)
+        return links.unionByName(found)
+
+    links = with_found(links, near_pivots(keys.withColumn("comp", F.col("id")), 0))
     comp = merged(links)
-    for turn in range(pivots + 1):
-        state = stored(keys.join(comp.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-state")
+    for turn in range(1, pivots + 1):
+        linked = perhaps_in(keys, comp, ["id"])
+        inside = linked.where("perhaps").join(comp.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        state = stored(inside.unionByName(linked.where("not perhaps").withColumn("comp", F.col("id"))).drop("perhaps"), "jaccard-state")
         # keys that more than one component shares, each with the component that has most rows there
         per = state.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.max("c").alias("most"))
         top = stored(per.where("n > most"), "jaccard-tops")
         left, there = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))), F.sum("n")).first()
-        last = turn == pivots or (turn and left is not None and left <= 4 * there)
         if left is None:
             break
-        opened = state.join(top.select("h", "top").hint("merge"), "h")
-        wide = lambda rows: rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+        opened = perhaps_in(state, top, ["h"]).where("perhaps").drop("perhaps")
+        # no further pivots where few pairs are left, or where the last ones settled few of them
+        last = turn == pivots or left <= 4 * there or 2 * left > before
+        before = left
         if last:
-            outside = opened.where("comp <> top").drop("top")
-            # rows of the same band meet once, those of neighbouring bands at the upper one, either way round
-            pairs = candidates(wide(outside), opened.drop("top")).unionByName(candidates(outside, wide(opened.drop("top")))).distinct()
+            outside = opened.join(top.select("h", "top").hint("merge"), "h").where("comp <> top").drop("top")
+            pairs = candidates(outside.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))), opened)
         else:
-            # pivots of further turns are drawn by hash
-            rank = F.col("pos") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            lead = opened.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n", "pos")).alias("p"))
-            pairs = candidates(opened.drop("top"), wide(lead.select("h", "band", "p.id", "p.comp", "p.n", "p.pos")))
-        found = verified(pairs, texts, size, num, den)
-        links = links.unionByName(found)
+            pairs = near_pivots(opened.join(top.select("h").hint("merge"), "h", "left_semi"), turn)
+        links = with_found(links, pairs)
         drop_stored(state)
-        release(spark)
-        if not found.isEmpty():
-            comp = merged(links)
+        comp = merged(links)
         if last:
             break
 

@@ -409,7 +409,7 @@ def near_rows(seed=0):
     return [(i, t) for i, t in enumerate(rows)] + [(900, None), (901, ""), (902, "  \n"), (903, "One two"), (904, "one TWO"), (905, "one"), (906, rows[0])]
 
 
-@pytest.mark.parametrize("seed, pivots", [(0, 3), (1, 1), (2, 3)])
+@pytest.mark.parametrize("seed, pivots", [(0, 4), (1, 1), (2, 7)])
 def test_op8(spark, seed, pivots):
     rows = near_rows(seed)
     df = docs(spark, [(i, t, "q", 5) for i, t in rows], "doc_id long, text string, id string, n int")
