@@ -123,7 +123,7 @@ def inbox(sessions: DataFrame, members: DataFrame, holds: DataFrame, requests: D
 
 def bay_problems(sessions: DataFrame, bays: DataFrame, members: DataFrame, grants: DataFrame, holds: DataFrame) -> DataFrame:
     """Counts of rows that name what is gone, and of sessions in no bay; only those above zero."""
-    checks = (("sessions in no bay", sessions, members, "session_uid"), ("memberships naming a bay that is gone", members, bays, "bay"), ("memberships of a session that is gone", members, sessions, "session_uid"), ("grants naming a bay that is gone", grants, bays, "bay"), ("holds naming a bay that is gone", holds, bays, "bay"))
+    checks = (("session_unassigned", sessions, members, "session_uid"), ("member_bay_missing", members, bays, "bay"), ("member_session_missing", members, sessions, "session_uid"), ("grant_bay_missing", grants, bays, "bay"), ("hold_bay_missing", holds, bays, "bay"))
     out = None
     for what, rows, known, key in checks:
         n = rows.join(known.select(key), key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")

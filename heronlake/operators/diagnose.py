@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,79 +203,47 @@ def unknown_tool(e: DataFrame, r: Rules) -> DataFrame:
     return _found(rows, "unknown_tool", where=F.col("count") >= r.unknown_calls, subject=F.coalesce("tool_name", F.lit("")))
 
 
-def retry_chains(rows: list[tuple], window: int, retries: int) -> list[tuple]:
-    """(pos, is_call, inner, tool, input, call_id, failed, output, unsure) in order -> (cause, tool, pos, longest).
+def answered_calls(e: DataFrame) -> DataFrame:
+    """A row per call: where it was made, what it asked, and its first answer.
 
-    A repeat is linked to the newest equal call among the last `window` calls. A chain grows when the repeated
-    call failed, or gave the same output; it is settled once both have results, whichever came first.
+    A call id is taken while calls outnumber results under it; the call that takes it is one call however often it is
+    repeated meanwhile. closed: as many results came, though perhaps none of the outer layer. A call without id has no answer.
     """
-    recent: list[dict] = []
-    opened: dict[str, dict] = {}
-    longest: dict[tuple, int] = {}
-    hits: list[tuple] = []
-
-    def settle(c: dict | None) -> None:
-        while c is not None and c["done"] and not c["settled"]:
-            p = c["retry"]
-            if p is not None:
-                if not p["settled"]:
-                    p["next"] = c
-                    return
-                cause = None
-                if p["done"] and p["failed"]:
-                    c["error"], cause = p["error"] + 1, ("after_error", "error")
-                elif p["done"] and p["output"] == c["output"]:
-                    c["same"], cause = p["same"] + 1, ("same_output", "same")
-                if cause:
-                    run = c[cause[1]]
-                    longest[cause[0], c["tool"]] = max(run, longest.get((cause[0], c["tool"]), 0))
-                    if run == retries:
-                        hits.append((cause[0], c["tool"], c["pos"]))
-            c["settled"], c["retry"] = True, None
-            after, c["next"] = c["next"], None
-            c = after
-
-    for pos, is_call, inner, tool, given, call_id, failed, output, unsure in rows:
-        if is_call:
-            if call_id and call_id in opened:
-                opened[call_id]["pending"] += 1
-                continue
-            c = {"pos": pos, "tool": tool, "input": given, "pending": 1, "done": False, "settled": False, "failed": False, "output": None, "retry": None, "next": None, "error": 0, "same": 0}
-            if not inner and tool and tool not in POLLING and not unsure:
-                c["retry"] = next((p for p in reversed(recent) if p["tool"] == tool and p["input"] == given), None)
-                recent = [*recent, c][-window:]
-            if call_id:
-                opened[call_id] = c
-        else:
-            c = opened.get(call_id) if call_id else None
-            if c is None:
-                continue
-            if not inner and not c["done"]:
-                c["done"], c["output"], c["failed"] = True, output, failed
-                settle(c)
-            c["pending"] -= 1
-            if c["pending"] <= 0:
-                del opened[call_id]
-                if not c["done"]:
-                    p, c["settled"], c["retry"] = c["retry"], True, None
-                    if p is not None and p["next"] is c:
-                        p["next"] = None
-                    settle(c["next"])
-    return [(cause, tool, pos, longest[cause, tool]) for cause, tool, pos in hits]
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = e.where("is_call or is_result").select("session_uid", "harness", "pos", "is_call", "inner", "unsure", text("tool_name").alias("tool"), text("call_id").alias("call_id"), F.coalesce("tool_error", F.lit(False)).alias("failed"), F.sha2(text("content"), 256).alias("digest"))
+    by_id = Window.partitionBy("session_uid", "call_id").orderBy("pos")
+    level = F.sum(F.when(F.col("is_call"), 1).otherwise(-1)).over(by_id)
+    named = rows.where("call_id <> ''").withColumn("level", level)
+    named = named.withColumn("waiting", F.col("level") - F.least(F.lit(0), F.min("level").over(by_id)))
+    named = named.withColumn("was", F.coalesce(F.lag("waiting").over(by_id), F.lit(0)))
+    opens, answers = F.col("is_call") & (F.col("was") == 0), ~F.col("is_call") & (F.col("was") > 0)
+    named = named.withColumn("time", F.sum(opens.cast("int")).over(by_id))
+    call = F.struct("pos", "tool", "digest", "inner", "unsure")
+    each = named.groupBy("session_uid", "harness", "call_id", "time").agg(F.min(F.when(opens, call)).alias("c"), F.min(F.when(answers & ~F.col("inner"), F.struct("pos", "failed", "digest"))).alias("a"), F.max(answers & (F.col("waiting") == 0)).alias("closed"))
+    bare = rows.where("is_call and call_id = ''").select("session_uid", "harness", "pos", "tool", F.col("digest").alias("asked"), "inner", "unsure", F.lit(False).alias("done"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("answer"), F.lit(False).alias("closed"))
+    done = F.col("a").isNotNull()
+    return each.where("c is not null").select("session_uid", "harness", "c.pos", "c.tool", F.col("c.digest").alias("asked"), "c.inner", "c.unsure", done.alias("done"), F.coalesce("a.failed", F.lit(False)).alias("failed"), F.col("a.digest").alias("answer"), "closed").unionByName(bare)
 
 
 def retry_loop(e: DataFrame, r: Rules) -> DataFrame:
-    window, retries = r.window, r.retries
+    """Chains of equal calls, each within `window` calls of the one before, that follow a failure or repeat an answer.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        text = lambda x: x if isinstance(x, str) else ""
-        rows = [(int(x.pos), bool(x.is_call), bool(x.inner), text(x.tool_name), x.digest, text(x.call_id), x.tool_error is True or x.tool_error == 1.0, x.digest, bool(x.unsure)) for x in pdf.itertuples()]
-        found = retry_chains(rows, window, retries)
-        return pd.DataFrame([(pdf.session_uid.iloc[0], pdf.harness.iloc[0], *f) for f in found], columns=["session_uid", "harness", "cause", "tool", "pos", "longest"])
-
-    rows = e.where("is_call or is_result").select("session_uid", "harness", "pos", "is_call", "inner", "tool_name", "call_id", "tool_error", "unsure", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
-    hits = rows.groupBy("session_uid").applyInPandas(fold, "session_uid string, harness string, cause string, tool string, pos long, longest long")
+    A chain is known only up to its first unanswered call. One finding for each run that reaches `retries` repeats.
+    """
+    calls = answered_calls(e).where((~F.col("inner")) & (~F.col("unsure")) & (F.col("tool") != "") & ~F.col("tool").isin(*POLLING))
+    calls = calls.withColumn("nth", F.row_number().over(Window.partitionBy("session_uid").orderBy("pos")))
+    equal = Window.partitionBy("session_uid", "tool", "asked").orderBy("pos")
+    apart = F.col("nth") - F.lag("nth").over(equal)
+    calls = calls.withColumn("chain", F.sum(F.when(apart <= r.window, 0).otherwise(1)).over(equal))
+    chain = Window.partitionBy("session_uid", "tool", "asked", "chain").orderBy("pos")
+    open_ = F.sum(F.when(F.col("done") | F.col("closed"), 0).otherwise(1)).over(chain)
+    known = F.col("done") & (open_ == 0) & F.lag("done").over(chain)
+    cause = F.when(known & F.lag("failed").over(chain), "after_error").when(known & (F.lag("answer").over(chain) == F.col("answer")), "same_output").otherwise("")
+    steps = calls.withColumn("cause", cause).withColumn("turn", F.when(F.col("cause") == F.lag("cause").over(chain), 0).otherwise(1))
+    steps = steps.withColumn("stretch", F.sum("turn").over(chain)).where("cause <> ''")
+    runs = steps.withColumn("run", F.row_number().over(Window.partitionBy("session_uid", "tool", "asked", "chain", "stretch").orderBy("pos")))
+    longest = F.max("run").over(Window.partitionBy("session_uid", "tool", "cause"))
+    hits = runs.withColumn("longest", longest).where(F.col("run") == r.retries)
     parts = [_found(hits.where(F.col("cause") == c), "retry_loop", cause=c, subject=F.col("tool"), value=F.col("longest")) for c in ("after_error", "same_output")]
     return parts[0].unionByName(parts[1])
 

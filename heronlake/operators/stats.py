@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,27 +95,29 @@ def token_view(stats: DataFrame) -> DataFrame:
 def codex_usage(reports: DataFrame) -> DataFrame:
     """Model calls of running totals: (session_uid, pos, total_*, last_*) -> those counted, with token deltas.
 
-    A report with totals counts by how far they moved since the report before, from zero again where any
-    kind dropped; without movement it is no call. A report without totals counts by its own `last_*` and
-    moves the baseline. Input excludes what was cached. Null kinds are unknown, not zero.
+    A report with totals counts by how far each kind rose above what is counted already. A total below the one
+    reported before it, in any kind, is a new process that counts from zero. A report without totals counts by its
+    own `last_*`, which then are counted already. Without movement it is no call. Input excludes what was
+    cached. Null kinds are unknown, not zero.
     """
     kinds = ("input", "cached", "output")
-    state = "struct<" + ", ".join(f"{k}: bigint" for k in kinds) + ">"
-    rows = F.array_sort(F.collect_list(F.struct("pos", *[f"total_{k}" for k in kinds], *[f"last_{k}" for k in kinds])))
-    zero = F.struct(F.struct(*[F.lit(0).cast("long").alias(k) for k in kinds]).alias("base"), F.array().cast(f"array<struct<pos: bigint, {', '.join(f'{k}: bigint' for k in kinds)}>>").alias("out"))
+    longs = lambda kind: "struct<" + ", ".join(f"{k}: bigint" for k in kind) + ">"
+    row = F.struct("pos", *[f"total_{k}" for k in kinds], *[f"last_{k}" for k in kinds])
+    start = F.struct(F.struct(*[F.lit(0).alias(k) for k in kinds]).cast(longs(kinds)).alias("counted"), F.lit(None).cast(longs(kinds)).alias("reported"), F.array().cast(f"array<{longs(('pos', *kinds))}>").alias("out"))
+    every = lambda f: F.struct(*[f(k).cast("long").alias(k) for k in kinds])
+    any_of = lambda f: reduce(or_, (F.coalesce(f(k), F.lit(False)) for k in kinds))
 
     def step(acc, r):
-        has = F.coalesce(*[r[f"total_{k}"] for k in kinds]).isNotNull()
-        drop = F.lit(False)
-        for k in kinds:
-            drop |= F.coalesce(r[f"total_{k}"] < acc["base"][k], F.lit(False))
-        delta = {k: F.when(has, F.coalesce(r[f"total_{k}"], F.lit(0)) - F.when(drop, 0).otherwise(acc["base"][k])).otherwise(r[f"last_{k}"]) for k in kinds}
-        moved = F.lit(False)
-        for k in kinds:
-            moved |= F.coalesce(delta[k] != 0, F.lit(False))
-        base = F.struct(*[F.when(has, F.coalesce(r[f"total_{k}"], F.lit(0))).otherwise(acc["base"][k] + F.coalesce(r[f"last_{k}"], F.lit(0))).alias(k) for k in kinds]).cast(state)
-        one = F.struct(r["pos"].alias("pos"), *[delta[k].cast("long").alias(k) for k in kinds])
-        return F.struct(base.alias("base"), F.when(moved, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    folded = reports.groupBy("session_uid").agg(F.aggregate(rows, zero, step)["out"].alias("o")).select("session_uid", F.explode("o").alias("o"))
-    return folded.select("session_uid", "o.pos", (F.col("o.input") - F.coalesce("o.cached", F.lit(0))).alias("input"), F.col("o.output").alias("output"), F.col("o.cached").alias("cache_read"))
+        has = any_of(lambda k: r[f"total_{k}"].isNotNull())
+        total = lambda k: F.coalesce(r[f"total_{k}"], F.lit(0))
+        anew = any_of(lambda k: total(k) < acc["reported"][k])
+        from_ = lambda k: F.when(anew, 0).otherwise(acc["counted"][k])
+        rise = lambda k: F.when(has, F.greatest(total(k) - from_(k), F.lit(0))).otherwise(r[f"last_{k}"])
+        counts = F.when(has, any_of(lambda k: rise(k) > 0)).otherwise(any_of(lambda k: r[f"last_{k}"].isNotNull()))
+        counted = every(lambda k: F.when(has, from_(k)).otherwise(acc["counted"][k]) + F.coalesce(rise(k), F.lit(0)))
+        reported = F.when(has, every(total)).otherwise(acc["reported"])
+        one = F.struct(r["pos"].alias("pos"), *[rise(k).cast("long").alias(k) for k in kinds])
+        return F.struct(counted.alias("counted"), reported.alias("reported"), F.when(counts, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    folded = reports.groupBy("session_uid").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("o")).select("session_uid", F.explode("o").alias("o"))
+    return folded.select("session_uid", "o.pos", F.greatest(F.col("o.input") - F.coalesce("o.cached", F.lit(0)), F.when(F.col("o.input").isNotNull(), 0)).alias("input"), F.col("o.output").alias("output"), F.col("o.cached").alias("cache_read"))

@@ -233,7 +233,7 @@ AND NOT EXISTS (SELECT 1 FROM artifacts b WHERE b.session_uid = a.session_uid AN
 SELECT session_uid, harness, coalesce(bays, '') AS bays, reasons FROM (SELECT s.session_uid, s.harness, b.bays, concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM members m WHERE m.session_uid = s.session_uid AND m.bay = 'b0') THEN 'default_bay' END,
 CASE WHEN EXISTS (SELECT 1 FROM holds h WHERE h.session_uid = s.session_uid AND h.state IN ('held', 'flagged')) THEN 'held' END, CASE WHEN EXISTS (SELECT 1 FROM requests r WHERE r.session_uid = s.session_uid AND r.outcome = 'refused') THEN 'refused' END,
 CASE WHEN b.bays IS NULL THEN 'no_bay' END) AS reasons FROM sessions s LEFT JOIN b USING (session_uid)) WHERE reasons <> ''""",
-    "catalog_bay_problems": f"WITH {duck_catalog('sessions', 'bays', 'members', 'grants', 'holds')} SELECT * FROM ({' UNION ALL '.join(_gone(*x) for x in (('sessions in no bay', 'sessions', 'members', 'session_uid'), ('memberships naming a bay that is gone', 'members', 'bays', 'bay'), ('memberships of a session that is gone', 'members', 'sessions', 'session_uid'), ('grants naming a bay that is gone', 'grants', 'bays', 'bay'), ('holds naming a bay that is gone', 'holds', 'bays', 'bay')))}) WHERE n > 0",
+    "catalog_bay_problems": f"WITH {duck_catalog('sessions', 'bays', 'members', 'grants', 'holds')} SELECT * FROM ({' UNION ALL '.join(_gone(*x) for x in (('session_unassigned', 'sessions', 'members', 'session_uid'), ('member_bay_missing', 'members', 'bays', 'bay'), ('member_session_missing', 'members', 'sessions', 'session_uid'), ('grant_bay_missing', 'grants', 'bays', 'bay'), ('hold_bay_missing', 'holds', 'bays', 'bay')))}) WHERE n > 0",
     "catalog_bay_counts": f"WITH {duck_catalog('bays', 'members')} SELECT bay, name, (SELECT count(DISTINCT session_uid) FROM members m WHERE m.bay = b.bay) AS sessions FROM bays b",
     "catalog_resolve_names": f"WITH {duck_catalog('bays')} SELECT name, bay FROM bays UNION ALL SELECT 'old-' || bay, bay FROM bays UNION ALL SELECT bay || 'x', NULL FROM bays",
     "catalog_scope": f"WITH {duck_catalog('sessions', 'members', 'artifacts')} SELECT session_uid, harness FROM sessions WHERE session_uid IN (SELECT session_uid FROM members WHERE bay IN ('b3', 'b4')) AND session_uid IN (SELECT session_uid FROM artifacts WHERE size > 150000)",

@@ -54,7 +54,22 @@ p1 AS (SELECT *, s - least(0, min(s) OVER w) AS pending FROM p0 WINDOW w AS (PAR
 p AS (SELECT *, coalesce(lag(pending) OVER w, 0) AS was FROM p1 WINDOW w AS (PARTITION BY session_uid, call_id ORDER BY pos))"""
 ORG = "CASE WHEN {t} = 'mcp__docs__search' THEN 'docs' WHEN {t} = 'mcp__plugin_kit_db__query' THEN CASE WHEN harness = 'claude' THEN 'kit/db' ELSE 'plugin_kit_db' END END"
 
+RETRIES = f"""{PENDING}, x AS (SELECT *, sum((is_call AND was = 0)::INT) OVER (PARTITION BY session_uid, call_id ORDER BY pos) AS time FROM p),
+y AS (SELECT session_uid, min(pos) FILTER (is_call AND was = 0) AS pos, arg_min(coalesce(tool_name, ''), pos) FILTER (is_call AND was = 0) AS tool, arg_min(coalesce(content, ''), pos) FILTER (is_call AND was = 0) AS asked, arg_min(coalesce("inner", false), pos) FILTER (is_call AND was = 0) AS inside,
+  count(*) FILTER (is_result AND was > 0 AND NOT coalesce("inner", false)) > 0 AS done, arg_min(coalesce(tool_error, false), pos) FILTER (is_result AND was > 0 AND NOT coalesce("inner", false)) AS failed, arg_min(coalesce(content, ''), pos) FILTER (is_result AND was > 0 AND NOT coalesce("inner", false)) AS answer, bool_or(is_result AND was > 0 AND pending = 0) AS closed
+  FROM x GROUP BY session_uid, call_id, time),
+z AS (SELECT session_uid, pos, tool, asked, inside, done, failed, answer, closed FROM y WHERE pos IS NOT NULL UNION ALL SELECT session_uid, pos, coalesce(tool_name, ''), coalesce(content, ''), coalesce("inner", false), false, false, NULL, false FROM e WHERE is_call AND call_id IS NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY pos) AS nth FROM z WHERE NOT inside AND tool <> '' AND tool NOT IN ({', '.join(repr(x) for x in sorted(dg.POLLING))})),
+l AS (SELECT *, nth - lag(nth) OVER w AS apart FROM n WINDOW w AS (PARTITION BY session_uid, tool, asked ORDER BY pos)),
+c AS (SELECT *, sum(CASE WHEN apart <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY session_uid, tool, asked ORDER BY pos) AS chain FROM l),
+k AS (SELECT *, CASE WHEN done AND sum(CASE WHEN done OR closed THEN 0 ELSE 1 END) OVER w = 0 AND lag(done) OVER w THEN CASE WHEN lag(failed) OVER w THEN 'after_error' WHEN lag(answer) OVER w = answer THEN 'same_output' ELSE '' END ELSE '' END AS cause FROM c WINDOW w AS (PARTITION BY session_uid, tool, asked, chain ORDER BY pos)),
+s1 AS (SELECT *, CASE WHEN cause = lag(cause) OVER w THEN 0 ELSE 1 END AS turn FROM k WINDOW w AS (PARTITION BY session_uid, tool, asked, chain ORDER BY pos)),
+s2 AS (SELECT *, sum(turn) OVER (PARTITION BY session_uid, tool, asked, chain ORDER BY pos) AS stretch FROM s1),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY session_uid, tool, asked, chain, stretch ORDER BY pos) AS run FROM s2 WHERE cause <> ''),
+s4 AS (SELECT *, max(run) OVER (PARTITION BY session_uid, tool, cause) AS longest FROM s3)"""
+
 ORACLE_SQL = {
+    "diagnose_retry_loop": _sql("SELECT * FROM s4 WHERE run = 1", "retry_loop", "longest", "cause", "tool", ctes=RETRIES),
     "diagnose_unreadable_lines": _sql("SELECT * FROM e WHERE unreadable", "unreadable_lines"),
     "diagnose_large_tool_input": _sql("SELECT * FROM e WHERE is_call AND NOT \"inner\" AND content_bytes >= 25000", "large_tool_input", "content_bytes"),
     "diagnose_large_tool_result": _sql("SELECT * FROM (SELECT *, count(*) FILTER (content_bytes >= 30000) OVER (PARTITION BY session_uid) AS single, count(*) OVER (PARTITION BY session_uid) AS many FROM e WHERE is_result AND NOT \"inner\" AND content_bytes >= 12000) WHERE CASE WHEN single > 0 THEN content_bytes >= 30000 ELSE many >= 4 END", "large_tool_result", "content_bytes"),

@@ -61,11 +61,6 @@ def test_filters_apply_after_pairing(vector):
     assert [(r.key, r.calls, r.results, r.latency_max) for r in g] == [("Bash", 0, 1, 2000)]
 
 
-def chains(*steps):
-    """(call id, tool, input) or (call id, output, failed) in order, as rows for the fold."""
-    return [(i, True, False, s[1], s[2], s[0], False, None, False) if len(s) == 3 and isinstance(s[2], str) else (i, False, False, "", None, s[0], s[2], s[1], False) for i, s in enumerate(steps)]
-
-
 def pairs(n, out=lambda i: "same", fail=False, tool="Grep", fill=0):
     steps = []
     for i in range(n):
@@ -75,21 +70,31 @@ def pairs(n, out=lambda i: "same", fail=False, tool="Grep", fill=0):
     return steps
 
 
-@pytest.mark.parametrize(
-    "steps, want",
-    [
-        (pairs(4), [("same_output", "Grep", 6, 3)]),
-        (pairs(4, fill=6), []),
-        (pairs(4, fill=4), [("same_output", "Grep", 30, 3)]),
-        (pairs(4, fill=5), []),
-        ([(f"c{i}", "Grep", "in") for i in range(4)] + [(f"c{i}", "same", False) for i in reversed(range(4))], [("same_output", "Grep", 3, 3)]),
-        (pairs(6, out=str), []),
-        (pairs(6, tool="Monitor"), []),
-        (pairs(4, out=str, fail=True), [("after_error", "Grep", 6, 3)]),
-    ],
-)
-def test_retry_chains(steps, want):
-    assert diagnose.retry_chains(chains(*steps), 5, 3) == want
+CHAINS = {
+    "same": (pairs(4), [("same_output", "Grep", [6], 3)]),
+    "fill6": (pairs(4, fill=6), []),
+    "fill4": (pairs(4, fill=4), [("same_output", "Grep", [30], 3)]),
+    "fill5": (pairs(4, fill=5), []),
+    "reversed": ([(f"c{i}", "Grep", "in") for i in range(4)] + [(f"c{i}", "same", False) for i in reversed(range(4))], [("same_output", "Grep", [3], 3)]),
+    "changing": (pairs(6, out=str), []),
+    "polling": (pairs(6, tool="Monitor"), []),
+    "failing": (pairs(4, out=str, fail=True), [("after_error", "Grep", [6], 3)]),
+    "two": (pairs(5) + [(f"g{i}", x, y) for i in range(4) for x, y in (("Grep", "other"), ("same", False))], [("same_output", "Grep", [6, 16], 4)]),
+    "unanswered": ([("u", "Grep", "in"), *pairs(5)], []),
+}
+
+
+def test_retry_loop(spark):
+    rows = []
+    for name, (steps, _) in CHAINS.items():
+        for i, s in enumerate(steps):
+            asks = isinstance(s[2], str)
+            rows.append({"session_uid": name, "pos": i, "event_type": "tool_call" if asks else "tool_result", "call_id": s[0], "tool_name": s[1] if asks else None, "content": s[2] if asks else s[1], "tool_error": None if asks else s[2]})
+    found = diagnose.retry_loop(diagnose.prepared(events(spark, *rows)), diagnose.Rules()).collect()
+    got = {name: [] for name in CHAINS}
+    for r in found:
+        got[r.session_uid].append((r.cause, r.subject, r.positions, r.value))
+    assert got == {name: want for name, (_, want) in CHAINS.items()}
 
 
 def test_diagnose_codes(spark):
@@ -116,7 +121,11 @@ def test_usage_blocks_and_null_tokens(spark):
 def test_codex_totals_restart(spark):
     rows = [("s", 0, 10, 0, 1, None, None, None), ("s", 1, 15, 5, 2, None, None, None), ("s", 2, 15, 5, 2, None, None, None), ("s", 3, 4, 0, 1, None, None, None)]
     df = spark.createDataFrame(rows, "session_uid string, pos long, total_input long, total_cached long, total_output long, last_input long, last_cached long, last_output long")
-    assert [(r.pos, r.input, r.output) for r in stats.codex_usage(df).orderBy("pos").collect()] == [(0, 10, 1), (1, 0, 1), (3, 4, 1)]
+    got = lambda df: [(r.pos, r.input, r.output) for r in stats.codex_usage(df).orderBy("pos").collect()]
+    assert got(df) == [(0, 10, 1), (1, 0, 1), (3, 4, 1)]
+    # a report without totals is counted once, though the total that follows lies below what is counted
+    rows = [("s", 0, 100, 0, 0, None, None, None), ("s", 1, None, None, None, 10, 2, 0), ("s", 2, 105, 0, 0, None, None, None), ("s", 3, 130, 0, 0, None, None, None), ("s", 4, None, None, None, None, None, None)]
+    assert got(spark.createDataFrame(rows, df.schema)) == [(0, 100, 0), (1, 8, 0), (3, 20, 0)]
 
 
 def test_count_by(vector):
