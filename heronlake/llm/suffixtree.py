@@ -1,21 +1,22 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's contexts are the last one or two words. A context is counted where it was met `min_count` times
-in training, and it is retained as a state when the log-likelihood that its next-symbol distribution
-gains over its suffix's (count times divergence) exceeds the cost of naming its distinct next symbols,
-log(V+1) each. Distributions are smoothed towards the suffix's by as much mass as there are distinct next
-symbols; the root is the additive unigram model. A token is scored by the longest suffix of its history
-that is a state; histories begin anew with each document.
-
-Counting runs level by level over blocks of documents. A block's words are kept once, as a file in the shared
-folder; what travels is each block's sorted distinct keys with its counts, cut by key ranges, delta-coded
-and compressed. A key range is summed in one task and the sums go back to the blocks, in key order. As
-a block gives each key once, frequent words weigh no more than others. Divergences and distinct next
-symbols are sums over occurrences and take the same way. All documents are counted and scored whole.
+The tree grows level by level. A context of d words is a candidate where it was met `min_count` times in training,
+its suffix of d-1 words is a state, and its prefix of d-1 words was a candidate. It is retained as a state when
+the log-likelihood that its next-symbol distribution gains over its suffix's (count times divergence) exceeds
+the cost of naming its distinct next symbols, log(V+1) each. So the divergence test alone ends the growth, at
+the level that has no candidate. Distributions are smoothed towards the suffix's by as much mass as there are
+distinct next symbols; the root is the additive unigram model. A token is scored by the longest suffix of its
+history that is a state; histories begin anew with each document.
+
+Counting runs over blocks of documents. A block's words are kept once, as a file in the shared folder; what
+travels is each block's sorted distinct keys with its counts, cut by key ranges, delta-coded and compressed.
+A key range is summed in one task and the sums go back to the blocks, in key order. As a block gives each
+key once, frequent words weigh no more than others. Divergences and distinct next symbols are sums over
+occurrences and take the same way. All documents are counted and scored whole.
 
 Training documents are those whose crc32(doc_id as text) mod 10 is not 0; a null doc_id is the empty text,
 which is held out. Null texts are empty and hold the end alone. Repeated rows count as often as they occur.
-Keys are 64-bit hashes.
+Other columns are not read. Keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import open_fs, put_file, release, scratch, stored
+from heronlake.llm.common import drop_stored, open_fs, put_file, release, scratch, stored
 from heronlake.llm.jaccard import WORD_BITS
 from heronlake.llm.wordhash import mixed, text_hashes
 
@@ -38,9 +39,10 @@ END = np.uint64(0x5EED0FD0C5)
 ROWS = "kind long, bucket long, block long, keys binary, vals binary"
 ROW_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 ROW_NAMES = ["kind", "bucket", "block", "keys", "vals"]
-UNI, BI, TRI, CTX1, CTX2 = range(5)
-VALUES = (np.uint32, np.uint32, np.uint32, np.float32, np.float32)
-BACK = (np.uint64, np.uint64, np.uint64, np.float32, np.float32)
+#: Kinds of rows that travel: counts of a key, and gain and distinct next symbols of a context.
+COUNT, CONTEXT = range(2)
+VALUES = (np.uint32, np.float32)
+BACK = (np.uint64, np.float32)
 
 
 def squeezed(a: np.ndarray) -> bytes:
@@ -132,22 +134,51 @@ def shifted(a: np.ndarray, first: np.ndarray, fill) -> np.ndarray:
 
 
 class Block:
-    """A block's tokens, with what earlier passes have found."""
+    """A block's tokens, with the levels of the tree that are known."""
 
-    def __init__(self, folder: str, block: int, *names: str):
-        for name in ("tokens", *names):
-            vars(self).update(load(f"{folder}/block-{block}.{name}"))
+    def __init__(self, folder: str, block: int):
+        self.folder, self.block = folder, block
+        vars(self).update(load(f"{folder}/block-{block}.tokens"))
         self.starts = np.cumsum(self.lens) - self.lens
         self.first = np.zeros(len(self.index), bool)
         self.first[self.starts] = True
-        self.word = self.uni[self.index]
         self.train = np.repeat(self.train_doc, self.lens).astype(bool)
 
-    def pair_keys(self) -> np.ndarray:
-        return mixed(mixed(shifted(self.word, self.first, np.uint64(0))) * WORD_BITS + self.word)
-
-    def triple_keys(self, pairs: np.ndarray) -> np.ndarray:
-        return mixed(mixed(shifted(pairs, self.first, np.uint64(0)) + np.uint64(1)) * WORD_BITS + self.word)
+    def keep(self, name: str, **arrays: np.ndarray) -> None:
+        save(f"{self.folder}/block-{self.block}.{name}", arrays)
+
+    def kept(self, name: str) -> dict[str, np.ndarray]:
+        return load(f"{self.folder}/block-{self.block}.{name}")
+
+    def climb(self, level: int, floor: float, min_count: int) -> Level:
+        """The tokens whose contexts are candidates at `level`, found from the levels below, whose counts and states are kept."""
+        c = self.kept("words")["c"][self.index]
+        word = self.uni[self.index]
+        p = (c + 0.1) / floor
+        best = p.copy()
+        met = shifted(c, self.first, 0)
+        at = np.flatnonzero(met >= min_count)
+        now = Level(at, word[at - 1], met[at], p[at], best)
+        for d in range(1, level + 1):
+            now.gram = mixed(mixed(now.context + np.uint64(d - 1)) * WORD_BITS + word[now.at])
+            if d == level:
+                return now
+            found = self.kept(f"level{d}")
+            n, kinds, state = found["n"], found["kinds"], found["state"] > 0
+            p = (n + kinds * now.p) / (now.met + kinds)
+            best[now.at[state]] = p[state]
+            # the next level's contexts: this one's, at the token before, where it is followed often enough
+            before = np.flatnonzero(state[1:] & (np.diff(now.at) == 1) & (n[:-1] >= min_count))
+            now = Level(now.at[before + 1], now.gram[before], n[before], p[before + 1], best)
+        return now
+
+
+class Level:
+    """Of the tokens `at` whose contexts are candidates at one level: the context's key, how often it was met, the token's
+    probability at the suffix, and the key of context and token. best: of all tokens, the probability by the longest state."""
+
+    def __init__(self, at, context, met, p, best):
+        self.at, self.context, self.met, self.p, self.best = at, context, met, p, best
 
 
 def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
@@ -188,121 +219,96 @@ def tokenised(docs: DataFrame, folder: str, block_tokens: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(run, "block long"), "suffix-blocks")
 
 
-def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 3_000_000) -> DataFrame:
-    """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score(docs: DataFrame, min_count: int = 8, block_tokens: int = 3_000_000, depth: int | None = None) -> DataFrame:
+    """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    depth: a level at which to stop, if any.
+    """
     spark = docs.sparkSession
     folder = scratch(spark, "suffix")
     blocks = tokenised(docs, folder, block_tokens)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(3, math.ceil(math.log2(max(tasks, blocks.count(), 1))))
+    bits = max(3, math.ceil(math.log2(max(tasks, 1))))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("block").to_pylist():
                 b = Block(folder, block)
-                n = np.bincount(b.index, b.train, len(b.uni))
-                yield from table(key_rows(UNI, block, b.uni, [n], bits)).to_batches()
+                yield from table(key_rows(COUNT, block, b.uni, [np.bincount(b.index, b.train, len(b.uni))], bits)).to_batches()
 
-    uni = exchange(blocks.repartition(tasks).mapInArrow(words, ROWS), "suffix-uni")
-    release(spark)
-    known = uni.agg(F.sum("distinct")).first()[0] or 0
+    sums = exchange(blocks.repartition(tasks).mapInArrow(words, ROWS), "suffix-words")
+    known = sums.agg(F.sum("distinct")).first()[0] or 0
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
+            of = []
             for block in batch.column("block").to_pylist():
                 b = load(f"{folder}/block-{block}.tokens")
-                sums.append(int(b["lens"][b["train_doc"] > 0].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["n"])
+                of.append(int(b["lens"][b["train_doc"] > 0].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64())], ["n"])
 
     total = blocks.repartition(tasks).mapInArrow(count_all, "n long").agg(F.sum("n")).first()[0] or 0
     floor = total + 0.1 * (known + 1)
-
-    def pairs(key, group):
-        block = key[0].as_py()
-        b = Block(folder, block)
-        c0 = returned(group, UNI, 1)[0]
-        save(f"{folder}/block-{block}.c0", {"c0": c0.astype(np.int64)})
-        use = np.flatnonzero(shifted(c0[b.index], b.first, 0) >= min_count)
-        keys, place = np.unique(b.pair_keys()[use], return_inverse=True)
-        return table(key_rows(BI, block, keys, [np.bincount(place, b.train[use], len(keys))], bits))
-
-    bi = exchange(uni.groupBy("block").applyInArrow(pairs, ROWS), "suffix-bi")
-    per_block = lambda df: df.unionByName(blocks.select(F.lit(-1).cast("long").alias("kind"), F.lit(0).cast("long").alias("bucket"), "block", F.lit(b"").alias("vals"), F.lit(0).cast("long").alias("distinct"))).groupBy("block")
-    release(spark)
-
-    def triples(key, group):
-        block = key[0].as_py()
-        b = Block(folder, block, "c0")
-        c = b.c0[b.index]
-        n_ctx = shifted(c, b.first, 0)
-        use = np.flatnonzero(n_ctx >= min_count)
-        pair = b.pair_keys()
-        _, place = np.unique(pair[use], return_inverse=True)
-        n1 = np.zeros(len(c), np.int64)
-        n1[use] = returned(group, BI, 1)[0][place]
-        save(f"{folder}/block-{block}.n1", {"n1": n1})
-        # the gain and the distinct next symbols of each one-word context, summed over training occurrences
-        ctx, at = np.unique(shifted(b.word, b.first, np.uint64(0))[use], return_inverse=True)
-        t = b.train[use]
-        gain = np.where(t, np.log(np.maximum(n1[use], 1) / n_ctx[use]) - np.log((c[use] + 0.1) / floor), 0)
-        rows = key_rows(CTX1, block, ctx, [np.bincount(at, gain, len(ctx)), np.bincount(at, np.where(t, 1 / np.maximum(n1[use], 1), 0), len(ctx))], bits)
-        deep = np.flatnonzero(shifted(n1, b.first, 0) >= min_count)
-        keys, place = np.unique(b.triple_keys(pair)[deep], return_inverse=True)
-        return table(rows + key_rows(TRI, block, keys, [np.bincount(place, b.train[deep], len(keys))], bits))
-
-    tri = exchange(per_block(bi).applyInArrow(triples, ROWS), "suffix-tri")
-    release(spark)
-
-    def first_level(b: Block) -> tuple:
-        """The root's and the one-word contexts' probabilities, and where the latter are states."""
-        c = b.c0[b.index]
-        p0 = (c + 0.1) / floor
-        n_ctx = shifted(c, b.first, 0)
-        use = np.flatnonzero(n_ctx >= min_count)
-        _, at = np.unique(shifted(b.word, b.first, np.uint64(0))[use], return_inverse=True)
-        kinds = b.kinds1[at]
-        p1 = p0.copy()
-        p1[use] = (b.n1[use] + kinds * p0[use]) / (n_ctx[use] + kinds)
-        state = np.zeros(len(c), bool)
-        state[use] = b.state1[at] > 0
-        return p0, p1, state
-
-    def contexts(key, group):
-        block = key[0].as_py()
-        gain, kinds = returned(group, CTX1, 2)
-        save(f"{folder}/block-{block}.level1", {"kinds1": np.rint(kinds).astype(np.int64), "state1": (gain > kinds * math.log(known + 1)).astype(np.uint8)})
-        b = Block(folder, block, "c0", "n1", "level1")
-        p0, p1, state = first_level(b)
-        pair = b.pair_keys()
-        n_ctx = shifted(b.n1, b.first, 0)
-        deep = np.flatnonzero(n_ctx >= min_count)
-        _, place = np.unique(b.triple_keys(pair)[deep], return_inverse=True)
-        n2 = returned(group, TRI, 1)[0][place]
-        save(f"{folder}/block-{block}.n2", {"n2": n2.astype(np.int64)})
-        ctx, at = np.unique(shifted(pair, b.first, np.uint64(0))[deep], return_inverse=True)
-        t = b.train[deep]
-        gain = np.where(t, np.log(np.maximum(n2, 1) / n_ctx[deep]) - np.log(p1[deep]), 0)
-        return table(key_rows(CTX2, block, ctx, [np.bincount(at, gain, len(ctx)), np.bincount(at, np.where(t, 1 / np.maximum(n2, 1), 0), len(ctx))], bits))
-
-    ctx2 = exchange(per_block(tri).applyInArrow(contexts, ROWS), "suffix-ctx2")
-    release(spark)
-
-    def scores(key, group):
-        b = Block(folder, key[0].as_py(), "c0", "n1", "level1", "n2")
-        c = b.c0[b.index]
-        p0, p1, state1 = first_level(b)
-        p = np.where(state1, p1, p0)
-        n_ctx = shifted(b.n1, b.first, 0)
-        deep = np.flatnonzero(n_ctx >= min_count)
-        _, at = np.unique(shifted(b.pair_keys(), b.first, np.uint64(0))[deep], return_inverse=True)
-        gain, kinds = (x[at] for x in returned(group, CTX2, 2))
-        kinds = np.rint(kinds)
-        state = gain > kinds * math.log(known + 1)
-        p2 = (b.n2 + kinds * p1[deep]) / (n_ctx[deep] + kinds)
-        p[deep[state]] = p2[state]
-        add = lambda x: np.add.reduceat(x, b.starts)
-        ids = pa.array(b.ids, mask=b.null.astype(bool))
-        return pa.table([ids, pa.array(b.train_doc == 0), pa.array(b.lens), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(b.lens), total)), pa.array(add(np.log10(p0))), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return per_block(ctx2).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    nothing = blocks.select(F.lit(-1).cast("long").alias("kind"), F.lit(0).cast("long").alias("bucket"), "block", F.lit(b"").alias("vals"), F.lit(0).cast("long").alias("distinct"))
+    # by a number of partitions: a block takes time, however few rows it gets
+    per_block = lambda df: df.unionByName(nothing).repartition(tasks, "block").groupBy("block")
+
+    def counting(level: int):
+        """Store what came back for the level before; send how often each token follows each candidate."""
+
+        def run(key, group):
+            b = Block(folder, key[0].as_py())
+            if level == 1:
+                b.keep("words", c=returned(group, COUNT, 1)[0].astype(np.int64))
+            else:
+                gain, kinds = returned(group, CONTEXT, 2)
+                kinds = np.rint(kinds).astype(np.int64)
+                place = np.unique(b.climb(level - 1, floor, min_count).context, return_inverse=True)[1]
+                b.keep(f"level{level - 1}", kinds=kinds[place], state=(gain > kinds * math.log(known + 1)).astype(np.uint8)[place], **b.kept(f"n{level - 1}"))
+            now = b.climb(level, floor, min_count)
+            keys, place = np.unique(now.gram, return_inverse=True)
+            return table(key_rows(COUNT, b.block, keys, [np.bincount(place, b.train[now.at], len(keys))], bits))
+
+        return run
+
+    def judging(level: int):
+        """Store the counts; send each candidate's gain and distinct next symbols, as sums over training occurrences."""
+
+        def run(key, group):
+            b = Block(folder, key[0].as_py())
+            now = b.climb(level, floor, min_count)
+            place = np.unique(now.gram, return_inverse=True)[1]
+            n = returned(group, COUNT, 1)[0][place]
+            b.keep(f"n{level}", n=n.astype(np.int64))
+            t = b.train[now.at]
+            gain = np.where(t, np.log(np.maximum(n, 1) / now.met) - np.log(now.p), 0)
+            contexts, place = np.unique(now.context, return_inverse=True)
+            of = len(contexts)
+            return table(key_rows(CONTEXT, b.block, contexts, [np.bincount(place, gain, of), np.bincount(place, np.where(t, 1 / np.maximum(n, 1), 0), of)], bits))
+
+        return run
+
+    level = 1
+    while True:
+        counts = exchange(per_block(sums).applyInArrow(counting(level), ROWS), f"suffix-counts{level}")
+        release(spark)
+        if counts.isEmpty() or (depth is not None and level > depth):
+            break
+        drop_stored(sums)
+        sums = exchange(per_block(counts).applyInArrow(judging(level), ROWS), f"suffix-contexts{level}")
+        drop_stored(counts)
+        release(spark)
+        level += 1
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                b = Block(folder, block)
+                c = b.kept("words")["c"][b.index]
+                best = b.climb(level, floor, min_count).best
+                add = lambda x: np.add.reduceat(x, b.starts)
+                ids = pa.array(b.ids, mask=b.null.astype(bool))
+                columns = [ids, pa.array(b.train_doc == 0), pa.array(b.lens), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(b.lens), total)), pa.array(add(np.log10((c + 0.1) / floor))), pa.array(add(np.log10(best)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return blocks.repartition(tasks).mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -194,39 +194,49 @@ def brute_scores(rows, m):
     train = [w for i, w in tok if not held(i)]
     c = collections.Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    bi, tri = collections.Counter(), collections.Counter()
-    for w in train:
-        bi.update(zip(w, w[1:]))
-        tri.update(zip(w, w[1:], w[2:]))
     p0 = lambda x: (c[x] + 0.1) / (n + 0.1 * (v + 1))
-    one, two = collections.defaultdict(dict), collections.defaultdict(dict)
-    for (a, x), k in bi.items():
-        if c[a] >= m:
-            one[a][x] = k
-    p1 = lambda a, x: (one[a].get(x, 0) + len(one[a]) * p0(x)) / (c[a] + len(one[a])) if a in one else p0(x)
-    for (a, b, x), k in tri.items():
-        if a in one and bi[a, b] >= m:
-            two[a, b][x] = k
-    p2 = lambda a, b, x: (two[a, b].get(x, 0) + len(two[a, b]) * p1(b, x)) / (bi[a, b] + len(two[a, b]))
-    s1 = {a for a, d in one.items() if sum(k * math.log(k / c[a] / p0(x)) for x, k in d.items()) > len(d) * math.log(v + 1)}
-    s2 = {k for k, d in two.items() if sum(z * math.log(z / bi[k] / p1(k[1], x)) for x, z in d.items()) > len(d) * math.log(v + 1)}
+    grams = [collections.Counter(tuple(w[k : k + d]) for w in train for k in range(len(w) - d + 1)) for d in range(12)]
+    states, counted = [{(): None}], {()}
+
+    def p(context, x):
+        if not context:
+            return p0(x)
+        d = states[len(context)][context]
+        return (d.get(x, 0) + len(d) * p(context[1:], x)) / (grams[len(context)][context] + len(d))
+
+    while states[-1]:
+        depth = len(states)
+        nexts = collections.defaultdict(dict)
+        for g, k in grams[depth + 1].items():
+            if grams[depth][g[:-1]] >= m and g[1:-1] in states[-1] and g[:-2] in counted:
+                nexts[g[:-1]][g[-1]] = k
+        counted = set(nexts)
+        states.append(nexts)
+        gain = {g: sum(k * math.log(k / grams[depth][g] / p(g[1:], x)) for x, k in d.items()) for g, d in nexts.items()}
+        states[-1] = {g: d for g, d in nexts.items() if gain[g] > len(d) * math.log(v + 1)}
+    brute_scores.depth = len(states) - 2
     out = []
     for i, w in tok:
         score = 0.0
         for k, x in enumerate(w):
-            p = p2(w[k - 2], w[k - 1], x) if k > 1 and (w[k - 2], w[k - 1]) in s2 else p1(w[k - 1], x) if k and w[k - 1] in s1 else p0(x)
-            score += math.log10(p)
+            d = max(d for d in range(min(k, len(states) - 1) + 1) if tuple(w[k - d : k]) in states[d])
+            q = p(tuple(w[k - d : k]), x)
+            score += math.log10(q)
         out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p0(x)) for x in w), score))
     return out
 
 
 def test_op4(spark, real, odd):
-    df = real.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    # sentences that fork after three and four words make contexts of that many words states
+    fork = [(2000 + i, " ".join(f"{a} red {b} fox {'runs' if a == 'one' else 'sleeps'} {'far' if a == 'one' else 'deep'} and {a} {b} ends" for a in ("one", "two") for b in ("big", "old"))) for i in range(150)]
+    df = real.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 1000).alias("doc_id"), "text")).unionByName(docs(spark, fork))
+    df = df.withColumns({"kind": F.lit("x"), "block": F.lit(1), "ids": F.lit(2)})
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
     got = sorted(map(tuple, suffixtree.score(df, min_count=4, block_tokens=20_000).collect()), key=key)
     want = sorted(brute_scores([(r.doc_id, r.text) for r in df.collect()], 4), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+    assert brute_scores.depth >= 3
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
     assert suffixtree.score(df.limit(0)).count() == 0
