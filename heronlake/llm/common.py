@@ -91,6 +91,17 @@ def put_file(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library offers that."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_state(key: str, make, family: str | None = None):
     """A value kept for the life of a Python worker, across its tasks.
 
@@ -100,8 +111,19 @@ def worker_state(key: str, make, family: str | None = None):
 
     kept = builtins.__dict__.setdefault("_heronlake_worker_state", {})
     if family and key not in kept:
-        for other in [k for k, (f, _) in kept.items() if f and f != family]:
-            del kept[other]
+        enter(family)
     if key not in kept:
         kept[key] = family, make()
     return kept[key][1]
+
+
+def enter(family: str) -> None:
+    """A worker's tasks turn to a family of operators: what it keeps for others goes, and the memory with it."""
+    import builtins
+
+    kept = builtins.__dict__.setdefault("_heronlake_worker_state", {})
+    others = [k for k, (f, _) in kept.items() if f and f != family]
+    for other in others:
+        del kept[other]
+    if others:
+        give_back()

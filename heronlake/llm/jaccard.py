@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import drop_stored, perhaps_in, release, stored
+from heronlake.llm.common import drop_stored, enter, perhaps_in, release, stored
 from heronlake.llm.components import components
 from heronlake.llm.wordhash import buffers, mixed
 
@@ -77,6 +77,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 flat = np.concatenate([*shingle_sets(batch.column("text").slice(i, 1000).to_pylist(), size), np.zeros(0, np.uint64)])
@@ -126,6 +127,7 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame
     """id, n, set_hash, prefix_hash, sketch, prefix: the first shingles in the order of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         import xxhash
 
         for batch in batches:
@@ -162,6 +164,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     """Those pairs (a, b) of ids whose whole sets are similar enough. Sketches go first, so that few texts move."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
@@ -169,12 +172,14 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(wide_sketch, sets)), pa.binary())], ["id", "n", "wide"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "wa", "wb")))
             keep = [not far_apart(x, y, (na + nb) * (den - num) // (den + num)) for na, nb, x, y in rows]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
@@ -214,6 +219,7 @@ def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent(docs, size))
     pre = stored(prefixes(docs, size, num, den, often), "jaccard-prefixes")
+    often.unpersist()
     real = pre.where("n > 0 and id is not null").select("id", "n", "set_hash", "prefix_hash", *SKETCH)
 
     # classes of equal sets, then groups of classes with equal prefix and size; named by their smallest document.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import stored
+from heronlake.llm.common import enter, stored
 
 CODES = 1 << 16
 #: Share of the way from a language's own text to foreign text at which text counts as foreign.
@@ -57,6 +57,7 @@ def fit(rows: DataFrame, label: str, train_rows: int, language_rows: int) -> tup
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -104,6 +105,7 @@ def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray, temper: f
     others = [c for c in rows.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         logs, low, spread = held.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):

@@ -36,7 +36,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:st|nd|rd|th)?[%$€£]?")
 NAME, NUM, UNIT = (np.uint64(x) for x in (1, 2, 3))
 #: Codes of distinct words that a worker remembers; the table is emptied beyond.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 250_000
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 
 

@@ -16,7 +16,7 @@ from heronlake.llm.common import worker_state
 #: White space outside ASCII; a text with any of these is encoded in one piece.
 WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Stems a worker remembers; beyond, it encodes without remembering.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def tokenizer_path(name: str) -> str:
