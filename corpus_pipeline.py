@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import jaccard, langid, linewinnow, packing, templates
-from heronlake.llm.common import read_table, stored
+from heronlake.llm.common import arrow_batches, read_table, stored
 from heronlake.llm.tokens import tokenizer_path
 
 ORACLE_SQL = None
+#: Documents that go to a Python worker at a time.
+BATCH = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined go."""
-    return langid.known_language(docs, declared="lang", host="source")
+    with arrow_batches(spark, BATCH):
+        return langid.known_language(docs, declared="lang", host="source")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,19 +33,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id stays."""
-    groups = jaccard.similar_components(docs, size=5, num=80, den=100)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
+    with arrow_batches(spark, BATCH):
+        groups = jaccard.similar_components(docs, size=5, num=80, den=100)
+        gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return templates.decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    with arrow_batches(spark, BATCH):
+        return templates.decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    with arrow_batches(spark, BATCH):
+        return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
 STAGES = [
