@@ -92,7 +92,8 @@ def covers(rules: DataFrame) -> DataFrame:
         & field("remote_prefix", at_or_below(F.coalesce(col("a.remote_prefix"), col("a.remote")), col("b.remote_prefix")))
     )
     set_ = F.coalesce(*[col(f"b.{f}") for f in FIELDS]).isNotNull()
-    return a.join(F.broadcast(b), (col("a.rule_id") != col("b.rule_id")) & set_ & inside).select(col("a.rule_id").alias("covered"), col("b.rule_id").alias("by"))
+    few = rules.count() <= MOST_BROADCAST_RULES
+    return a.join(F.broadcast(b) if few else b, (col("a.rule_id") != col("b.rule_id")) & set_ & inside).select(col("a.rule_id").alias("covered"), col("b.rule_id").alias("by"))
 
 
 def route(sessions: DataFrame, rules: DataFrame, held_before: DataFrame, default_bay: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,17 +86,26 @@ def row_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def byte_pages(events: DataFrame, limit: int = 200, most_bytes: int = 1 << 20) -> DataFrame:
-    """Pages of a session in order, each of at most `limit` events and `most_bytes`; a larger event has a page alone."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("content_bytes", F.lit(0)).cast("long").alias("b"))))
-    zero = F.struct(F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<pos: bigint, page: bigint>>").alias("out"))
+    """Pages of a session in order, each of at most `limit` events and `most_bytes`; a larger event has a page alone.
 
-    def step(a, r):
-        turn = (a["n"] > 0) & ((a["n"] >= limit) | (a["size"] + r["b"] > most_bytes))
-        page = a["page"] + turn.cast("long")
-        return F.struct(page.alias("page"), F.when(turn, 1).otherwise(a["n"] + 1).cast("long").alias("n"), F.when(turn, r["b"]).otherwise(a["size"] + r["b"]).alias("size"), F.concat(a["out"], F.array(F.struct(r["pos"].alias("pos"), page.alias("page")))).alias("out"))
+    Sorted rows stream through each task, which holds the running page alone, so a session of any length fits.
+    """
 
-    folded = events.groupBy("session_uid").agg(F.aggregate(rows, zero, step)["out"].alias("o"))
-    return folded.select("session_uid", F.explode("o").alias("o")).select("session_uid", "o.pos", "o.page")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, page, n, size = None, 0, 0, 0
+        for batch in batches:
+            uids, pages = batch.column("session_uid"), []
+            for uid, b in zip(uids.to_pylist(), batch.column("b").to_pylist()):
+                if uid != session:
+                    session, page, n, size = uid, 0, 0, 0
+                elif n >= limit or size + b > most_bytes:
+                    page, n, size = page + 1, 0, 0
+                n, size = n + 1, size + b
+                pages.append(page)
+            yield pa.RecordBatch.from_arrays([uids, batch.column("pos"), pa.array(pages, pa.int64())], ["session_uid", "pos", "page"])
+
+    rows = events.select("session_uid", F.col("pos").cast("long").alias("pos"), F.coalesce("content_bytes", F.lit(0)).cast("long").alias("b"))
+    return rows.repartition("session_uid").sortWithinPartitions("session_uid", "pos").mapInArrow(run, "session_uid string, pos long, page long")
 
 
 def stream_events(spark: SparkSession, source: str, schema, checkpoint: str, upsert, **options) -> None:
