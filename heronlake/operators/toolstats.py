@@ -11,7 +11,7 @@ from heronlake.functions.origin import origin
 
 # Tools whose latency is a person's answer time.
 WAITS_ON_PERSON = (("claude", "AskUserQuestion"), ("claude", "ExitPlanMode"), ("codex", "request_user_input"))
-MOST_GROUPS, MOST_LARGEST = 10_000, 100
+MOST_GROUPS, MOST_LARGEST, MOST_ROWS = 10_000, 100, 2_500_000
 DAY_NS = 86_400_000_000_000
 
 
@@ -130,6 +130,14 @@ def groups(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).orderBy(F.desc("calls"), F.desc("results"), F.desc("output_total"), "key", "split", "inner")
 
 
+def bounded(rows: DataFrame, most_groups: int = MOST_GROUPS, most_rows: int | None = MOST_ROWS) -> DataFrame:
+    """The same rows, or an error where they are too many to show: by harness, tool, model and inner, or in all (None: any number)."""
+    n = rows.groupBy("harness", "tool", "model", "inner").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum("n").alias("n")).first()
+    if n["groups"] > most_groups or most_rows is not None and (n["n"] or 0) > most_rows:
+        raise ValueError(f"{n['groups']} groups of {n['n']} rows; at most {most_groups} of {most_rows}: narrow the range")
+    return rows
+
+
 def buckets(rows: DataFrame, since_ns: int, until_ns: int, width_ns: int = DAY_NS) -> DataFrame:
     """Calls per bucket of an aligned range for each group, dense."""
     n = -(-(until_ns - since_ns) // width_ns)

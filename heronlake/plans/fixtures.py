@@ -64,6 +64,8 @@ CATALOG = {
     "requests": "SELECT 's' || c_custkey AS session_uid, CASE WHEN c_custkey % 2 = 0 THEN 'refused' ELSE 'granted' END AS outcome FROM {customer} WHERE c_custkey % 23 = 0",
     "grants": "SELECT 'g' || s_suppkey AS grantee, 'b' || (s_nationkey + s_suppkey % 2) AS bay FROM {supplier}",
     "resolutions": "SELECT o_orderkey AS artifact_id, 'superseded' AS resolution FROM {orders} WHERE o_orderkey % 28 = 0",
+    "inventories": """SELECT 'm' || (o_orderkey % 101) AS machine_id, CAST(o_orderkey % 3 AS BIGINT) AS received_ns, CASE WHEN o_orderkey % 101 % 10 = 9 THEN 'strict' ELSE 'listed' END AS mode, 'git.example.org/team' || (o_custkey % 37) AS project, o_custkey % 37 % 5 = 0 AS allowed,
+  count(*) AS sessions, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes, max(us(o_orderdate)) * 1000 AS newest_ns, CASE WHEN o_custkey % 37 % 4 > 0 THEN min(us(o_orderdate)) * 1000 END AS first_seen_ns FROM {orders} GROUP BY o_orderkey % 101, o_orderkey % 3, o_custkey % 37""",
     "samples": """SELECT us(o_orderdate) * 1000 + (o_orderkey % 24) * 3600000000000 AS sampled_ns, o_orderpriority AS measure, max(CAST(floor(o_totalprice) AS BIGINT)) AS bytes FROM {orders} GROUP BY 1, 2""",
 }
 
