@@ -116,19 +116,25 @@ def encode_new(tok, stems: list[str], lower: bool, letters: Letters, closes: np.
     return ids
 
 
-def load(path: str):
+def load(path: str, plain: bool = False):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = plain
+    return tok
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in one array, and where each text's ids begin and the last end. Null counts as empty."""
-    tok = worker_state(f"tokenizer {path}", lambda: load(path), "tokens")
-    known: dict[str, bytes] = worker_state(f"stems {path}", dict, "tokens")
+def encode(texts: pa.Array, path: str, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one array, and where each text's ids begin and the last end. Null counts as empty.
+
+    plain: strings of special tokens in a text are ordinary text.
+    """
+    as_text = " plain" if plain else ""
+    tok = worker_state(f"tokenizer {path}{as_text}", lambda: load(path, plain), "tokens")
+    known: dict[str, bytes] = worker_state(f"stems {path}{as_text}", dict, "tokens")
     lower = worker_state(f"lower {path}", lambda: '"Lowercase"' in tok.to_str()[:2000] and '"Removed"' in tok.to_str()[:2000], "tokens")
     chunks, bounds = chunked(texts)
     coded = chunks.dictionary_encode()
