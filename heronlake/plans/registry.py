@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.plans import catalog_queries, diagnose_queries, discovery_queries, ingest_queries, recall_queries, source_queries
+from heronlake.plans import catalog_queries, diagnose_queries, discovery_queries, ingest_queries, lake_queries, recall_queries, source_queries
 
-MODULES = (recall_queries, catalog_queries, discovery_queries, diagnose_queries, ingest_queries, source_queries)
+MODULES = (recall_queries, catalog_queries, discovery_queries, diagnose_queries, ingest_queries, lake_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
