@@ -32,8 +32,8 @@ from heronlake.llm.common import give_back, stored, worker_state
 from heronlake.llm.tokens import REMEMBERED, encode
 
 #: Bytes of text whose distinct pairs travel together, and that are aligned at a time.
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
-#: Elements of a document's text of groups that are spelled out at a time.
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+#: Tokens of both sides that are spelled out at a time.
 SPELLED = 1 << 20
 
 
@@ -73,6 +73,11 @@ def byte_level_spelling(path: str) -> Spelling:
     return Spelling(tokens)
 
 
+def both_decimals(a: Spelling, b: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    width = max(a.width, b.width)
+    return np.concatenate([np.pad(x.decimal, ((0, 0), (0, width - x.width))) for x in (a, b)]), np.concatenate([a.digits, b.digits])
+
+
 class Pieces:
     """A sentencepiece model whose pieces begin no word inside, so that texts can be cut before each run of spaces."""
 
@@ -147,28 +152,26 @@ def stretch(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two increasing arrays of ends with the same last end -> the number of tokens of each side up to each group's end, and
     the indices of linked tokens."""
-    ea, eb = a.tolist(), b.tolist()
-    n, i, j = len(ea), 0, 0
+    ea, eb = [*a.tolist(), -1], [*b.tolist(), -2]
+    n, i, j = len(a), 0, 0
     runs: list[int] = []  # where a one-to-one stretch begins in a and in b, and ends in a
     odd: list[int] = []  # where an irregular group begins and ends in a and in b
     while i < n:
-        if ea[i] == eb[j]:
-            began, shift, step = i, j - i, 2
-            i += 1
-            while i < n and ea[i : i + step] == eb[i + shift : i + shift + step]:  # probe ahead, twice as far each time
-                i += step
-                step *= 2
+        x, y = ea[i], eb[j]
+        if x == y:
+            runs += (i, j)
+            i, j, step = i + 1, j + 1, 2
+            while ea[i : i + step] == eb[j : j + step]:  # probe ahead at this shift, twice as far each time
+                i, j, step = i + step, j + step, 2 * step
             while step > 1:  # the difference lies within the last probe
                 step >>= 1
-                if ea[i : i + step] == eb[i + shift : i + shift + step]:
-                    i += step
-            i = min(i, n)
-            runs += (began, j, i)
-            j = i + shift
+                if ea[i : i + step] == eb[j : j + step]:
+                    i, j = i + step, j + step
+            runs.append(i)
             if i == n:
                 break
-        first, other = i, j
-        x, y = ea[i], eb[j]
+            x, y = ea[i], eb[j]
+        odd += (i, j)
         while x != y:
             if x < y:
                 i += 1
@@ -176,11 +179,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
             else:
                 j += 1
                 y = eb[j]
-        i += 1
-        j += 1
-        odd += (first, i, other, j)
+        i, j = i + 1, j + 1
+        odd += (i, j)
     run = np.array(runs, np.int64).reshape(-1, 3)
-    first, last, other, end = np.array(odd, np.int64).reshape(-1, 4).T
+    first, other, last, end = np.array(odd, np.int64).reshape(-1, 4).T
     lengths = run[:, 2] - run[:, 0]
     same_a, same_b = stretch(run[:, 0], lengths), stretch(run[:, 1], lengths)
     cuts = [np.sort(np.concatenate([same + 1, cut]), kind="stable") for same, cut in ((same_a, last), (same_b, end))]
@@ -198,7 +200,7 @@ class Aligned:
     def __init__(self, texts: pa.Array, a: str, b: str):
         sa = worker_state(f"spelling {a}", lambda: byte_level_spelling(a), "tokens")
         sb = worker_state(f"pieces {b}", lambda: Pieces(b), "tokens").spelling
-        self.sa, self.sb = sa, sb
+        self.sa, self.sb, self.names = sa, sb, (a, b)
         filled = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), filled, pa.scalar(" ", pa.large_string()))])
         ia, at_a = encode(whole, a, plain=True)
@@ -232,26 +234,26 @@ class Aligned:
         group = [np.cumsum(e) - e for e in ends]
         place_a = np.arange(na) + np.concatenate([[0], self.cut_b])[group[0]]
         place_b = np.arange(nb) + self.cut_a[group[1]] if nb else np.zeros(0, np.int64)
-        ids, mark, side = np.zeros(na + nb, np.int64), np.zeros(na + nb, np.uint8), np.zeros(na + nb, bool)
-        ids[place_a], ids[place_b], side[place_b] = self.ia, self.ib, True
+        # ids of the second side come after those of the first in one table of decimals
+        decimal, digits = worker_state(f"decimals {self.names}", lambda: both_decimals(self.sa, self.sb), "tokens")
+        ids, mark = np.empty(na + nb, np.int32), np.empty(na + nb, np.uint8)
+        ids[place_a], ids[place_b] = self.ia, self.ib + len(self.sa.size)
         mark[place_a], mark[place_b] = np.where(ends[0], 124, 44), np.where(ends[1], 59, 44)
-        width = max(self.sa.width, self.sb.width)
-        bounds, out = self.at_a + self.at_b, []
-        for i in range(self.n):
-            first, last = int(bounds[i]), int(bounds[i + 1])
-            sha = hashlib.sha256()
-            for at in range(first, last, SPELLED):
-                some = slice(at, min(last, at + SPELLED))
-                text = np.zeros((some.stop - at, width), np.uint8)
-                size = np.zeros(some.stop - at, np.int64)
-                for which, s in ((~side[some], self.sa), (side[some], self.sb)):
-                    text[which, : s.width] = s.decimal[ids[some][which]]
-                    size[which] = s.digits[ids[some][which]]
-                text[np.arange(len(text)), size] = mark[some]
-                spelled = text[np.arange(width) <= size[:, None]].tobytes()
-                sha.update(spelled[:-1] if some.stop == last else spelled)
-            out.append(sha.hexdigest() if last > first else "")
-        return out
+        width, bounds = np.arange(decimal.shape[1]), self.at_a + self.at_b
+        mark[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = 0  # nothing follows a text's last token
+        hashes = [hashlib.sha256() for _ in range(self.n)]
+        for at in range(0, na + nb, SPELLED):
+            some = slice(at, min(na + nb, at + SPELLED))
+            text, size = decimal[ids[some]], digits[ids[some]]
+            text[np.arange(len(text)), size] = mark[some]
+            size = size + (mark[some] > 0)
+            spelled = memoryview(text[width < size[:, None]])
+            to = np.concatenate([[0], np.cumsum(size)])
+            first = int(np.searchsorted(bounds, at, "right")) - 1
+            while first < self.n and bounds[first] < some.stop:
+                hashes[first].update(spelled[to[max(bounds[first], at) - at] : to[min(bounds[first + 1], some.stop) - at]])
+                first += 1
+        return [h.hexdigest() if b > a else "" for h, a, b in zip(hashes, bounds, bounds[1:])]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
