@@ -1,18 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose punctuation at their ends and become lower case; numbers, names and units become typed
-placeholders. Windows of `width` canonical words of the benchmark are the hash table; windows of the
-documents probe it. For each document and item that meet, the item's words covered by shared windows are
-found on whole texts, and the slots must be consistent: along a matched stretch (the windows of one
-alignment) one item value maps to one document value of its type and the other way round. A pair is a leak
-if consistent stretches cover at least `cover` of the item's words, so re-parameterised questions are leaks
-too, and an inconsistent instance of a template hides no other one of the document. `covered_words` counts
-the words of all stretches.
-
-The table goes to every task if it holds at most MOST_BROADCAST windows; otherwise windows are joined by a
-shuffle. Both ways give the same rows. Items shorter than `width` use windows of their own length; items
-without words match nothing. Windows of which less than half are literal words are left out, unless the
-item has no other. Null and empty texts hold no windows. Repeated rows are treated row by row.
+Words lose punctuation at their ends and become lower case; numbers, names and units become typed placeholders. A run
+of spelled-out number words is one number. Windows of `width` canonical words of the benchmark are hash-joined with
+those of the documents, in two readings of both: one with names as placeholders, and one without regard to case, in
+which names are words, so that copies in other case meet too.
+
+For each document and item that meet, their shared windows are found on whole texts, by alignment (diagonal). Windows
+of which at least half the words are literal, or where an item has no such window those with a literal word, may stand
+for other values: along an alignment one item value maps to one document value of its type and the other way round.
+All other windows count where their words are equal. A pair is a leak if the words of such windows, over all
+alignments of one reading, are at least `cover` of the item's words, so re-parameterised questions are leaks too, and
+an inconsistent instance of a template hides no other one of the document. `covered_words` counts the words of all
+shared windows.
+
+Windows of the documents pass a bitmap of fixed size before they are joined, so only documents that may meet an item
+are written and shuffled; the join decides exactly. Items shorter than `width` use windows of their own length; items
+without words match nothing. Null and empty texts hold no windows. Documents and items are treated row by row: of two
+benchmark rows with one item_id each is judged by itself and has a row of its own. Rows with a null item_id take no part.
 """
 
 from __future__ import annotations
@@ -30,37 +34,47 @@ from heronlake.llm.common import stored, worker_state
 from heronlake.llm.jaccard import window_hashes
 from heronlake.llm.wordhash import buffers
 
-MOST_BROADCAST = 1 << 20
+#: Bits of the map of windows that is broadcast, and how many bits a window sets.
+BITS, SETS = 1 << 26, 3
 # Units of measure and currency, as written after a number or alone.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gal gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years hz khz mhz ghz w kw kwh v kv a b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent % $ € £ °c °f".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:st|nd|rd|th)?[%$€£]?")
+# Words of spelled-out numbers.
+SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split())
 NAME, NUM, UNIT = (np.uint64(x) for x in (1, 2, 3))
 #: Codes of distinct words that a worker remembers; the table is emptied beyond.
 MOST_KNOWN = 250_000
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 
 
-def word_code(word: str) -> int:
-    """A word's canonical code: hash in the upper bits, then whether it is capitalised (2) and ends a sentence (1)."""
+def word_code(word: str) -> tuple[int, int, int]:
+    """A word's code, its code where case is blind, and flags: ends a sentence (1), capitalised (2), spelled-out number (4)."""
     import xxhash
 
-    if word.isalpha():
-        low = word.lower()
-        if low not in UNITS or len(low) < 2:
-            return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | word[0].isupper() << 1
     ends = word[-1:] in ".!?:;\"”»)" and word.rstrip("\"”»)")[-1:] in (".", "!", "?", ":")
     core = EDGE.sub("", word) or word
     low = core.lower()
     if NUMBER.fullmatch(low):
-        return int(NUM) << 2 | ends
+        return int(NUM), ends, 0
+    if low in SPELLED or "-" in low and all(x in SPELLED for x in low.split("-")):
+        return int(NUM), ends | 4, 0
     if low in UNITS and len(low) > 1:
-        return int(UNIT) << 2 | ends
-    return (xxhash.xxh64_intdigest(low) >> 2 | 1 << 40) << 2 | core[:1].isupper() << 1 | ends
+        return int(UNIT), ends, 0
+    return xxhash.xxh64_intdigest(low) >> 2 | 1 << 40, ends | core[:1].isupper() << 1, 0
 
 
-def canonical_texts(texts: list[str | None]) -> list[tuple[np.ndarray, Callable[[int], str]]]:
-    """Of each text the codes of its words, with placeholders in place, and a function from place to word."""
-    known: dict[int, int] = worker_state("template words", dict, "templates")
+class Reading:
+    """Of a text the canonical codes with names as placeholders and without regard to case, and its words."""
+
+    def __init__(self, named: np.ndarray, blind: np.ndarray, word: Callable[[int], str]):
+        self.named, self.blind, self.word = named, blind, word
+
+    def value(self, i: int) -> str:
+        return EDGE.sub("", self.word(i)).lower()
+
+
+def canonical_texts(texts: list[str | None]) -> list[Reading]:
+    known: dict[int, tuple[int, int]] = worker_state("template words", dict, "templates")
     out = []
     for _, w in buffers(texts, lower=False):
         distinct, first, index = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -69,83 +83,111 @@ def canonical_texts(texts: list[str | None]) -> list[tuple[np.ndarray, Callable[
         if len(known) + len(new) > MOST_KNOWN:
             known.clear()
         for i in new:
-            codes[i] = known[int(distinct[i])] = word_code(w.word(first[i]))
-        code = np.array(codes, np.uint64)[index] if len(index) else np.zeros(0, np.uint64)
-        h, flags = code >> np.uint64(2), code & np.uint64(3)
+            codes[i] = known[int(distinct[i])] = word_code(w.word(first[i]))[:2]
+        code = np.array(codes, np.uint64).reshape(-1, 2)[index]
+        blind, flags = code[:, 0], code[:, 1]
         begins = w.after_newline()
         begins[1:] |= (flags[:-1] & np.uint64(1)) == 1
         begins[w.at[:-1][w.at[:-1] < len(begins)]] = True
-        h[(flags & np.uint64(2) > 0) & ~begins] = NAME
-        out += [(h[a:b], lambda i, w=w, a=a: w.word(a + i)) for a, b in zip(w.at.tolist(), w.at[1:].tolist())]
+        named = np.where((flags & np.uint64(2) > 0) & ~begins, NAME, blind)
+        # a run of spelled-out number words within a text is one number
+        spelled = flags & np.uint64(4) > 0
+        more = spelled.copy()
+        more[1:] &= spelled[:-1]
+        more[:1] = False
+        more[w.at[:-1][w.at[:-1] < len(more)]] = False
+        kept = np.flatnonzero(~more)
+        ends = np.append(kept[1:], len(more))
+        at = np.searchsorted(kept, w.at)
+
+        def word(i: int, w=w, kept=kept, ends=ends) -> str:
+            return w.word(kept[i]) if ends[i] == kept[i] + 1 or not spelled_at(w, kept[i]) else " ".join(w.word(k) for k in range(kept[i], ends[i]))
+
+        out += [Reading(named[kept[a:b]], blind[kept[a:b]], lambda i, a=a, word=word: word(a + i)) for a, b in zip(at.tolist(), at[1:].tolist())]
     return out
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, Callable[[int], str]]:
+def spelled_at(w, i: int) -> bool:
+    return bool(word_code(w.word(i))[1] & 4)
+
+
+def canonical(text: str | None) -> Reading:
     return canonical_texts([text])[0]
 
 
-def windows(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether half its words are literal."""
-    n = len(codes) - width + 1
-    if n <= 0 or not width:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    acc = window_hashes(codes, width)
-    slots = np.concatenate([[0], np.cumsum(codes <= UNIT)])
-    return acc, (slots[width:] - slots[:-width]) * 2 <= width
+def windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window."""
+    return window_hashes(codes, width) if 0 < width <= len(codes) else np.zeros(0, np.uint64)
 
 
-def item_windows(codes: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """An item's window width, its window hashes and their places."""
-    own = min(width, len(codes))
-    h, literal = windows(codes, own)
-    at = np.flatnonzero(literal) if literal.any() else np.arange(len(h))
-    return own, h[at], at
+def free_windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window's placeholders may stand for other values."""
+    slots = np.concatenate([[0], np.cumsum(codes <= UNIT)])
+    slots = slots[width:] - slots[:-width]
+    rich = slots * 2 <= width
+    return rich if rich.any() else slots < width
 
 
-def judge(doc: tuple, item: tuple, width: int) -> tuple[int, int, int, int] | None:
-    """Words covered, the item's words, where the document's stretch begins, and words covered by diagonals whose slots agree."""
-    codes, found = doc
-    icodes, ifound = item
-    own, ih, iat = item_windows(icodes, width)
-    dh, _ = windows(codes, own)
+def judged_reading(doc: np.ndarray, item: np.ndarray, there: Callable[[int], str], here: Callable[[int], str], width: int) -> tuple[int, int, int] | None:
+    """Of one reading: words of shared windows, words of those that count, and where the document's stretch begins."""
+    own = min(width, len(item))
+    ih, dh = windows(item, own), windows(doc, own)
     hits = np.flatnonzero(np.isin(dh, ih))
     if not len(hits):
         return None
     places = defaultdict(list)
-    for h, at in zip(ih.tolist(), iat.tolist()):
+    for at, h in enumerate(ih.tolist()):
         places[h].append(at)
-    covered = np.zeros(len(icodes), bool)
+    free = free_windows(item, own)
+    covered = np.zeros(len(item), bool)
     by_diagonal: dict[int, list[int]] = defaultdict(list)
     for p in hits.tolist():
         for at in places[int(dh[p])]:
             covered[at : at + own] = True
             by_diagonal[p - at].append(at)
-    slots = {i: EDGE.sub("", ifound(i)).lower() for i in np.flatnonzero(icodes <= UNIT).tolist()}
+    slots = {i: here(i) for i in np.flatnonzero(item <= UNIT).tolist()}
 
-    def agrees(diagonal: int, words: list[int]) -> bool:
-        there: dict[tuple, str] = {}
+    def counted(diagonal: int, starts: list[int]) -> list[int]:
+        """Words of an alignment's windows that count."""
+        values = {i: there(i + diagonal) for s in starts for i in range(s, s + own) if i in slots}
+        words = {i for s in starts if free[s] for i in range(s, s + own)}
+        forth: dict[tuple, str] = {}
         back: dict[tuple, str] = {}
-        for i in words:
-            if i in slots:
-                kind, a, b = int(icodes[i]), slots[i], EDGE.sub("", found(i + diagonal)).lower()
-                if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                    return False
-        return True
-
-    # most windows first, then the earliest; the stretch told is the first that agrees
-    ranked = sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0]))
-    agreed = np.zeros(len(icodes), bool)
+        for i in sorted(words & values.keys()):
+            kind, a, b = int(item[i]), slots[i], values[i]
+            if forth.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                words = set()
+                break
+        equal = {i for i in values if values[i] == slots[i]}
+        for s in starts:
+            if not free[s] and all(i not in slots or i in equal for i in range(s, s + own)):
+                words.update(range(s, s + own))
+        return sorted(words)
+
+    # most windows first, then the earliest; the stretch told is the first that counts
+    agreed = np.zeros(len(item), bool)
     first = None
+    ranked = sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0]))
     for diagonal, starts in ranked:
-        words = sorted({i for s in starts for i in range(s, s + own)})
-        if not agreed[words].all() and agrees(diagonal, words):
+        words = counted(diagonal, starts)
+        if words and not agreed[words].all():
             agreed[words] = True
             first = diagonal + min(starts) if first is None else first
             if agreed.sum() == covered.sum():
                 break
     if first is None:
         first = ranked[0][0] + min(ranked[0][1])
-    return int(covered.sum()), len(icodes), first, int(agreed.sum())
+    return int(covered.sum()), int(agreed.sum()), first
+
+
+def judge(doc: Reading, item: Reading, width: int) -> tuple[int, int, int, int] | None:
+    """Words covered, the item's words, where the document's stretch begins, and words that count: of the reading in which most count."""
+    found = [judged_reading(d, i, doc.value, item.value, width) for d, i in ((doc.named, item.named), (doc.blind, item.blind))]
+    found = [x for x in found if x]
+    if not found:
+        return None
+    covered, agreed, first = max(found, key=lambda x: (x[1], x[0], -x[2]))
+    return covered, len(item.named), first, agreed
 
 
 OUT = "doc_id long, item_id long, item_words long, covered_words long, first_word long, agreed_words long"
@@ -155,73 +197,75 @@ def rows_out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "item_id", "item_words", "covered_words", "first_word", "agreed_words"])
 
 
+def bits_of(h: np.ndarray) -> list[np.ndarray]:
+    """The places of a window's bits in the map."""
+    return [(h >> np.uint64(i * 19)) & np.uint64(BITS - 1) for i in range(SETS)]
+
+
+def bitmap(index: DataFrame) -> np.ndarray:
+    """Which windows some item may have: at most BITS bits reach the driver, whatever the benchmark's size."""
+    place = F.explode(F.array(*[F.shiftrightunsigned("h", i * 19).bitwiseAND(F.lit(BITS - 1)) for i in range(SETS)]))
+    words = index.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    map_ = np.zeros(BITS // 64, np.int64)
+    map_[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return map_.view(np.uint8)
+
+
+def may_hold(map_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Those window hashes that the map does not rule out."""
+    for i in range(SETS):
+        p = (h >> np.uint64(i * 19)) & np.uint64(BITS - 1)
+        h = h[(map_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return h
+
+
 def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """Every document and item that share a window, judged on whole texts."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    items = stored(benchmark.select("item_id", "text").where("text is not null and item_id is not null").withColumn("item_row", F.monotonically_increasing_id()), "template-items")
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                own, h, _ = item_windows(canonical(text)[0], width)
-                rows += [(item, own, x) for x in np.unique(h).view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 3)], ["item_id", "width", "h"])
-
-    index = stored(items.mapInArrow(table, "item_id long, width long, h long"), "template-windows")
-    if index.count() <= MOST_BROADCAST:
-        got = index.toArrow()
-        order = np.argsort(h := got.column("h").to_numpy().view(np.uint64), kind="stable")
-        texts = dict(items.where(F.length("text") > 0).toLocalIterator()) if len(h) else {}
-        held = spark.sparkContext.broadcast((h[order], got.column("item_id").to_numpy()[order], sorted(set(got.column("width").to_pylist())), texts))
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h, of, widths, texts = held.value
-            parsed: dict[int, tuple] = {}
-            maybe = np.zeros(1 << 20, bool)
-            maybe[h & np.uint64(0xFFFFF)] = True
-            for batch in batches:
-                rows = []
-                for i in range(0, batch.num_rows, 1000):
-                    some = batch.slice(i, 1000)
-                    for doc_id, doc in zip(some.column("doc_id").to_pylist(), canonical_texts(some.column("text").to_pylist())):
-                        met = set()
-                        for own in widths:
-                            w = windows(doc[0], own)[0]
-                            w = w[maybe[w & np.uint64(0xFFFFF)]]
-                            a, b = np.searchsorted(h, w, "left"), np.searchsorted(h, w, "right")
-                            for x, y in zip(a[b > a].tolist(), b[b > a].tolist()):
-                                met.update(of[x:y].tolist())
-                        for item in sorted(met):
-                            if item not in parsed:
-                                parsed[item] = canonical(texts[item])
-                            if r := judge(doc, parsed[item], width):
-                                rows.append((doc_id, item, r[1], r[0], r[2], r[3]))
-                yield rows_out(rows)
-
-        return docs.select("doc_id", "text").mapInArrow(probe, OUT)
+            for row, item in zip(batch.column("item_row").to_pylist(), canonical_texts(batch.column("text").to_pylist())):
+                own = min(width, len(item.named))
+                h = np.unique(np.concatenate([windows(c, own) for c in (item.named, item.blind)])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row)), pa.array(np.full(len(h), own)), pa.array(h)], ["item_row", "width", "h"])
 
-    widths = [r[0] for r in index.select("width").distinct().collect()]
+    index = stored(items.select("item_row", "text").mapInArrow(table, "item_row long, width long, h long"), "template-windows")
+    widths = [r[0] for r in index.select("width").distinct().collect()]  # at most `width` of them
+    held = spark.sparkContext.broadcast(bitmap(index))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                codes = canonical(text)[0]
-                for own in widths:
-                    h = np.unique(windows(codes, own)[0]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row)), pa.array(np.full(len(h), own)), pa.array(h)], ["row", "width", "h"])
+            for i in range(0, batch.num_rows, 1000):
+                some = batch.slice(i, 1000)
+                keep, lists = [], []
+                for k, doc in enumerate(canonical_texts(some.column("text").to_pylist())):
+                    met = [may_hold(held.value, windows(c, own)) for own in widths for c in ((doc.named,) if doc.named is doc.blind or (doc.named == doc.blind).all() else (doc.named, doc.blind))]
+                    h = np.unique(np.concatenate(met)) if met else np.zeros(0, np.uint64)
+                    if len(h):
+                        keep.append(k)
+                        lists.append(h.view(np.int64))
+                if keep:
+                    part = some.take(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text", "hs"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if found := judge(canonical(r["text"]), canonical(r["item_text"]), width):
-                    rows.append((r["doc_id"], r["item_id"], found[1], found[0], found[2], found[3]))
-            yield rows_out(rows)
-
-    keyed = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "template-docs")
-    pairs = keyed.select("row", "text").mapInArrow(spread, "row long, width long, h long").join(index, ["width", "h"]).select("row", "item_id").distinct()
-    whole = pairs.join(keyed, "row").join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
+            for i in range(0, batch.num_rows, 200):
+                some = batch.slice(i, 200)
+                texts = {t: None for c in ("text", "item_text") for t in some.column(c).to_pylist()}
+                texts = dict(zip(texts, canonical_texts(list(texts))))
+                rows = []
+                for doc_id, item_id, text, item_text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text"))):
+                    if r := judge(texts[text], texts[item_text], width):
+                        rows.append((doc_id, item_id, r[1], r[0], r[2], r[3]))
+                yield rows_out(rows)
+
+    near = docs.select("doc_id", "text").mapInArrow(probe, "doc_id long, text string, hs array<long>")
+    near = stored(near.withColumn("row", F.monotonically_increasing_id()), "template-near")
+    pairs = near.select("row", F.explode("hs").alias("h")).join(index.select("h", "item_row"), "h").select("row", "item_row").distinct()
+    whole = pairs.join(near.select("row", "doc_id", "text").hint("merge"), "row").join(items.select("item_row", "item_id", F.col("text").alias("item_text")), "item_row")
     return whole.select("doc_id", "item_id", "text", "item_text").mapInArrow(judged, OUT)
 
 

@@ -295,7 +295,7 @@ def test_op6(spark, monkeypatch):
     want = sorted([(1, 1), (1, 1), (2, 1), (None, 1), (6, 2)], key=repr)
     got = lambda: sorted(((r.doc_id, r.item_id) for r in templates.leaks(df, bench.where("item_id < 5")).collect()), key=repr)
     assert got() == want
-    monkeypatch.setattr(templates, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(templates, "may_hold", lambda m, h: h)  # the join alone decides
     assert got() == want
     assert {r.doc_id for r in templates.decontaminated(df, bench.where("item_id < 5")).collect()} == {3, 4, 5, 8, 9}
     assert templates.leaks(df.limit(0), bench).count() == 0 and templates.leaks(df, bench.limit(0)).count() == 0
@@ -318,8 +318,8 @@ def test_any_instance_is_a_leak(spark, monkeypatch):
     texts = [f"{wrong}. {fill}. {ITEM}", f"{ITEM}. {fill}. {wrong}", f"{wrong}. {fill}. {other}. {fill}. {wrong}", f"{wrong}. {fill}. {wrong}", wrong, f"{wrong}. {fill}. {split}", split]
     df, bench = docs(spark, list(enumerate(texts))), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     size = len(ITEM.split())
-    for most in (templates.MOST_BROADCAST, 0):
-        monkeypatch.setattr(templates, "MOST_BROADCAST", most)
+    for size_ in (templates.BITS, 64):
+        monkeypatch.setattr(templates, "BITS", size_)
         got = {r.doc_id: r for r in templates.leaks(df, bench).collect()}
         assert set(got) == {0, 1, 2, 5, 6}
         assert got[0].first_word == size + len(fill.split()) and got[1].first_word == 0 and got[0].covered_words == size
