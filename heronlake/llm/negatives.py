@@ -81,7 +81,8 @@ class Best:
         self.least = np.full(slots, -np.inf)
 
     def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        slot, score, ids = np.append(self.slot, slot), np.append(self.score, score), np.append(self.id, ids)
+        near = score >= self.least[slot]
+        slot, score, ids = np.append(self.slot, slot[near]), np.append(self.score, score[near]), np.append(self.id, ids[near])
         order = np.lexsort((ids, ~score, slot))
         slot = slot[order]
         rank = np.arange(len(slot)) - np.searchsorted(slot, slot)
@@ -91,25 +92,38 @@ class Best:
         self.least[slot[full]] = self.score[full]
 
 
-def surviving(anchors: Rows, rows: Rows, pick: slice, among: np.ndarray, meet: np.ndarray, matters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def surviving(anchors: Rows, rows: Rows, pick: slice, among: slice, meet: np.ndarray, matters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a tile, the pairs (anchor, row) that meet and still matter by all levels of summaries, and their exact scores.
 
-    matters(anchor, low, high): whether pairs with such bounds may matter; anchor is an array of indices.
+    matters(anchor, low, high): whether pairs with such bounds may matter; anchor is an array of indices. While a tenth
+    of the tile or more is left, a level is computed for the whole tile at once, else for the pairs that are left.
     """
-    (ma, da), (mr, dr) = anchors.levels[0], rows.levels[0]
     # sums of floats are off by less than this part of the vectors' lengths
-    slack = lambda a, r: 1e-12 * anchors.norms[a] * rows.norms[r]
-    middle, reach = ma[pick] @ mr[among].T, da[pick] @ dr[among].T
-    reach += 1e-12 * np.outer(anchors.norms[pick], rows.norms[among])
-    a, r = np.nonzero(meet)
-    fine = matters(a + pick.start, middle[a, r] - reach[a, r], middle[a, r] + reach[a, r])
-    a, r = a[fine] + pick.start, among[r[fine]]
-    for (ma, da), (mr, dr) in zip(anchors.levels[1:], rows.levels[1:]):
-        middle = np.einsum("ij,ij->i", ma[a], mr[r])
-        reach = np.einsum("ij,ij->i", da[a], dr[r]) + slack(a, r)
-        fine = matters(a, middle - reach, middle + reach)
-        a, r = a[fine], r[fine]
-    kind = np.float64 if exact_floats(anchors.vectors, rows.vectors) else np.int64
+    slack = 1e-12 * np.outer(anchors.norms[pick], rows.norms[among])
+    every = np.arange(pick.start, pick.stop)[:, None]
+    a = r = None
+    many = True
+    for (ma, da), (mr, dr) in zip(anchors.levels, rows.levels):
+        if many:
+            middle, reach = ma[pick] @ mr[among].T, da[pick] @ dr[among].T + slack
+            meet = meet & matters(every, middle - reach, middle + reach)
+            many = np.count_nonzero(meet) * 10 >= meet.size
+            if not many:
+                a, r = np.nonzero(meet)
+        else:
+            i, j = a + pick.start, r + among.start
+            middle, reach = np.einsum("ij,ij->i", ma[i], mr[j]), np.einsum("ij,ij->i", da[i], dr[j]) + slack[a, r]
+            fine = matters(i, middle - reach, middle + reach)
+            a, r = a[fine], r[fine]
+    exact = exact_floats(anchors.vectors, rows.vectors)
+    if many and exact:
+        score = anchors.vectors[pick].astype(np.float64) @ rows.vectors[among].astype(np.float64).T
+        a, r = np.nonzero(meet & matters(every, score, score))
+        return a + pick.start, r + among.start, score[a, r].astype(np.int64)
+    if many:
+        a, r = np.nonzero(meet)
+    a, r = a + pick.start, r + among.start
+    kind = np.float64 if exact else np.int64
     return a, r, np.einsum("ij,ij->i", anchors.vectors[a].astype(kind), rows.vectors[r].astype(kind)).astype(np.int64)
 
 
@@ -117,7 +131,7 @@ def tiles(anchors: Rows, rows: Rows):
     for i in range(0, len(anchors.ids), TILE_ANCHORS):
         pick = slice(i, min(len(anchors.ids), i + TILE_ANCHORS))
         for j in range(0, len(rows.ids), TILE_ROWS):
-            yield pick, np.arange(j, min(len(rows.ids), j + TILE_ROWS))
+            yield pick, slice(j, min(len(rows.ids), j + TILE_ROWS))
 
 
 def positives_in(anchors: Rows, shards: list[bytes], keep: int) -> Best:
@@ -136,14 +150,15 @@ def negatives_in(anchors: Rows, positives: list[list[int]], shards: list[bytes],
     """Of each anchor's positives (scores) the first rows of other labels within num/den of the score and the score; slot: anchor * most + place of the positive."""
     most = max(map(len, positives), default=0)
     best = Best(len(anchors.ids) * most, keep)
-    top = np.full((len(positives), most), -np.inf)
+    wanted, there = np.zeros((len(positives), most), np.int64), np.zeros((len(positives), most), bool)
     for i, scores in enumerate(positives):
-        top[i, : len(scores)] = scores
+        wanted[i, : len(scores)], there[i, : len(scores)] = scores, True
+    top = np.where(there, wanted, -np.inf)
     # an absent positive has an empty span, as a negative one has
-    floor = np.where(np.isfinite(top), top * num / den - np.abs(top) * 1e-12, np.inf)
+    floor = np.where(there, wanted * (num / den) - np.abs(wanted) * 1e-12, np.inf)
 
     def matters(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), bool)
+        out = np.zeros(np.broadcast_shapes(i.shape, low.shape), bool)
         least = best.least.reshape(-1, most)
         for k in range(most):
             out |= ~((high < floor[i, k]) | (high < least[i, k]) | (low > top[i, k]))
@@ -154,16 +169,15 @@ def negatives_in(anchors: Rows, positives: list[list[int]], shards: list[bytes],
         for pick, among in tiles(anchors, rows):
             meet = (anchors.labels[pick, None] != rows.labels[among]) & (anchors.ids[pick, None] != rows.ids[among])
             a, r, score = surviving(anchors, rows, pick, among, meet, matters)
-            # exact even where products leave a long
-            wide = score.astype(object) if len(score) and max(map(abs, (int(score.min()), int(score.max())))) > 2**55 else score
             for k in range(most):
-                p = np.array([x[k] if k < len(x) else None for x in positives], object)[a]
-                there = np.array([x is not None for x in p], bool)
-                at = np.flatnonzero(there)
-                q = p[at].astype(np.int64) if wide is score and not any(abs(x) > 2**55 for x in p[at]) else p[at]
-                fit = ((num * q <= den * wide[at]) & (wide[at] <= q)).astype(bool)
-                at = at[fit]
-                best.add(a[at] * most + k, score[at], rows.ids[r[at]])
+                held = there[a, k]
+                i, got, mark = a[held], score[held], wanted[a[held], k]
+                # 64 bits hold the products, or Python's numbers do
+                if len(got) and max(int(np.abs(got).max()), int(np.abs(mark).max())) * den >= 2**62:
+                    fit = np.array([num * int(q) <= den * int(x) and x <= q for q, x in zip(mark, got)], bool)
+                else:
+                    fit = (num * mark <= den * got) & (got <= mark)
+                best.add(i[fit] * most + k, got[fit], rows.ids[r[held][fit]])
     return best
 
 
@@ -175,7 +189,7 @@ def prepared(vectors: DataFrame, label: Column, scale: float = 256.0) -> DataFra
     return vectors.where(fine).select("vec_id", whole.alias("v"), label.cast("long").alias("label"), F.size(v).cast("long").alias("dim"))
 
 
-def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, num: int = 80, den: int = 100, shard_rows: int = 8192, group_shards: int = 4, block_rows: int = 4096) -> DataFrame:
+def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, num: int = 80, den: int = 100, shard_rows: int = 4096, group_shards: int = 2, block_rows: int = 4096) -> DataFrame:
     """(vec_id, v, label, dim) twice -> anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     A positive's negatives score at least num/den of it and at most as much.

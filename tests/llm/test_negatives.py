@@ -60,5 +60,5 @@ def test_pairs_are_filtered_before_exact_scores():
     v = np.concatenate([rng.integers(90, 110, (200, 32)), rng.integers(-110, -90, (2000, 32))])
     rows = negatives.Rows(np.arange(len(v)), np.zeros(len(v), np.int64), v)
     meet = np.ones((10, len(v)), bool)
-    a, _, _ = negatives.surviving(rows, rows, slice(0, 10), np.arange(len(v)), meet, lambda i, low, high: ~(high < 1000.0))
+    a, _, _ = negatives.surviving(rows, rows, slice(0, 10), slice(0, len(v)), meet, lambda i, low, high: ~(high < 1000.0))
     assert len(a) == 10 * 200
