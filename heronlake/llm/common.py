@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder.
+    """A new folder name below the cluster's shared checkpoint folder, which spark.checkpoint.dir names.
 
-    `spark.checkpoint.dir` is read from the session and only set, to a temporary folder, where it
-    is unset (a local run).
+    Where it is unset, a local run gets a temporary folder and a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -2,8 +2,8 @@
 
 Only sizes and keys move. Items are dealt at random to tasks of bounded size; each task packs its items
 by best fit, largest first. Bins filled to the limit, or nearly, are final; underfull bins become items
-of the next round, dealt to fewer tasks, until one task has seen all that is left or a round no longer
-merges anything. Documents are cut only where they exceed the capacity: the first piece takes the
+of the next round, dealt to a `fan_in`-th of the tasks as far as these hold them, until one task has seen all
+that is left or a round no longer merges anything. Documents are cut only where they exceed the capacity: the first piece takes the
 remainder, so that all further pieces fill a sequence each.
 """
 
@@ -47,11 +47,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offs
 
 
-def pack(items: DataFrame, capacity: int, slack: int = 0, task_items: int = 100_000, fan_in: int = 8, rounds: int = 12) -> DataFrame:
+def pack(items: DataFrame, capacity: int, slack: int | None = None, task_items: int = 100_000, fan_in: int = 8) -> DataFrame:
     """(item, size) with 0 < size <= capacity -> (item, sequence_id, offset), gapless within a sequence.
 
-    item: a unique long. slack: a bin with at most so much room is final at once. task_items: what a task
-    packs at a time. Sizes must be positive; an empty table gives an empty result.
+    item: a unique long. slack: a bin with at most so much room is final at once, a 512th of the capacity if
+    None. task_items: what a task packs at a time. Sizes must be positive; an empty table gives an empty result.
     """
     spark = items.sparkSession
 
@@ -66,7 +66,7 @@ def pack(items: DataFrame, capacity: int, slack: int = 0, task_items: int = 100_
                 sizes = t.column("size").to_numpy()
                 bins, offs = best_fit(sizes, capacity)
                 used = np.bincount(bins, weights=sizes).astype(np.int64)
-                ids = (np.int64(level) << 58) + (np.int64(part) << 36) + (np.int64(seq) << 26) + bins
+                ids = (np.int64(level) << 55) + (np.int64(part) << 35) + (np.int64(seq) << 26) + bins
                 return pa.RecordBatch.from_arrays([t.column("item").combine_chunks(), pa.array(ids), pa.array(offs), pa.array(used[bins])], ["item", "bin", "offset", "used"])
 
             for batch in batches:
@@ -82,17 +82,22 @@ def pack(items: DataFrame, capacity: int, slack: int = 0, task_items: int = 100_
 
         return run
 
+    slack = capacity // 512 if slack is None else slack
     left, n, placed = items.select("item", "size"), items.count(), []
+    tasks = max(1, -(-n * 4 // task_items))
     while n:
-        tasks = max(1, -(-n // task_items)) if placed else max(1, -(-n * 4 // task_items))
+        if len(placed) > 254:
+            raise RuntimeError("packing does not end")
         dealt = left.repartition(tasks, F.xxhash64("item", F.lit(len(placed)))).sortWithinPartitions("item")
         got = stored(dealt.mapInArrow(one_round(len(placed) + 1), "item long, bin long, offset long, used long"), "packing-round")
         placed.append(got)
-        bins = got.groupBy("bin").agg(F.first("used").alias("size"))
+        bins = got.groupBy("bin").agg(F.first("used").alias("size"), F.count("*").alias("items"))
         left = stored(bins.where(F.col("size") < capacity - slack).select(F.col("bin").alias("item"), "size"), "packing-left")
-        before, n = n, left.count()
-        if tasks == 1 or len(placed) >= rounds or (len(placed) > 1 and n > before * 0.98):
+        merged, n = bins.agg(F.max("items")).first()[0] > 1, left.count()
+        fewer = max(-(-tasks // fan_in), -(-n // task_items))
+        if tasks == 1 or not merged and fewer >= tasks:
             break
+        tasks = fewer
     if not placed:
         return items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     out = placed[0].select("item", F.col("bin").alias("sequence_id"), "offset")
@@ -132,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, slack: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, slack: int | None = None, with_ids: bool = False) -> DataFrame:
     """All documents' pieces with the sequence each lies in and its offset there.
 
     Rows with equal doc_id are packed one by one. Extra columns of `docs` play no part.
