@@ -6,6 +6,8 @@ stages against brute force.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
+    """Of each group of similar documents one row stays: that with the smallest doc_id, null ids last, of equal ones any.
+
+    Groups are of rows, so repeated rows and rows with a null doc_id are documents like others. Rows without words stay.
+    """
+    row = f"row_{uuid.uuid4().hex}"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     with arrow_batches(spark, BATCH):
-        groups = jaccard.similar_components(docs, size=5, num=80, den=100)
-        gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        groups = jaccard.similar_components(rows.select(F.col(row).alias("doc_id"), "text"), size=5, num=80, den=100)
+        several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+        member = groups.join(several.select("component_id"), "component_id", "left_semi").select(F.col("doc_id").alias(row), "component_id")
+        member = stored(member.join(rows.select(row, "doc_id"), row), "pipeline-groups")
+    kept = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    gone = stored(member.select(row).join(kept.select(row), row, "left_anti"), "pipeline-copies")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
