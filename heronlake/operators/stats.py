@@ -16,14 +16,18 @@ def rollup(events: DataFrame) -> DataFrame:
     """Events -> session_uid, harness, hour, kind, name, n and token sums; hour is null for undated events.
 
     Kinds: event (by type), error, unreadable, tool_call, tool_failed (named by the result, else by the
-    latest earlier call of its id), usage (by model). Of `claude` usage blocks with one message id the
-    last counts, in its own hour. Token sums stay null where no event reported the kind.
+    latest earlier call of its id), usage (by model), tool_offered (once a session and tool, without an hour). Of
+    `claude` usage blocks with one message id the last counts, in its own hour; a report without any token kind is no
+    call. Token sums stay null where no event reported the kind. With a column `extra` (JSON) the running totals in
+    `codex` reports are counted as codex_usage does, and the tools that `claude` attachments offer are known.
     """
     by_call = Window.partitionBy("session_uid", "call_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     called = F.last(F.when(F.col("event_type") == "tool_call", F.col("tool_name")), ignorenulls=True).over(by_call)
-    last = F.row_number().over(Window.partitionBy("session_uid", "message_id", "event_type").orderBy(F.desc("pos")))
+    reported = F.coalesce(*[f"{x}_tokens" for x in TOKENS]).isNotNull()
+    last = F.row_number().over(Window.partitionBy("session_uid", "message_id", "event_type", reported).orderBy(F.desc("pos")))
     hour = F.floor(F.col("recorded_ns") / F.lit(HOUR_NS).cast("decimal(20,0)")).cast("long") * 3600
     e = events.select("*", hour.alias("hour"), F.when(F.col("call_id").isNotNull(), called).alias("called"), last.alias("from_last"))
+    totals_known = "extra" in events.columns
 
     def kind(name, label, *where):
         on = where[0]
@@ -33,20 +37,43 @@ def rollup(events: DataFrame) -> DataFrame:
 
     t = F.col("event_type")
     repeated = (F.col("harness") == "claude") & F.col("message_id").isNotNull() & (F.col("from_last") > 1)
+    apart = (F.col("harness") == "codex") if totals_known else F.lit(False)
     kinds = F.array(
         kind("event", t, F.lit(True)),
         kind("unreadable", F.lit(""), F.col("unreadable"), t == "error"),
         kind("error", F.lit(""), ~F.col("unreadable"), t == "error"),
         kind("tool_call", F.coalesce("tool_name", F.lit("")), t == "tool_call"),
         kind("tool_failed", F.coalesce("tool_name", "called", F.lit("")), t == "tool_result", F.col("tool_error")),
-        kind("usage", F.coalesce("model_id", F.lit("")), t == "usage", ~repeated),
+        kind("usage", F.coalesce("model_id", F.lit("")), t == "usage", reported, ~repeated, ~apart),
     )
     used = F.col("k.kind") == "usage"
     flat = e.select("session_uid", "harness", "hour", F.explode(F.array_compact(kinds)).alias("k"), *[F.col(f"{x}_tokens").alias(x) for x in TOKENS])
     flat = flat.select("session_uid", "harness", "hour", "k.kind", "k.name", *[F.when(used, F.col(x)).alias(x) for x in TOKENS])
+    if totals_known:
+        codex = events.where("harness = 'codex' and event_type = 'usage'")
+        total = lambda k: F.get_json_object("extra", f"$.total_token_usage.{k}").cast("long")
+        reports = codex.select("session_uid", "pos", hour.alias("hour"), F.coalesce("model_id", F.lit("")).alias("name"), total("input_tokens").alias("total_input"), total("cached_input_tokens").alias("total_cached"), total("output_tokens").alias("total_output"), F.col("input_tokens").alias("last_input"), F.col("cache_read_tokens").alias("last_cached"), F.col("output_tokens").alias("last_output"))
+        calls = codex_usage(reports, keep=["hour", "name"])
+        flat = flat.unionByName(calls.select("session_uid", F.lit("codex").alias("harness"), "hour", F.lit("usage").alias("kind"), "name", "input", "output", "cache_read", F.lit(None).cast("long").alias("cache_write")))
+        none = [F.lit(None).cast("long").alias(x) for x in TOKENS]
+        flat = flat.unionByName(offered(events).select("session_uid", F.lit("claude").alias("harness"), F.lit(None).cast("long").alias("hour"), F.lit("tool_offered").alias("kind"), "name", *none))
     return flat.groupBy("session_uid", "harness", "hour", "kind", "name").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in TOKENS])
 
 
+def offered(events: DataFrame) -> DataFrame:
+    """session_uid, name: the tools that attachments of `claude` sessions say the model was offered, each once.
+
+    An attachment in `extra` lists all tools (prompt_snapshot) or those that came (deferred_tools_delta); other
+    attachments say nothing.
+    """
+    some = events.where("harness = 'claude' and event_type = 'unknown' and raw_type = 'attachment' and extra is not null")
+    shape = "struct<attachment: struct<type: string, tools: array<struct<name: string>>, addedNames: array<string>, readdedNames: array<string>>>"
+    a = F.from_json("extra", shape)["attachment"]
+    none = F.array().cast("array<string>")
+    names = F.when(a["type"] == "prompt_snapshot", F.coalesce(a["tools"]["name"], none)).when(a["type"] == "deferred_tools_delta", F.concat(F.coalesce(a["addedNames"], none), F.coalesce(a["readdedNames"], none))).otherwise(none)
+    return some.select("session_uid", F.explode(names).alias("name")).where("name <> ''").distinct()
+
+
 def _n(kind: str):
     return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
 
@@ -92,32 +119,29 @@ def token_view(stats: DataFrame) -> DataFrame:
     return s.withColumn("tokens", F.when(some, sum((F.coalesce(x, F.lit(0)) for x in TOKENS), F.lit(0))))
 
 
-def codex_usage(reports: DataFrame) -> DataFrame:
-    """Model calls of running totals: (session_uid, pos, total_*, last_*) -> those counted, with token deltas.
+def codex_usage(reports: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Model calls of running totals: (session_uid, pos, total_*, last_*) -> those counted, with token deltas and the columns `keep`.
 
     A report with totals counts by how far each kind rose above what is counted already. A total below the one
     reported before it, in any kind, is a new process that counts from zero. A report without totals counts by its
     own `last_*`, which then are counted already. Without movement it is no call. Input excludes what was
     cached. Null kinds are unknown, not zero.
+
+    Within a process what is counted is the sum U of reports without totals, plus the highest of total - U so far and
+    zero: a report without totals raises both by itself, one with totals sets the highest. So windows tell it.
     """
     kinds = ("input", "cached", "output")
-    longs = lambda kind: "struct<" + ", ".join(f"{k}: bigint" for k in kind) + ">"
-    row = F.struct("pos", *[f"total_{k}" for k in kinds], *[f"last_{k}" for k in kinds])
-    start = F.struct(F.struct(*[F.lit(0).alias(k) for k in kinds]).cast(longs(kinds)).alias("counted"), F.lit(None).cast(longs(kinds)).alias("reported"), F.array().cast(f"array<{longs(('pos', *kinds))}>").alias("out"))
-    every = lambda f: F.struct(*[f(k).cast("long").alias(k) for k in kinds])
     any_of = lambda f: reduce(or_, (F.coalesce(f(k), F.lit(False)) for k in kinds))
-
-    def step(acc, r):
-        has = any_of(lambda k: r[f"total_{k}"].isNotNull())
-        total = lambda k: F.coalesce(r[f"total_{k}"], F.lit(0))
-        anew = any_of(lambda k: total(k) < acc["reported"][k])
-        from_ = lambda k: F.when(anew, 0).otherwise(acc["counted"][k])
-        rise = lambda k: F.when(has, F.greatest(total(k) - from_(k), F.lit(0))).otherwise(r[f"last_{k}"])
-        counts = F.when(has, any_of(lambda k: rise(k) > 0)).otherwise(any_of(lambda k: r[f"last_{k}"].isNotNull()))
-        counted = every(lambda k: F.when(has, from_(k)).otherwise(acc["counted"][k]) + F.coalesce(rise(k), F.lit(0)))
-        reported = F.when(has, every(total)).otherwise(acc["reported"])
-        one = F.struct(r["pos"].alias("pos"), *[rise(k).cast("long").alias(k) for k in kinds])
-        return F.struct(counted.alias("counted"), reported.alias("reported"), F.when(counts, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    folded = reports.groupBy("session_uid").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("o")).select("session_uid", F.explode("o").alias("o"))
-    return folded.select("session_uid", "o.pos", F.greatest(F.col("o.input") - F.coalesce("o.cached", F.lit(0)), F.when(F.col("o.input").isNotNull(), 0)).alias("input"), F.col("o.output").alias("output"), F.col("o.cached").alias("cache_read"))
+    w = Window.partitionBy("session_uid").orderBy("pos")
+    has = any_of(lambda k: F.col(f"total_{k}").isNotNull())
+    r = reports.withColumn("_has", has).withColumns({f"_total_{k}": F.when(F.col("_has"), F.coalesce(f"total_{k}", F.lit(0))) for k in kinds})
+    r = r.withColumns({f"_before_{k}": F.last(f"_total_{k}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k in kinds})
+    anew = F.col("_has") & any_of(lambda k: F.col(f"_total_{k}") < F.col(f"_before_{k}"))
+    r = r.withColumn("_process", F.sum(anew.cast("int")).over(w))
+    p = Window.partitionBy("session_uid", "_process").orderBy("pos")
+    r = r.withColumns({f"_own_{k}": F.sum(F.when(F.col("_has"), 0).otherwise(F.coalesce(f"last_{k}", F.lit(0)))).over(p) for k in kinds})
+    top = lambda k: F.greatest(F.max(F.col(f"_total_{k}") - F.col(f"_own_{k}")).over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.withColumns({k: F.when(F.col("_has"), F.greatest(F.col(f"_total_{k}") - F.col(f"_own_{k}") - top(k), F.lit(0))).otherwise(F.col(f"last_{k}")) for k in kinds})
+    counts = F.when(F.col("_has"), any_of(lambda k: F.col(k) > 0)).otherwise(any_of(lambda k: F.col(k).isNotNull()))
+    fresh = F.greatest(F.col("input") - F.coalesce("cached", F.lit(0)), F.when(F.col("input").isNotNull(), 0))
+    return r.where(counts).select("session_uid", "pos", *(keep or []), fresh.cast("long").alias("input"), F.col("output").cast("long").alias("output"), F.col("cached").cast("long").alias("cache_read"))

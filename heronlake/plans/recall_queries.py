@@ -28,6 +28,14 @@ SINCE, UNTIL = parse_when("2024-01-10"), parse_when("2024-01-12", until=True)
 S_SINCE, S_UNTIL = SINCE // 10**9, UNTIL // 10**9
 
 
+#: Running totals fall now and then, some reports have none; every fourth message of a claude session is an attachment.
+REPORTED = """SELECT * EXCEPT (event_type, raw_type), CASE WHEN offers THEN 'unknown' ELSE event_type END AS event_type, CASE WHEN offers THEN 'attachment' ELSE raw_type END AS raw_type,
+  CASE WHEN offers AND pos % 3 = 0 THEN '{{"attachment": {{"type": "prompt_snapshot", "tools": [{{"name": "Bash"}}, {{"name": "t' || (pos % 5) || '"}}, {{"name": ""}}]}}}}'
+    WHEN offers AND pos % 3 = 1 THEN '{{"attachment": {{"type": "deferred_tools_delta", "addedNames": ["d' || (pos % 4) || '"], "readdedNames": ["Bash"]}}}}' WHEN offers THEN '{{"attachment": {{"type": "note", "addedNames": ["x"]}}}}'
+    WHEN harness = 'codex' AND event_type = 'usage' AND output_tokens IS NOT NULL THEN '{{"total_token_usage": {{"input_tokens": ' || (input_tokens + pos) || ', "cached_input_tokens": 0, "output_tokens": ' || output_tokens || '}}}}' END AS extra
+FROM (SELECT *, harness = 'claude' AND event_type = 'message' AND pos % 4 = 0 AS offers FROM {ev})"""
+
+
 def rolled(spark, d):
     return stats.rollup(events(spark, d))
 
@@ -64,6 +72,16 @@ def codex_running_totals(spark, d):
     return stats.codex_usage(reports)
 
 
+def reported_events(spark, d):
+    """The events with running totals in codex reports, and attachments that offer tools in claude sessions."""
+    return spark.sql(REPORTED, ev=events(spark, d))
+
+
+def recall_rollup_reports(spark, d):
+    """Usage by running totals and tools offered, in the rollup."""
+    return stats.rollup(reported_events(spark, d)).where("kind in ('usage', 'tool_offered')")
+
+
 def recall_count_by_tool(spark, d):
     return count.count_by(events(spark, d), "tool_name")
 
@@ -177,7 +195,7 @@ def git_remotes(spark, d):
     return s.select("s_suppkey", text.git_remote(raw).alias("remote"), text.project_link(raw, F.sha2(n.cast("string"), 256)).alias("link"))
 
 
-NAMES = (recall_totals, recall_rollup, recall_breakdown, recall_series, recall_top_errors, recall_usage_view, codex_running_totals, recall_count_by_tool, recall_event_filter, recall_search, recall_search_page, recall_search_numbered, recall_trigram_index, recall_excerpt, tool_stats_by_tool, tool_stats_by_origin, tool_stats_mcp_by_model, tool_stats_totals, tool_stats_buckets, tool_stats_largest, tool_origins, tool_category_matrix, starting_context, context_without, number_formats, text_truncate, git_remotes)
+NAMES = (recall_totals, recall_rollup, recall_breakdown, recall_series, recall_top_errors, recall_usage_view, codex_running_totals, recall_rollup_reports, recall_count_by_tool, recall_event_filter, recall_search, recall_search_page, recall_search_numbered, recall_trigram_index, recall_excerpt, tool_stats_by_tool, tool_stats_by_origin, tool_stats_mcp_by_model, tool_stats_totals, tool_stats_buckets, tool_stats_largest, tool_origins, tool_category_matrix, starting_context, context_without, number_formats, text_truncate, git_remotes)
 QUERIES = {f.__name__: f for f in NAMES}
 
 KNOWN_ORIGIN = """CASE WHEN tool LIKE 'mcp\\_\\_plugin%' ESCAPE '\\' AND harness = 'claude' THEN 'plugin' WHEN tool LIKE 'mcp%' THEN 'mcp'
@@ -210,7 +228,21 @@ def _hist(value: str, where: str, p: float) -> str:
         WHERE {where} AND {value} IS NOT NULL AND x.tool = g.tool AND x."inner" = g."inner" GROUP BY 1))) WHERE cum >= ceil({p} * total))::BIGINT"""
 
 
+#: Usage reports folded one by one: what is counted (c), the totals reported last (p) and the rise (d) of input, cached and output.
+CODEX = """rp AS (SELECT session_uid, pos, model_id, recorded_ns, CASE WHEN output_tokens IS NOT NULL THEN input_tokens + pos END AS ti, CASE WHEN output_tokens IS NOT NULL THEN 0 END AS tc, output_tokens AS tt, input_tokens AS li, cache_read_tokens AS lc, output_tokens AS lo, row_number() OVER (PARTITION BY session_uid ORDER BY pos) AS rn FROM ev WHERE event_type = 'usage' AND {where}),
+fold AS (SELECT DISTINCT session_uid, 0::BIGINT AS rn, 0::BIGINT AS pos, 0::BIGINT AS ci, 0::BIGINT AS cc, 0::BIGINT AS co, NULL::BIGINT AS pi, NULL::BIGINT AS pc, NULL::BIGINT AS po, NULL::BIGINT AS di, NULL::BIGINT AS dc, NULL::BIGINT AS d_o, false AS has FROM rp
+  UNION ALL SELECT session_uid, rn, pos, CASE WHEN has THEN bi + di ELSE bi + coalesce(di, 0) END, CASE WHEN has THEN bc + dc ELSE bc + coalesce(dc, 0) END, CASE WHEN has THEN bo + d_o ELSE bo + coalesce(d_o, 0) END, CASE WHEN has THEN ti ELSE pi END, CASE WHEN has THEN tc ELSE pc END, CASE WHEN has THEN tt ELSE po END, di, dc, d_o, has
+  FROM (SELECT *, CASE WHEN has THEN greatest(0, ti - bi) ELSE li END AS di, CASE WHEN has THEN greatest(0, tc - bc) ELSE lc END AS dc, CASE WHEN has THEN greatest(0, tt - bo) ELSE lo END AS d_o
+    FROM (SELECT *, CASE WHEN anew THEN 0 ELSE ci END AS bi, CASE WHEN anew THEN 0 ELSE cc END AS bc, CASE WHEN anew THEN 0 ELSE co END AS bo
+      FROM (SELECT rp.*, f.ci, f.cc, f.co, f.pi, f.pc, f.po, rp.ti IS NOT NULL AS has, coalesce(rp.ti < f.pi OR rp.tc < f.pc OR rp.tt < f.po, false) AS anew FROM fold f JOIN rp ON rp.session_uid = f.session_uid AND rp.rn = f.rn + 1)))),
+calls AS (SELECT session_uid, pos, CASE WHEN di IS NOT NULL THEN greatest(0, di - coalesce(dc, 0)) END AS input, d_o AS output, dc AS cache_read FROM fold WHERE rn > 0 AND CASE WHEN has THEN di > 0 OR dc > 0 OR d_o > 0 ELSE coalesce(di, dc, d_o) IS NOT NULL END)"""
 ORACLE_SQL = {
+    "codex_running_totals": f"WITH RECURSIVE {EV}, {CODEX.format(where='true')} SELECT * FROM calls",
+    "recall_rollup_reports": f"""WITH RECURSIVE {ROLLUP}, {CODEX.format(where="harness = 'codex'")},
+o AS (SELECT session_uid, pos % 3 AS a, 't' || (pos % 5) AS t, 'd' || (pos % 4) AS d FROM ev WHERE harness = 'claude' AND event_type = 'message' AND pos % 4 = 0)
+SELECT session_uid, harness, hour, kind, name, n, input, output, cache_read, cache_write FROM st WHERE kind = 'usage' AND harness <> 'codex'
+UNION ALL SELECT c.session_uid, 'codex', CAST(floor(recorded_ns / 3600000000000) AS BIGINT) * 3600, 'usage', model_id, count(*), sum(input)::BIGINT, sum(output)::BIGINT, sum(cache_read)::BIGINT, NULL FROM calls c JOIN rp ON rp.session_uid = c.session_uid AND rp.pos = c.pos GROUP BY ALL
+UNION ALL SELECT DISTINCT session_uid, 'claude', NULL::BIGINT, 'tool_offered', name, 1, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT session_uid, 'Bash' AS name FROM o WHERE a < 2 UNION ALL SELECT session_uid, t FROM o WHERE a = 0 UNION ALL SELECT session_uid, d FROM o WHERE a = 1)""",
     "recall_rollup": f"WITH {ROLLUP} SELECT * FROM st",
     "recall_totals": f"""WITH {ROLLUP},
 one AS (SELECT session_uid, harness, max(CASE WHEN kind = 'event' THEN 1 ELSE 0 END) AS sessions, {', '.join(f"coalesce(sum(CASE WHEN kind = '{k}' THEN n END), 0) AS {a}" for k, a in (('event', 'events'), ('error', 'errors'), ('unreadable', 'unreadable'), ('usage', 'model_calls'), ('tool_call', 'tool_calls'), ('tool_failed', 'failed')))},

@@ -231,3 +231,55 @@ def test_plans_prune_and_push(spark):
     df = table(spark, "/root/testdata/sf0.001", "events").where("event_type = 'error'").groupBy("user_id").count()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,error)" in plan and "props" not in plan
+
+
+def brute_reports(rows):
+    """The rule for running totals, report by report: rows of (pos, totals or None, last)."""
+    counted, reported, out = [0, 0, 0], None, []
+    for pos, total, last in rows:
+        if total is not None:
+            if reported is not None and any(a < b for a, b in zip(total, reported)):
+                counted = [0, 0, 0]
+            reported = total
+            rise = [max(0, a - b) for a, b in zip(total, counted)]
+            counted = [a + b for a, b in zip(counted, rise)]
+            if any(rise):
+                out.append((pos, max(0, rise[0] - rise[1]), rise[2], rise[1]))
+        elif any(x is not None for x in last):
+            counted = [a + (b or 0) for a, b in zip(counted, last)]
+            fresh = None if last[0] is None else max(0, last[0] - (last[1] or 0))
+            out.append((pos, fresh, last[2], last[1]))
+    return out
+
+
+def test_running_totals_of_random_reports(spark):
+    import random
+
+    from heronlake.operators import stats
+
+    rng = random.Random(2)
+    rows, want = [], []
+    for s in range(150):
+        total, reports = [0, 0, 0], []
+        for pos in range(rng.randint(0, 14)):
+            if rng.random() < 0.15:
+                total = [rng.randint(0, 20) for _ in total]
+            elif rng.random() < 0.8:
+                total = [t + rng.choice([0, 0, 3, 10]) for t in total]
+            last = [rng.choice([None, 0, 4, 9]) for _ in total]
+            reports.append((pos, list(total) if rng.random() < 0.7 else None, last))
+        rows += [(f"s{s}", pos, *(t or (None,) * 3), *last) for pos, t, last in reports]
+        want += [(f"s{s}", *r) for r in brute_reports(reports)]
+    frame = spark.createDataFrame(rows, "session_uid string, pos long, total_input long, total_cached long, total_output long, last_input long, last_cached long, last_output long").coalesce(2)
+    assert sorted(map(tuple, stats.codex_usage(frame).collect()), key=repr) == sorted(want, key=repr)
+    assert stats.codex_usage(frame.limit(0)).count() == 0
+
+
+def test_empty_usage_is_no_call(spark):
+    from heronlake.operators import stats
+
+    cols = "session_uid string, pos long, harness string, event_type string, raw_type string, recorded_ns long, tool_name string, call_id string, tool_error boolean, model_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, message_id string, unreadable boolean, extra string"
+    use = lambda pos, msg, n, h="claude", x=None: ("s", pos, h, "usage", "", None, None, None, None, "m", n, None, None, None, msg, False, x)
+    rows = [use(0, "a", 5), use(1, "a", None), use(2, None, None), use(3, "b", 7), use(4, "b", 9), use(5, None, None, "grok"), ("s", 6, "claude", "unknown", "attachment", None, None, None, None, None, None, None, None, None, None, False, "not json")]
+    got = stats.rollup(spark.createDataFrame(rows, cols)).where("kind in ('usage', 'tool_offered')").collect()
+    assert [(r.harness, r.n, r.input) for r in got] == [("claude", 2, 14)]
