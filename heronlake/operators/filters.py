@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 
@@ -9,22 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronlake import schema
+from heronlake.operators.view import field
 
 MOST_NAME_BYTES, MOST_PROJECT_BYTES = 256, 4096
 
 
 def parse_when(text: str, until: bool = False) -> int:
     """RFC 3339, or a date in UTC, as nanoseconds. As an upper bound a date covers its whole day."""
+    part = 0
     try:
         if len(text) == 10:
             at = datetime.combine(date.fromisoformat(text) + timedelta(days=int(until)), datetime.min.time(), UTC)
         else:
-            at = datetime.fromisoformat(text)
-            if at.tzinfo is None:
+            # the nine digits of a fraction, of which the library keeps six
+            form = re.fullmatch(r"([^.]+)(?:\.(\d{1,9})\d*)?(Z|[+-]\d\d:\d\d)", text)
+            if not form or "T" not in form[1]:
                 raise ValueError
+            at = datetime.fromisoformat(form[1] + form[3])
+            part = int((form[2] or "").ljust(9, "0"))
     except ValueError:
         raise ValueError(f"not an RFC 3339 time or a date: {text!r}") from None
-    ns = (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1) * 1000
+    ns = (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(seconds=1) * 10**9 + part
     if not -(2**63) <= ns < 2**63:
         raise ValueError(f"out of range: {text!r}")
     return ns
@@ -79,9 +85,9 @@ class EventFilter:
 
 
 def select_events(events: DataFrame, where: EventFilter, fields: list[str] | None = None) -> DataFrame:
-    """The events that fit, projected to the named columns; a missing column is null."""
+    """The events that fit, projected to the named fields, also dotted ones and keys of extra; a missing one is null."""
     fit = events.where(where.condition())
-    return fit if fields is None else fit.select(*[F.col(f) if f in events.columns else F.lit(None).cast("string").alias(f) for f in fields])
+    return fit if fields is None else fit.select(*[field(events, f) for f in fields])
 
 
 def subtree(col: str, root: str) -> Column:

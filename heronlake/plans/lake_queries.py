@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronlake.operators import closure, resolve
+from heronlake.operators import closure, resolve, view
 from heronlake.plans.discovery_queries import SPAN_SINCE, SPAN_UNTIL
 from heronlake.plans.fixtures import DUCK_EVENTS, catalog, duck_catalog, events, table
 from heronlake.plans.scratch import folder
@@ -107,7 +107,19 @@ def retain_closure(spark, d):
     return closure.purge(named, edges, "session_uid", named.agg(F.min("session_uid")).first()[0])
 
 
-NAMES = (lake_events_in_span, lake_spans, lake_event_pages, conflict_outcomes, conflict_resolutions, conflict_heads, retain_closure)
+#: Extra objects with sealed values, keys with dots, one that is too large, and none; contents that are too long.
+VIEWED = """SELECT session_uid, pos, CASE pos % 7 WHEN 0 THEN repeat('é', 20000) WHEN 1 THEN 'x' || repeat('é', 16384) ELSE content END AS content,
+  CASE pos % 6 WHEN 0 THEN '{{"b": {{"cipherText": "q", "c": [{{"sealed": 1, "d": 2}}, 3, [{{"Sealed": 4}}]]}}, "a": 1, "encrypted_content": "zz"}}' WHEN 1 THEN '{{"k.v": "t' || pos || '", "a": [1, {{"x": "y"}}]}}'
+    WHEN 2 THEN '{{"big": "' || repeat('x', 17000) || '", "sealedBox": {{}}}}' WHEN 3 THEN 'no json' WHEN 4 THEN '["encrypted"]' END AS extra FROM {ev}"""
+
+
+def view_events(spark, d):
+    """Every event as a page shows it, and a field of extra by its path."""
+    e = view.shown(spark.sql(VIEWED, ev=events(spark, d)))
+    return e.select("session_uid", "pos", "content_size", "truncated", "opaque", "extra_omitted", "extra", F.md5("content").alias("shown"), view.field(e, "extra.k.v").alias("path_value"))
+
+
+NAMES = (view_events, lake_events_in_span, lake_spans, lake_event_pages, conflict_outcomes, conflict_resolutions, conflict_heads, retain_closure)
 QUERIES = {f.__name__: f for f in NAMES}
 
 LAKE = f"""WITH ev AS ({DUCK_EVENTS}), u AS (SELECT *, CAST(substring(session_uid, 2) AS BIGINT) AS user FROM ev),
@@ -125,6 +137,9 @@ m AS (SELECT * FROM o WHERE action = 'made_head' AND outcome = 'done'),
 sup AS (SELECT x.artifact_id FROM m JOIN a x ON x.session_uid = m.session_uid AND x.relpath = m.relpath AND x.relation = 'divergent_copy' AND x.artifact_id <> m.artifact_id
   JOIN blobs bn ON bn.sha256 = m.sha256 JOIN blobs bo ON bo.sha256 = x.sha256 WHERE starts_with(bn.content, bo.content) AND x.artifact_id NOT IN (SELECT artifact_id FROM resolutions))"""
 ORACLE_SQL = {
+    "view_events": f"""WITH ev AS ({DUCK_EVENTS}), w AS (SELECT session_uid, pos, content FROM ({VIEWED.replace('{{', '{').replace('}}', '}').replace('{ev}', 'ev')}))
+SELECT session_uid, pos, strlen(content)::BIGINT AS content_size, pos % 7 < 2 AS truncated, pos % 6 IN (0, 2) AS opaque, pos % 6 = 2 AS extra_omitted, CASE pos % 6 WHEN 0 THEN '{{"a":1,"b":{{"c":[{{"d":2}},3,[{{"Sealed":4}}]]}}}}' WHEN 1 THEN '{{"a":[1,{{"x":"y"}}],"k.v":"t' || pos || '"}}' END AS extra,
+  md5(CASE pos % 7 WHEN 0 THEN repeat('é', 16384) WHEN 1 THEN 'x' || repeat('é', 16383) ELSE content END) AS shown, CASE WHEN pos % 6 = 1 THEN '"t' || pos || '"' END AS path_value FROM w""",
     "lake_events_in_span": f"{LAKE} SELECT session_uid, gen, count(*) AS n, max(pos) AS last_pos FROM g GROUP BY 1, 2 HAVING max(recorded_ns) >= {SPAN_SINCE} AND min(recorded_ns) < {SPAN_UNTIL}",
     "lake_spans": f"{LAKE} SELECT session_uid, gen, min(pos) AS first_pos, max(pos) AS last_pos, min(recorded_ns) AS first_ns, max(recorded_ns) AS last_ns, count(*) AS n, sum(content_bytes)::BIGINT AS bytes FROM g GROUP BY 1, 2 UNION ALL SELECT DISTINCT session_uid, 2, NULL, NULL, NULL, NULL, 0, NULL FROM u WHERE user % 9 = 0 AND user % 2 = 1",
     "lake_event_pages": f"WITH ev AS ({DUCK_EVENTS}), p AS (SELECT pos, coalesce(content_bytes, 0) AS b FROM ev WHERE session_uid = 'u3') " + " UNION ALL ".join(f"({PAGE.format(name=n, start=s, limit=k, most=PAGE_BYTES)})" for n, (s, k) in PAGES.items()),
