@@ -47,20 +47,20 @@ MOST_KNOWN = 250_000
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 
 
-def word_code(word: str) -> tuple[int, int, int]:
-    """A word's code, its code where case is blind, and flags: ends a sentence (1), capitalised (2), spelled-out number (4)."""
+def word_code(word: str) -> int:
+    """A word's code above three flags: ends a sentence (1), capitalised (2), spelled-out number (4)."""
     import xxhash
 
     ends = word[-1:] in ".!?:;\"”»)" and word.rstrip("\"”»)")[-1:] in (".", "!", "?", ":")
     core = EDGE.sub("", word) or word
     low = core.lower()
     if NUMBER.fullmatch(low):
-        return int(NUM), ends, 0
+        return int(NUM) << 3 | ends
     if low in SPELLED or "-" in low and all(x in SPELLED for x in low.split("-")):
-        return int(NUM), ends | 4, 0
+        return int(NUM) << 3 | 4 | ends
     if low in UNITS and len(low) > 1:
-        return int(UNIT), ends, 0
-    return xxhash.xxh64_intdigest(low) >> 2 | 1 << 40, ends | core[:1].isupper() << 1, 0
+        return int(UNIT) << 3 | ends
+    return (xxhash.xxh64_intdigest(low) >> 3 | 1 << 40) << 3 | core[:1].isupper() << 1 | ends
 
 
 class Reading:
@@ -73,42 +73,49 @@ class Reading:
         return EDGE.sub("", self.word(i)).lower()
 
 
-def canonical_texts(texts: list[str | None]) -> list[Reading]:
-    known: dict[int, tuple[int, int]] = worker_state("template words", dict, "templates")
-    out = []
-    for _, w in buffers(texts, lower=False):
+class Canonical:
+    """The canonical words of a buffer of texts: codes of both readings, and where each text's begin and the last end."""
+
+    def __init__(self, w):
+        known: dict[int, int] = worker_state("template words", dict, "templates")
         distinct, first, index = np.unique(w.hashes, return_index=True, return_inverse=True)
         codes = [known.get(h) for h in distinct.tolist()]
         new = [i for i, c in enumerate(codes) if c is None]
         if len(known) + len(new) > MOST_KNOWN:
             known.clear()
         for i in new:
-            codes[i] = known[int(distinct[i])] = word_code(w.word(first[i]))[:2]
-        code = np.array(codes, np.uint64).reshape(-1, 2)[index]
-        blind, flags = code[:, 0], code[:, 1]
+            codes[i] = known[int(distinct[i])] = word_code(w.word(first[i]))
+        code = np.array(codes, np.uint64)[index] if len(index) else np.zeros(0, np.uint64)
+        blind = code >> np.uint64(3)
+        flags = code.astype(np.uint8) & 7
         begins = w.after_newline()
-        begins[1:] |= (flags[:-1] & np.uint64(1)) == 1
+        begins[1:] |= (flags[:-1] & 1) == 1
         begins[w.at[:-1][w.at[:-1] < len(begins)]] = True
-        named = np.where((flags & np.uint64(2) > 0) & ~begins, NAME, blind)
+        named = np.where((flags & 2 > 0) & ~begins, NAME, blind)
         # a run of spelled-out number words within a text is one number
-        spelled = flags & np.uint64(4) > 0
-        more = spelled.copy()
-        more[1:] &= spelled[:-1]
+        more = flags & 4 > 0
+        more[1:] &= more[:-1]
         more[:1] = False
         more[w.at[:-1][w.at[:-1] < len(more)]] = False
-        kept = np.flatnonzero(~more)
-        ends = np.append(kept[1:], len(more))
-        at = np.searchsorted(kept, w.at)
-
-        def word(i: int, w=w, kept=kept, ends=ends) -> str:
-            return w.word(kept[i]) if ends[i] == kept[i] + 1 or not spelled_at(w, kept[i]) else " ".join(w.word(k) for k in range(kept[i], ends[i]))
+        self.words, self.at, self.kept = w, w.at, None
+        if more.any():
+            self.kept = np.append(np.flatnonzero(~more), len(more))
+            self.at = np.searchsorted(self.kept, w.at)
+            named, blind = named[self.kept[:-1]], blind[self.kept[:-1]]
+        self.named, self.blind = named, blind
 
-        out += [Reading(named[kept[a:b]], blind[kept[a:b]], lambda i, a=a, word=word: word(a + i)) for a, b in zip(at.tolist(), at[1:].tolist())]
-    return out
+    def word(self, i: int) -> str:
+        if self.kept is None:
+            return self.words.word(i)
+        return " ".join(self.words.word(k) for k in range(self.kept[i], self.kept[i + 1]))
 
 
-def spelled_at(w, i: int) -> bool:
-    return bool(word_code(w.word(i))[1] & 4)
+def canonical_texts(texts: list[str | None]) -> list[Reading]:
+    out = []
+    for _, w in buffers(texts, lower=False):
+        c = Canonical(w)
+        out += [Reading(c.named[a:b], c.blind[a:b], lambda i, a=a, c=c: c.word(a + i)) for a, b in zip(c.at.tolist(), c.at[1:].tolist())]
+    return out
 
 
 def canonical(text: str | None) -> Reading:
@@ -197,11 +204,6 @@ def rows_out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "item_id", "item_words", "covered_words", "first_word", "agreed_words"])
 
 
-def bits_of(h: np.ndarray) -> list[np.ndarray]:
-    """The places of a window's bits in the map."""
-    return [(h >> np.uint64(i * 19)) & np.uint64(BITS - 1) for i in range(SETS)]
-
-
 def bitmap(index: DataFrame) -> np.ndarray:
     """Which windows some item may have: at most BITS bits reach the driver, whatever the benchmark's size."""
     place = F.explode(F.array(*[F.shiftrightunsigned("h", i * 19).bitwiseAND(F.lit(BITS - 1)) for i in range(SETS)]))
@@ -212,11 +214,12 @@ def bitmap(index: DataFrame) -> np.ndarray:
 
 
 def may_hold(map_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Those window hashes that the map does not rule out."""
+    """The places of those window hashes that the map does not rule out."""
+    left = np.arange(len(h))
     for i in range(SETS):
-        p = (h >> np.uint64(i * 19)) & np.uint64(BITS - 1)
-        h = h[(map_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    return h
+        p = (h[left] >> np.uint64(i * 19)) & np.uint64(BITS - 1)
+        left = left[(map_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return left
 
 
 def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
@@ -239,14 +242,22 @@ def meetings(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
-                keep, lists = [], []
-                for k, doc in enumerate(canonical_texts(some.column("text").to_pylist())):
-                    met = [may_hold(held.value, windows(c, own)) for own in widths for c in ((doc.named,) if doc.named is doc.blind or (doc.named == doc.blind).all() else (doc.named, doc.blind))]
-                    h = np.unique(np.concatenate(met)) if met else np.zeros(0, np.uint64)
-                    if len(h):
-                        keep.append(k)
-                        lists.append(h.view(np.int64))
-                if keep:
+                docs_met, met = [], []
+                for first, w in buffers(some.column("text").to_pylist(), lower=False):
+                    c = Canonical(w)
+                    for own in widths:
+                        for codes in (c.named, c.blind):
+                            h = windows(codes, own)
+                            place = may_hold(held.value, h)
+                            doc = np.searchsorted(c.at, place, "right") - 1
+                            within = place + own <= c.at[doc + 1]
+                            docs_met.append(doc[within] + first)
+                            met.append(h[place[within]])
+                doc, h = np.concatenate([*docs_met, np.zeros(0, np.int64)]), np.concatenate([*met, np.zeros(0, np.uint64)])
+                if len(doc):
+                    keep = np.unique(doc)
+                    order = np.argsort(doc, kind="stable")
+                    lists = [np.unique(x).view(np.int64) for x in np.split(h[order], np.searchsorted(doc[order], keep[1:]))]
                     part = some.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text", "hs"])
 
