@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronlake.operators import closure, resolve, view
+from heronlake.operators import closure, doctor, resolve, view
 from heronlake.plans.discovery_queries import SPAN_SINCE, SPAN_UNTIL
 from heronlake.plans.fixtures import DUCK_EVENTS, catalog, duck_catalog, events, table
 from heronlake.plans.scratch import folder
@@ -107,6 +107,22 @@ def retain_closure(spark, d):
     return closure.purge(named, edges, "session_uid", named.agg(F.min("session_uid")).first()[0])
 
 
+#: Allow rules of folders, homes, temporary folders, repositories and hosts, and two deny rules; named by their order.
+ALLOW = """SELECT CAST(row_number() OVER (ORDER BY kind, v) AS BIGINT) AS rule_id, CASE WHEN kind < 6 THEN v END AS cwd_prefix, CAST(NULL AS VARCHAR(9)) AS cwd_glob, CAST(NULL AS VARCHAR(9)) AS cwd_hash, CASE WHEN kind = 6 THEN v END AS remote, CASE WHEN kind = 7 THEN v END AS remote_prefix FROM (
+  SELECT 1 AS kind, '/srv/u' || (c_custkey % 30) || '/p' || (c_custkey % 7) AS v FROM {customer} UNION SELECT 2, '/srv/u3' UNION SELECT 2, '/srv/u4/p1/' UNION SELECT 3, '/tmp/x' || (c_custkey % 5) FROM {customer} UNION SELECT 3, '/data/.cache/y'
+  UNION SELECT 4, '/home/u' || (c_custkey % 4) FROM {customer} UNION SELECT 5, '/opt' UNION SELECT 6, 'git.example.org/team' || (c_custkey % 9) || '/repo' || (c_custkey % 40) FROM {customer} UNION SELECT 7, 'git.other.example' UNION SELECT 7, 'git.example.org/team1') AS t"""
+DENY = """SELECT CAST(n AS BIGINT) AS rule_id, CASE WHEN n = 1 THEN '/srv/u5' END AS cwd_prefix, CAST(NULL AS VARCHAR(9)) AS cwd_glob, CAST(NULL AS VARCHAR(9)) AS cwd_hash, CAST(NULL AS VARCHAR(9)) AS remote, CASE WHEN n = 2 THEN 'git.example.org/team2' END AS remote_prefix FROM (SELECT 1 AS n UNION SELECT 2) AS t"""
+#: Projects that wait in review: without a remote below /work, with one of other owners.
+WAITING = """SELECT CASE WHEN c_custkey % 3 = 0 THEN '/work/w' || (c_custkey % 6) || '/q' || (c_custkey % 13) ELSE '/home/a' END AS project_cwd, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'git.third.example/o' || (c_custkey % 4) || '/r' || (c_custkey % 11) END AS project_remote FROM {customer}"""
+
+
+def rules_doctor(spark, d):
+    """All findings on a profile's rules."""
+    c, s = table(spark, d, "customer"), catalog(spark, d, "sessions")
+    unlisted = catalog(spark, d, "devices").where("machine_id like '%7'")
+    return doctor.examine(spark.sql(ALLOW, customer=c), spark.sql(DENY), s, spark.sql(WAITING, customer=c), unlisted)
+
+
 #: Extra objects with sealed values, keys with dots, one that is too large, and none; contents that are too long.
 VIEWED = """SELECT session_uid, pos, CASE pos % 7 WHEN 0 THEN repeat('é', 20000) WHEN 1 THEN 'x' || repeat('é', 16384) ELSE content END AS content,
   CASE pos % 6 WHEN 0 THEN '{{"b": {{"cipherText": "q", "c": [{{"sealed": 1, "d": 2}}, 3, [{{"Sealed": 4}}]]}}, "a": 1, "encrypted_content": "zz"}}' WHEN 1 THEN '{{"k.v": "t' || pos || '", "a": [1, {{"x": "y"}}]}}'
@@ -119,7 +135,7 @@ def view_events(spark, d):
     return e.select("session_uid", "pos", "content_size", "truncated", "opaque", "extra_omitted", "extra", F.md5("content").alias("shown"), view.field(e, "extra.k.v").alias("path_value"))
 
 
-NAMES = (view_events, lake_events_in_span, lake_spans, lake_event_pages, conflict_outcomes, conflict_resolutions, conflict_heads, retain_closure)
+NAMES = (rules_doctor, view_events, lake_events_in_span, lake_spans, lake_event_pages, conflict_outcomes, conflict_resolutions, conflict_heads, retain_closure)
 QUERIES = {f.__name__: f for f in NAMES}
 
 LAKE = f"""WITH ev AS ({DUCK_EVENTS}), u AS (SELECT *, CAST(substring(session_uid, 2) AS BIGINT) AS user FROM ev),
@@ -136,7 +152,21 @@ o AS (SELECT *, CASE WHEN action = 'reopen' THEN CASE WHEN is_head THEN 'is_head
 m AS (SELECT * FROM o WHERE action = 'made_head' AND outcome = 'done'),
 sup AS (SELECT x.artifact_id FROM m JOIN a x ON x.session_uid = m.session_uid AND x.relpath = m.relpath AND x.relation = 'divergent_copy' AND x.artifact_id <> m.artifact_id
   JOIN blobs bn ON bn.sha256 = m.sha256 JOIN blobs bo ON bo.sha256 = x.sha256 WHERE starts_with(bn.content, bo.content) AND x.artifact_id NOT IN (SELECT artifact_id FROM resolutions))"""
+IN = "(w.cwd_prefix IS NOT NULL AND (r.cwd_prefix = w.cwd_prefix OR starts_with(r.cwd_prefix, rtrim(w.cwd_prefix, '/') || '/')) OR w.remote IS NOT NULL AND r.remote = w.remote OR w.remote_prefix IS NOT NULL AND (coalesce(r.remote_prefix, r.remote) = w.remote_prefix OR starts_with(coalesce(r.remote_prefix, r.remote), w.remote_prefix || '/')))"
+DOCTOR = f"""WITH {duck_catalog('sessions', 'devices')}, allow AS ({ALLOW.format(customer='customer')}), deny AS ({DENY}), waiting AS (SELECT DISTINCT * FROM ({WAITING.format(customer='customer')})),
+c AS (SELECT r.rule_id, min(w.rule_id) AS by_rule FROM allow r JOIN allow w ON r.rule_id <> w.rule_id AND {IN} GROUP BY 1), sh AS (SELECT r.rule_id, min(w.rule_id) AS by_rule FROM allow r JOIN deny w ON {IN} GROUP BY 1),
+hit AS (SELECT DISTINCT w.rule_id FROM (SELECT DISTINCT project_cwd AS cwd_prefix, project_remote AS remote, NULL AS remote_prefix FROM sessions) r JOIN allow w ON {IN}),
+f AS (SELECT a.rule_id, CASE WHEN c.by_rule IS NOT NULL THEN 'covered' WHEN sh.by_rule IS NOT NULL THEN 'shadowed' WHEN cwd_prefix LIKE '/home/%' THEN 'home_folder' WHEN cwd_prefix = '/opt' THEN 'broad_folder' WHEN remote_prefix = 'git.other.example' THEN 'host_wide' WHEN cwd_prefix LIKE '/tmp/%' OR cwd_prefix LIKE '%/.cache/%' THEN 'temporary' WHEN hit.rule_id IS NULL THEN 'unmatched' END AS code, coalesce(c.by_rule, sh.by_rule) AS by_rule
+  FROM allow a LEFT JOIN c ON c.rule_id = a.rule_id LEFT JOIN sh ON sh.rule_id = a.rule_id LEFT JOIN hit ON hit.rule_id = a.rule_id),
+ff AS (SELECT regexp_extract(rtrim(cwd_prefix, '/'), '^(/srv/u[0-9]+)/', 1) AS g, rtrim(cwd_prefix, '/') AS k FROM allow WHERE cwd_prefix LIKE '/srv/u%/%'), oo AS (SELECT regexp_extract(remote, '^(.*)/[^/]+$', 1) AS g FROM allow WHERE remote IS NOT NULL),
+groups AS (SELECT 'folder_fold' AS code, g, count(*) AS n FROM ff WHERE g <> '/srv/u3' GROUP BY g HAVING count(DISTINCT k) >= 3 UNION ALL SELECT 'owner_fold', g, count(*) FROM oo WHERE g <> 'git.example.org/team1' GROUP BY g HAVING count(*) >= 3
+  UNION ALL (SELECT 'review_group', g, count(*) FROM (SELECT CASE WHEN project_remote <> '' THEN regexp_extract(project_remote, '^(.*)/[^/]+$', 1) ELSE regexp_extract(project_cwd, '^(.*)/[^/]+$', 1) END AS g FROM waiting) GROUP BY g HAVING count(*) >= 3 ORDER BY 3 DESC, 2 LIMIT 10)),
+n AS (SELECT (SELECT count(*) FROM allow) AS a, (SELECT count(*) FROM deny) AS d, (SELECT count(*) FROM waiting) AS p, (SELECT count(*) FROM devices WHERE machine_id LIKE '%7') AS u),
+x AS (SELECT code, rule_id, by_rule, NULL AS "group", NULL AS n FROM f WHERE code IS NOT NULL UNION ALL SELECT code, NULL, NULL, g, n FROM groups UNION ALL SELECT CASE WHEN greatest(a, d) >= 500 THEN 'at_cap' ELSE 'near_cap' END, NULL, NULL, NULL, CASE WHEN greatest(a, d) >= 500 THEN greatest(a, d) ELSE a END FROM n WHERE greatest(a, d) * 100 >= 40000 OR a + p > 500
+  UNION ALL SELECT 'unlisted_devices', NULL, NULL, NULL, u FROM n WHERE u > 0)
+SELECT code, CASE WHEN code IN ('covered', 'shadowed', 'temporary') THEN 'tidy' WHEN code IN ('home_folder', 'at_cap') THEN 'problem' WHEN code IN ('broad_folder', 'host_wide', 'near_cap') THEN 'warning' WHEN code IN ('unmatched', 'unlisted_devices') THEN 'info' ELSE 'offer' END AS level, rule_id, by_rule, "group", n FROM x"""
 ORACLE_SQL = {
+    "rules_doctor": DOCTOR,
     "view_events": f"""WITH ev AS ({DUCK_EVENTS}), w AS (SELECT session_uid, pos, content FROM ({VIEWED.replace('{{', '{').replace('}}', '}').replace('{ev}', 'ev')}))
 SELECT session_uid, pos, strlen(content)::BIGINT AS content_size, pos % 7 < 2 AS truncated, pos % 6 IN (0, 2) AS opaque, pos % 6 = 2 AS extra_omitted, CASE pos % 6 WHEN 0 THEN '{{"a":1,"b":{{"c":[{{"d":2}},3,[{{"Sealed":4}}]]}}}}' WHEN 1 THEN '{{"a":[1,{{"x":"y"}}],"k.v":"t' || pos || '"}}' END AS extra,
   md5(CASE pos % 7 WHEN 0 THEN repeat('é', 16384) WHEN 1 THEN 'x' || repeat('é', 16383) ELSE content END) AS shown, CASE WHEN pos % 6 = 1 THEN '"t' || pos || '"' END AS path_value FROM w""",
