@@ -47,18 +47,18 @@ def paired(events: DataFrame, req: Request) -> DataFrame:
     Pairing and the share's denominators see the whole session, whatever range or filters keep.
     """
     kind = F.when((F.col("harness") == "codex") & (F.col("raw_type") == "item_completed"), "inner").when((F.col("harness") == "codex") & F.col("raw_type").rlike("_(begin|end)$"), "event_msg").otherwise("plain")
-    rows = events.where(F.col("event_type").isin("tool_call", "tool_result")).withColumn("row_kind", kind)
     is_call = F.col("event_type") == "tool_call"
-    by_type = Window.partitionBy("session_uid", "call_id", "event_type")
-    by_call = Window.partitionBy("session_uid", "call_id")
     named = F.col("call_id").isNotNull()
-    twin = F.max(F.when(F.col("row_kind") != "event_msg", 1)).over(by_type)
-    rows = rows.where(~named).withColumn("twin", F.lit(None).cast("int")).unionByName(rows.where(named).withColumn("twin", twin))
-    rows = rows.where(~((F.col("row_kind") == "event_msg") & F.col("twin").isNotNull())).drop("twin")
-    first = F.min(F.when(is_call, F.struct("pos", "tool_name", "model_id", "recorded_ns"))).over(by_call)
-    answered = F.max(F.when(~is_call, 1)).over(by_call)
-    none = F.lit(None).cast("struct<pos: bigint, tool_name: string, model_id: string, recorded_ns: bigint>")
-    rows = rows.where(~named).withColumns({"call": none, "answered": F.lit(None).cast("int")}).unionByName(rows.where(named).withColumns({"call": first, "answered": answered}))
+    # call ids live within a session, so one exchange by session serves all windows; a row without an id is alone
+    rows = events.where(F.col("event_type").isin("tool_call", "tool_result")).withColumns({"row_kind": kind, "ck": F.coalesce("call_id", F.concat(F.lit("\0"), F.col("pos").cast("string")))}).repartition("session_uid")
+    by_call = Window.partitionBy("session_uid", "ck")
+    real = lambda side: F.max(F.when(side & (F.col("row_kind") != "event_msg"), 1)).over(by_call)
+    twin = F.when(is_call, F.col("real_call")).otherwise(F.col("real_result"))
+    rows = rows.withColumns({"real_call": real(is_call), "real_result": real(~is_call)})
+    rows = rows.where(~((F.col("row_kind") == "event_msg") & named & twin.isNotNull())).drop("real_call", "real_result")
+    first = F.min(F.when(is_call & named, F.struct("pos", "tool_name", "model_id", "recorded_ns"))).over(by_call)
+    answered = F.max(F.when(~is_call & named, 1)).over(by_call)
+    rows = rows.withColumns({"call": first, "answered": answered})
     of_call = ~is_call & F.col("call").isNotNull()
     inner = F.col("row_kind") == "inner"
     tool = F.when(of_call & (F.coalesce(F.col("call.tool_name"), F.lit("")) != ""), F.col("call.tool_name")).otherwise(F.coalesce("tool_name", F.lit("")))
@@ -73,7 +73,7 @@ def paired(events: DataFrame, req: Request) -> DataFrame:
         waits |= (F.col("harness") == h) & (F.col("tool") == t)
     class_bytes = F.sum(F.when(~is_call & (F.col("content_bytes") > 0), F.col("content_bytes"))).over(Window.partitionBy("session_uid", "inner"))
     o = origin(F.col("harness"), F.col("tool"))
-    rows = rows.withColumns({"latency_ms": F.when(~waits, latency), "waits": waits, "class_bytes": class_bytes, "origin": o, "unanswered": is_call & named & F.col("answered").isNull()})
+    rows = rows.withColumns({"latency_ms": F.when(~waits, latency), "waits": waits, "class_bytes": class_bytes, "origin": o, "unanswered": is_call & named & F.col("answered").isNull()}).drop("ck")
     for col, value in (("tool", req.tool), ("model", req.model), ("origin.kind", req.origin_kind), ("origin.name", req.origin_name)):
         if value is not None:
             rows = rows.where(F.col(col) == value)
@@ -115,17 +115,19 @@ def groups(rows: DataFrame) -> DataFrame:
     """Everything by group: counts, errors, sizes, latencies, the share of all results and of each session's."""
     call, failed = F.col("is_call"), F.col("tool_error")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    base = rows.groupBy(*KEY).agg(
-        count(call).alias("calls"), count(~call).alias("results"), count(F.col("unanswered")).alias("unanswered"), count(F.col("recorded_ns").isNull()).alias("undated"),
-        count(~call & failed).alias("errors"), count(~call & failed.isNotNull()).alias("error_known"), F.count_distinct("session_uid").alias("sessions"),
-        F.max(F.when(F.col("waits"), "waits_on_person").when((F.col("harness") == "codex") & (F.col("tool") == "exec"), "code_mode_cell")).alias("latency_note"),
-    )
+    counts = {
+        "calls": call, "results": ~call, "unanswered": F.col("unanswered"), "undated": F.col("recorded_ns").isNull(), "errors": ~call & failed, "error_known": ~call & failed.isNotNull(),
+    }
+    note = F.max(F.when(F.col("waits"), "waits_on_person").when((F.col("harness") == "codex") & (F.col("tool") == "exec"), "code_mode_cell"))
+    # of each session once; counts, notes and shares of groups follow from that
+    sized = ~call & (F.col("content_bytes") > 0)
+    per = rows.groupBy(*KEY, "session_uid").agg(*[count(c).alias(n) for n, c in counts.items()], note.alias("latency_note"), F.sum(F.when(sized, F.col("content_bytes"))).alias("own"), F.max(F.when(sized, F.col("class_bytes"))).alias("of"))
+    share = F.col("own") / F.col("of")
+    shares = [F.count("own").alias("share_sessions"), F.max(share).alias("share_max"), *[F.expr(f"percentile_disc({p}) within group (order by own / of)").alias(n) for n, p in (("share_p50", 0.5), ("share_p95", 0.95))]]
+    base = per.groupBy(*KEY).agg(*[F.sum(n).alias(n) for n in counts], F.count("*").alias("sessions"), F.max("latency_note").alias("latency_note"), *shares)
     out = base.join(_sizes(rows), KEY, "left")
     class_total = F.sum(F.coalesce("output_total", F.lit(0))).over(Window.partitionBy("inner"))
-    per = rows.where(~call & (F.col("content_bytes") > 0)).groupBy(*KEY, "session_uid").agg(F.sum("content_bytes").alias("own"), F.max("class_bytes").alias("of"))
-    share = F.col("own") / F.col("of")
-    shares = per.groupBy(*KEY).agg(F.count("*").alias("share_sessions"), F.max(share).alias("share_max"), *[F.expr(f"percentile_disc({p}) within group (order by own / of)").alias(n) for n, p in (("share_p50", 0.5), ("share_p95", 0.95))])
-    out = out.join(shares, KEY, "left").withColumns({"error_rate": F.when(F.col("error_known") > 0, F.col("errors") / F.col("error_known")), "result_share": F.when(class_total > 0, F.coalesce("output_total", F.lit(0)) / class_total)})
+    out = out.withColumns({"error_rate": F.when(F.col("error_known") > 0, F.col("errors") / F.col("error_known")), "result_share": F.when(class_total > 0, F.coalesce("output_total", F.lit(0)) / class_total)})
     zero = [c for c in out.columns if c.endswith(("_count", "_total")) or c == "share_sessions"]
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).orderBy(F.desc("calls"), F.desc("results"), F.desc("output_total"), "key", "split", "inner")
 
@@ -167,8 +169,10 @@ def starting_context(events: DataFrame, least: int = 5) -> DataFrame:
     """
     size = F.when(F.col("harness") == "codex", F.col("input_tokens")).otherwise(F.col("input_tokens") + F.coalesce("cache_read_tokens", F.lit(0)) + F.coalesce("cache_write_tokens", F.lit(0)))
     start = events.where((F.col("event_type") == "usage") & F.col("input_tokens").isNotNull()).groupBy("session_uid", "harness").agg(F.min_by(size, "pos").alias("size"))
-    o = origin(F.col("harness"), F.coalesce("tool_name", F.lit("")))
-    used = events.where("event_type = 'tool_call'").select("session_uid", "harness", o.alias("o")).where(F.col("o.kind").isin("mcp", "plugin")).select("session_uid", "harness", "o.kind", "o.name").distinct()
+    calls = events.where("event_type = 'tool_call'").select("session_uid", "harness", F.coalesce("tool_name", F.lit("")).alias("tool")).distinct()
+    # a tool's origin is worked out once, not for each call
+    named = calls.select("harness", "tool").distinct().withColumn("o", origin(F.col("harness"), F.col("tool"))).where(F.col("o.kind").isin("mcp", "plugin")).select("harness", "tool", "o.kind", "o.name")
+    used = calls.join(named, ["harness", "tool"]).select("session_uid", "harness", "kind", "name").distinct()
     origins = used.select("harness", "kind", "name").distinct()
     every = start.join(origins, "harness").join(used.withColumn("has", F.lit(True)), ["session_uid", "harness", "kind", "name"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
     median = lambda on: F.expr(f"percentile_disc(0.5) within group (order by case when {on} then size end)").cast("long")

@@ -283,3 +283,12 @@ def test_empty_usage_is_no_call(spark):
     rows = [use(0, "a", 5), use(1, "a", None), use(2, None, None), use(3, "b", 7), use(4, "b", 9), use(5, None, None, "grok"), ("s", 6, "claude", "unknown", "attachment", None, None, None, None, None, None, None, None, None, None, False, "not json")]
     got = stats.rollup(spark.createDataFrame(rows, cols)).where("kind in ('usage', 'tool_offered')").collect()
     assert [(r.harness, r.n, r.input) for r in got] == [("claude", 2, 14)]
+
+
+def test_tool_statistics_read_events_twice(spark):
+    """One exchange by session serves all windows of pairing; counts and shares come from one grouping, sizes from another."""
+    import __spark_entry__ as entry
+
+    for name in ("tool_stats_by_tool", "tool_stats_by_origin"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= 2 and plan.count("Exchange ") <= 11, name
