@@ -170,8 +170,8 @@ def starting_context(events: DataFrame, least: int = 5) -> DataFrame:
     size = F.when(F.col("harness") == "codex", F.col("input_tokens")).otherwise(F.col("input_tokens") + F.coalesce("cache_read_tokens", F.lit(0)) + F.coalesce("cache_write_tokens", F.lit(0)))
     start = events.where((F.col("event_type") == "usage") & F.col("input_tokens").isNotNull()).groupBy("session_uid", "harness").agg(F.min_by(size, "pos").alias("size"))
     calls = events.where("event_type = 'tool_call'").select("session_uid", "harness", F.coalesce("tool_name", F.lit("")).alias("tool")).distinct()
-    # a tool's origin is worked out once, not for each call
-    named = calls.select("harness", "tool").distinct().withColumn("o", origin(F.col("harness"), F.col("tool"))).where(F.col("o.kind").isin("mcp", "plugin")).select("harness", "tool", "o.kind", "o.name")
+    # a tool's origin is worked out once, not for each call; as a list of one, so that its long expression is not copied into the filter
+    named = calls.select("harness", "tool").distinct().withColumn("o", F.explode(F.array(origin(F.col("harness"), F.col("tool"))))).where(F.col("o.kind").isin("mcp", "plugin")).select("harness", "tool", "o.kind", "o.name")
     used = calls.join(named, ["harness", "tool"]).select("session_uid", "harness", "kind", "name").distinct()
     origins = used.select("harness", "kind", "name").distinct()
     every = start.join(origins, "harness").join(used.withColumn("has", F.lit(True)), ["session_uid", "harness", "kind", "name"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
