@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from heronlake.operators.catalog import DAY_NS, normalization_state
 from heronlake.operators.filters import subtree
-from heronlake.operators.rules import FIELDS, rule_hits
+from heronlake.operators.rules import FIELDS, rule_hits, with_hash
 
 HOUR_NS = 3_600_000_000_000
 MOST_PREVIEWED = 500
+MOST_SELECTED = 500
 # Width, default span and widest range of a bucket.
 BUCKETS = {"hour": (HOUR_NS, 24 * HOUR_NS, 14 * DAY_NS), "day": (DAY_NS, 7 * DAY_NS, 90 * DAY_NS)}
 
@@ -86,6 +87,53 @@ def rule_preview(sessions: DataFrame, rule: dict, harness: str | None = None, mo
     return found
 
 
+def discovery_filter(sessions: DataFrame, provenance: DataFrame, *, harness: str | None = None, remote: str | None = None, unlinked: bool = False, cwd_prefix: str | None = None, cwd_hash: str | None = None, machine: str | None = None, since_ns: int | None = None, until_ns: int | None = None) -> DataFrame:
+    """The sessions that fit all that is given: whatever their state, by folder or its hash, by machine, by time of update."""
+    if cwd_prefix is not None and (not cwd_prefix.startswith("/") or len(cwd_prefix.encode()) > 4096):
+        raise ValueError("a folder is an absolute path")
+    if len(cwd_hash or "") > 128 or len(machine or "") > 128:
+        raise ValueError("a name is too long")
+    if since_ns is not None and until_ns is not None and since_ns >= until_ns:
+        raise ValueError("since must come before until")
+    s = sessions
+    if harness is not None:
+        s = s.where(F.col("harness") == harness)
+    if remote is not None:
+        s = s.where(subtree("project_remote", remote.rstrip("/")))
+    if unlinked:
+        s = s.where("project_id = ''")
+    if since_ns is not None:
+        s = s.where(F.col("updated_ns") >= since_ns)
+    if until_ns is not None:
+        s = s.where(F.col("updated_ns") < until_ns)
+    if cwd_prefix is not None:
+        s = s.where(subtree("project_cwd", cwd_prefix.rstrip("/")))
+    if cwd_hash is not None:
+        s = with_hash(s).where(F.col("session_cwd_hash") == cwd_hash).drop("session_cwd_hash")
+    if machine is not None:
+        s = s.join(provenance.where(F.col("machine_id") == machine), "session_uid", "left_semi")
+    return s
+
+
+def select_sessions(sessions: DataFrame, provenance: DataFrame, where: dict | None = None, uids: list[str] | None = None, exclude: list[str] | None = None, most: int | None = MOST_SELECTED) -> DataFrame:
+    """session_uid, excluded: a frozen selection, by a filter that sets something or by ids, which may be unknown.
+
+    Excluded ones are told apart, not left out. More than `most` (None: any number) is an error, never a part.
+    """
+    uids, exclude = uids or [], exclude or []
+    if (where is None) == (not uids) or where is not None and not any(v not in (None, False, "") for v in where.values()):
+        raise ValueError("a selection is by a filter that sets something, or by ids")
+    if any(not u or len(u.encode()) > 128 or u != u.strip() for u in [*uids, *exclude]):
+        raise ValueError("not a session id")
+    if most is not None and max(len(uids), len(exclude)) > most:
+        raise ValueError(f"more than {most} sessions")
+    ids = lambda x: sessions.sparkSession.createDataFrame([(u,) for u in dict.fromkeys(x)], "session_uid string")
+    found = ids(uids) if where is None else discovery_filter(sessions, provenance, **where).select("session_uid").distinct()
+    if where is not None and most is not None and found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} sessions")
+    return found.join(ids(exclude).withColumn("excluded", F.lit(True)), "session_uid", "left").select("session_uid", F.coalesce("excluded", F.lit(False)).alias("excluded"))
+
+
 def watermark_summary(marks: DataFrame) -> DataFrame:
     """How many files are tracked, their bytes and the last change, by harness."""
     return marks.groupBy("harness").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("updated_ns").alias("updated_ns"))

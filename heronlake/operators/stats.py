@@ -112,6 +112,23 @@ def top_error_sessions(stats: DataFrame, k: int) -> DataFrame:
     return s.orderBy(F.desc(F.col("errors") + F.col("failed")), "session_uid").limit(k)
 
 
+def errors_tab(stats: DataFrame, since: int, until: int, harness: str | None = None, sessions: int = 10, names: int = 15) -> DataFrame:
+    """What went wrong in whole hours of a range (seconds since the epoch): section, harness, name, n, failed.
+
+    Sections: total (n errors; failed of all tool calls, named by their number), session (the `sessions` with most
+    errors and failed results), error and failed_tool (the `names` most frequent).
+    """
+    s = stats.where((F.col("hour") >= since) & (F.col("hour") < until))
+    s = s if harness is None else s.where(F.col("harness") == harness)
+    none = F.lit(None).cast("string")
+    total = s.agg(_n("error").alias("n"), _n("tool_failed").alias("failed"), _n("tool_call").alias("calls")).select(F.lit("total").alias("section"), none.alias("harness"), F.col("calls").cast("string").alias("name"), "n", "failed")
+    top = top_error_sessions(s, sessions).select(F.lit("session").alias("section"), "harness", F.col("session_uid").alias("name"), F.col("errors").alias("n"), "failed")
+    out = total.unionByName(top)
+    for section, kind in (("error", "error"), ("failed_tool", "tool_failed")):
+        out = out.unionByName(breakdown(s, kind).limit(names).select(F.lit(section).alias("section"), "harness", "name", "n", F.lit(None).cast("long").alias("failed")))
+    return out
+
+
 def token_view(stats: DataFrame) -> DataFrame:
     """Model calls and the total of all reported token kinds by harness and model; null where none was reported."""
     some = F.coalesce(*TOKENS).isNotNull()

@@ -59,12 +59,26 @@ def events_in_span(spark, d):
     return found.groupBy("session_uid").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 
-NAMES = (discover_bays, discover_bays_limited, catalog_recent_ready, catalog_conflict_records, catalog_artifact_records, catalog_review_queue, rules_preview, watermark_summary, catalog_head_changes, events_in_span)
+def discover_sessions(spark, d):
+    """Sessions by folder, machine and time of update, whatever their state."""
+    s, p = catalog(spark, d, "sessions"), catalog(spark, d, "provenance")
+    return ds.discovery_filter(s, p, cwd_prefix="/home/u7/", machine="m1", since_ns=10 * DAY, until_ns=600 * DAY).select("session_uid", "harness", "updated_ns")
+
+
+def select_sessions(spark, d):
+    """A frozen selection by a project's subtree, with two sessions excluded."""
+    s, p = catalog(spark, d, "sessions"), catalog(spark, d, "provenance")
+    return ds.select_sessions(s, p, {"remote": "git.example.org/team4"}, exclude=["s4", "s13", "s0"], most=None)
+
+
+NAMES = (discover_sessions, select_sessions, discover_bays, discover_bays_limited, catalog_recent_ready, catalog_conflict_records, catalog_artifact_records, catalog_review_queue, rules_preview, watermark_summary, catalog_head_changes, events_in_span)
 QUERIES = {f.__name__: f for f in NAMES}
 
 RECORDS = f"""WITH {duck_catalog('artifacts', 'sessions', 'resolutions')}, r AS (SELECT a.artifact_id, a.session_uid, left(relpath, 512) AS relpath, sha256, size, relation, current, head_sha256, coalesce(resolution, '') AS resolution
 FROM artifacts a JOIN sessions s ON s.session_uid = a.session_uid LEFT JOIN resolutions z ON z.artifact_id = a.artifact_id)"""
 ORACLE_SQL = {
+    "discover_sessions": f"WITH {duck_catalog('sessions', 'provenance')} SELECT session_uid, harness, updated_ns FROM sessions WHERE (project_cwd = '/home/u7' OR starts_with(project_cwd, '/home/u7/')) AND updated_ns >= {10 * DAY} AND updated_ns < {600 * DAY} AND session_uid IN (SELECT session_uid FROM provenance WHERE machine_id = 'm1')",
+    "select_sessions": f"WITH {duck_catalog('sessions')} SELECT session_uid, session_uid IN ('s4', 's13', 's0') AS excluded FROM sessions WHERE project_remote = 'git.example.org/team4' OR starts_with(project_remote, 'git.example.org/team4/')",
     "discover_bays": f"WITH {duck_catalog('sessions', 'bays', 'members')} SELECT bay, name, is_default, (SELECT count(DISTINCT m.session_uid) FROM members m JOIN sessions s ON s.session_uid = m.session_uid WHERE m.bay = b.bay) AS sessions FROM bays b WHERE bay IN ('b3', 'b4', 'b5')",
     "discover_bays_limited": f"""WITH {duck_catalog('sessions', 'bays', 'members', 'artifacts')} SELECT bay, name, is_default, count(DISTINCT m.session_uid) AS sessions FROM bays JOIN members m USING (bay)
 WHERE m.session_uid IN (SELECT session_uid FROM sessions) AND m.session_uid IN (SELECT session_uid FROM artifacts WHERE size > 450000) GROUP BY 1, 2, 3""",

@@ -64,6 +64,10 @@ def recall_usage_view(spark, d):
     return stats.token_view(rolled(spark, d))
 
 
+def recall_errors_tab(spark, d):
+    return stats.errors_tab(rolled(spark, d), S_SINCE, S_UNTIL)
+
+
 def codex_running_totals(spark, d):
     e = events(spark, d).where("event_type = 'usage'")
     none = F.lit(None).cast("long")
@@ -195,7 +199,7 @@ def git_remotes(spark, d):
     return s.select("s_suppkey", text.git_remote(raw).alias("remote"), text.project_link(raw, F.sha2(n.cast("string"), 256)).alias("link"))
 
 
-NAMES = (recall_totals, recall_rollup, recall_breakdown, recall_series, recall_top_errors, recall_usage_view, codex_running_totals, recall_rollup_reports, recall_count_by_tool, recall_event_filter, recall_search, recall_search_page, recall_search_numbered, recall_trigram_index, recall_excerpt, tool_stats_by_tool, tool_stats_by_origin, tool_stats_mcp_by_model, tool_stats_totals, tool_stats_buckets, tool_stats_largest, tool_origins, tool_category_matrix, starting_context, context_without, number_formats, text_truncate, git_remotes)
+NAMES = (recall_totals, recall_rollup, recall_breakdown, recall_series, recall_top_errors, recall_usage_view, recall_errors_tab, codex_running_totals, recall_rollup_reports, recall_count_by_tool, recall_event_filter, recall_search, recall_search_page, recall_search_numbered, recall_trigram_index, recall_excerpt, tool_stats_by_tool, tool_stats_by_origin, tool_stats_mcp_by_model, tool_stats_totals, tool_stats_buckets, tool_stats_largest, tool_origins, tool_category_matrix, starting_context, context_without, number_formats, text_truncate, git_remotes)
 QUERIES = {f.__name__: f for f in NAMES}
 
 KNOWN_ORIGIN = """CASE WHEN tool LIKE 'mcp\\_\\_plugin%' ESCAPE '\\' AND harness = 'claude' THEN 'plugin' WHEN tool LIKE 'mcp%' THEN 'mcp'
@@ -237,6 +241,10 @@ fold AS (SELECT DISTINCT session_uid, 0::BIGINT AS rn, 0::BIGINT AS pos, 0::BIGI
       FROM (SELECT rp.*, f.ci, f.cc, f.co, f.pi, f.pc, f.po, rp.ti IS NOT NULL AS has, coalesce(rp.ti < f.pi OR rp.tc < f.pc OR rp.tt < f.po, false) AS anew FROM fold f JOIN rp ON rp.session_uid = f.session_uid AND rp.rn = f.rn + 1)))),
 calls AS (SELECT session_uid, pos, CASE WHEN di IS NOT NULL THEN greatest(0, di - coalesce(dc, 0)) END AS input, d_o AS output, dc AS cache_read FROM fold WHERE rn > 0 AND CASE WHEN has THEN di > 0 OR dc > 0 OR d_o > 0 ELSE coalesce(di, dc, d_o) IS NOT NULL END)"""
 ORACLE_SQL = {
+    "recall_errors_tab": f"""WITH {ROLLUP}, r AS (SELECT * FROM st WHERE hour >= {S_SINCE} AND hour < {S_UNTIL}), b AS (SELECT kind, harness, name, sum(n)::BIGINT AS n FROM r GROUP BY ALL)
+SELECT 'total' AS section, NULL AS harness, CAST(coalesce(sum(n) FILTER (kind = 'tool_call'), 0) AS VARCHAR) AS name, coalesce(sum(n) FILTER (kind = 'error'), 0)::BIGINT AS n, coalesce(sum(n) FILTER (kind = 'tool_failed'), 0)::BIGINT AS failed FROM r
+UNION ALL (SELECT 'session', harness, session_uid, coalesce(sum(n) FILTER (kind = 'error'), 0)::BIGINT AS e, coalesce(sum(n) FILTER (kind = 'tool_failed'), 0)::BIGINT AS f FROM r WHERE kind IN ('error', 'tool_failed') GROUP BY harness, session_uid ORDER BY e + f DESC, session_uid LIMIT 10)
+UNION ALL (SELECT 'error', harness, name, n, NULL FROM b WHERE kind = 'error' ORDER BY n DESC, harness, name LIMIT 15) UNION ALL (SELECT 'failed_tool', harness, name, n, NULL FROM b WHERE kind = 'tool_failed' ORDER BY n DESC, harness, name LIMIT 15)""",
     "codex_running_totals": f"WITH RECURSIVE {EV}, {CODEX.format(where='true')} SELECT * FROM calls",
     "recall_rollup_reports": f"""WITH RECURSIVE {ROLLUP}, {CODEX.format(where="harness = 'codex'")},
 o AS (SELECT session_uid, pos % 3 AS a, 't' || (pos % 5) AS t, 'd' || (pos % 4) AS d FROM ev WHERE harness = 'claude' AND event_type = 'message' AND pos % 4 = 0)

@@ -68,3 +68,23 @@ def test_many_rules_cover_without_a_broadcast(spark, monkeypatch):
     few = rules.covers(r).collect()
     monkeypatch.setattr(rules, "MOST_BROADCAST_RULES", 1)
     assert rules.covers(r).collect() == few and [tuple(x) for x in few] == [(1, 2)]
+
+
+def test_selections(spark):
+    s = spark.createDataFrame([("a", "claude", "h/o/r", "p", "/w/x", 5), ("b", "claude", "", "", "/w/xy", 6), ("c", "codex", "h/o", "p", "/w/x/y", 7)], "session_uid string, harness string, project_remote string, project_id string, project_cwd string, updated_ns long")
+    p = spark.createDataFrame([("a", "m1"), ("a", "m2"), ("c", "m1")], "session_uid string, machine_id string")
+    ids = lambda **f: sorted(r.session_uid for r in ds.discovery_filter(s, p, **f).collect())
+    assert ids() == ["a", "b", "c"] and ids(cwd_prefix="/w/x/") == ["a", "c"] and ids(machine="m1", since_ns=6) == ["c"]
+    assert ids(unlinked=True) == ["b"] and ids(remote="h/o") == ["a", "c"] and ids(until_ns=6, harness="claude") == ["a"]
+    import hashlib
+
+    assert ids(cwd_hash=hashlib.sha256(b"/w/xy").hexdigest()[:16]) == ["b"]
+    got = lambda **x: sorted(map(tuple, ds.select_sessions(s, p, **x).collect()))
+    assert got(where={"harness": "claude"}, exclude=["b", "z"]) == [("a", False), ("b", True)]
+    assert got(uids=["zz", "a", "a"]) == [("a", False), ("zz", False)]
+    for bad in ({}, {"where": {}}, {"where": {"harness": None, "unlinked": False}}, {"where": {"harness": "x"}, "uids": ["a"]}, {"uids": [" a"]}, {"uids": ["a"], "exclude": [""]}, {"where": {"harness": "claude"}, "most": 1}, {"uids": ["a", "b"], "most": 1}):
+        with pytest.raises(ValueError):
+            ds.select_sessions(s, p, **bad)
+    for bad in ({"cwd_prefix": "w"}, {"since_ns": 3, "until_ns": 3}, {"machine": "m" * 129}):
+        with pytest.raises(ValueError):
+            ds.discovery_filter(s, p, **bad)
