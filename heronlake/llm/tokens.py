@@ -15,8 +15,8 @@ from heronlake.llm.common import worker_state
 
 #: White space outside ASCII; a text with any of these is encoded in one piece.
 WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-#: Stems a worker remembers; beyond, it encodes without remembering.
-REMEMBERED = 300_000
+#: Stems and whole chunks a worker remembers; beyond, it encodes without remembering.
+REMEMBERED, WHOLE = 250_000, 150_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -139,7 +139,12 @@ def encode(texts: pa.Array, path: str, plain: bool = False) -> tuple[np.ndarray,
     chunks, bounds = chunked(texts)
     coded = chunks.dictionary_encode()
     letters = worker_state(f"letters {path}", lambda: Letters(tok), "tokens")
-    pairs = [stem_of(v, lower, letters) for v in coded.dictionary.to_pylist()]
+    # whole chunks are looked up first; what is not known is taken apart into stems
+    whole: dict[str, bytes] = worker_state(f"chunks {path}{as_text}", dict, "tokens")
+    values = coded.dictionary.to_pylist()
+    found = list(map(whole.get, values))
+    missing = [i for i, x in enumerate(found) if x is None]
+    pairs = [stem_of(values[i], lower, letters) for i in missing]
     needed = {x for pair in pairs for x in pair}
     new = [x for x in needed if x not in known]
     ids = known
@@ -149,7 +154,11 @@ def encode(texts: pa.Array, path: str, plain: bool = False) -> tuple[np.ndarray,
             known.update(more)
         else:
             ids = {x: known[x] for x in needed if x in known} | more
-    found = [ids[stem] + ids[tail] if tail else ids[stem] for stem, tail in pairs]
+    room = WHOLE - len(whole)
+    for n, (i, (stem, tail)) in enumerate(zip(missing, pairs)):
+        found[i] = ids[stem] + ids[tail] if tail else ids[stem]
+        if n < room:
+            whole[values[i]] = found[i]
     size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
     pool = np.frombuffer(b"".join(found), dtype="<u4")
     at = np.concatenate([[0], np.cumsum(size)])
