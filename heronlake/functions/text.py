@@ -55,10 +55,19 @@ def mcp_tool_name(server: Column, tool: Column) -> Column:
 
 
 def iec_bytes(n: Column) -> Column:
-    """A size with one decimal in the largest unit that keeps it at 1 or more."""
+    """A size with one decimal in the largest unit that keeps it at 1 or more; a half goes to the even digit.
+
+    Tenths are taken in whole numbers, as the engine's own %.1f rounds every half up.
+    """
+    n = n.cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_string("%.1f", n.cast("double") / 1024**i), F.lit(f" {unit}"))).otherwise(out)
+        size = 1024**i
+        rest = F.pmod(n, F.lit(size)) * 10
+        down, over = F.shiftright(n, 10 * i) * 10 + F.shiftright(rest, 10 * i), F.pmod(rest, F.lit(size))
+        tenths = down + F.when((over > size // 2) | ((over == size // 2) & (down % 2 == 1)), 1).otherwise(0)
+        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(n >= size, shown).otherwise(out)
     return out
 
 
