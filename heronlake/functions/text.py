@@ -10,10 +10,13 @@ CONTENT_BYTES = 256 * 1024
 
 def truncate_bytes(text: Column, n: int) -> Column:
     """The longest prefix of at most n UTF-8 bytes that ends between characters."""
-    raw = F.encode(text, "UTF-8")
-    # a cut inside a character leaves at most three bytes of it: step back to the last place that decodes
-    head = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, n - i).cast("string")) for i in range(min(4, n + 1))])
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(head, F.lit("")))
+    raw = F.make_valid_utf8(text).cast("binary")
+    # a cut before a byte that continues a character (10xxxxxx) goes back to that character's first byte, at most three
+    inside = lambda at: F.substring(raw, at + 1, 1).between(F.unhex(F.lit("80")), F.unhex(F.lit("BF")))
+    end = F.lit(max(0, n - 3))
+    for at in range(max(0, n - 2), n + 1):
+        end = F.when(~inside(at), F.lit(at)).otherwise(end)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(raw, F.lit(1), end).cast("string"))
 
 
 def holds(text: Column, query: str) -> Column:

@@ -22,21 +22,29 @@ def is_a(v: Column, kind: str) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
 
 
+def names_sealed(json: Column) -> Column:
+    """Whether JSON text, without escapes of letters, may name something sealed."""
+    low = F.lower(json)
+    return F.contains(low, F.lit("encrypted")) | F.contains(low, F.lit("cipher")) | F.contains(low, F.lit("sealed"))
+
+
 def unsealed(v: Column, depth: int = 0) -> Column:
-    """A variant object without the entries whose names say that they are sealed, in it and in objects within, to DEPTH.
+    """The JSON text of a variant object without the entries whose names say that they are sealed, in it and in objects within, to DEPTH.
 
-    Objects are sought as values and in lists; both are taken as lists, so the expression grows with the depth alone.
+    Objects are sought as values and in lists; both are taken as lists, and each level stands in the expression once,
+    so the expression grows with the depth alone.
     """
     kept = F.map_filter(v.cast("map<string,variant>"), lambda k, _: ~k.rlike(SEALED))
     if depth < DEPTH:
 
         def value(_, x: Column) -> Column:
             parts = F.when(is_a(x, "ARRAY"), x.cast("array<variant>")).when(is_a(x, "OBJECT"), F.array(x))
-            inner = F.transform(parts, lambda e: F.when(is_a(e, "OBJECT"), unsealed(e, depth + 1)).otherwise(e))
-            return F.when(is_a(x, "ARRAY"), F.parse_json(F.to_json(inner))).when(is_a(x, "OBJECT"), F.get(inner, F.lit(0))).otherwise(x)
+            inner = F.transform(parts, lambda e: F.when(is_a(e, "OBJECT"), F.parse_json(unsealed(e, depth + 1))).otherwise(e))
+            again = F.transform(F.array(inner), lambda i: F.when(i.isNull(), x).when(is_a(x, "ARRAY"), F.parse_json(F.to_json(i))).otherwise(F.get(i, F.lit(0))))
+            return F.get(again, F.lit(0))
 
         kept = F.transform_values(kept, value)
-    return F.parse_json(F.to_json(kept))
+    return F.to_json(kept)
 
 
 def shown(events: DataFrame) -> DataFrame:
@@ -46,14 +54,14 @@ def shown(events: DataFrame) -> DataFrame:
     sealed values (opaque: whether there were any), null where still over MOST_EXTRA bytes (extra_omitted) or no object.
     Only rows whose extra names something sealed are taken apart.
     """
-    object_ = F.try_parse_json("extra")
-    suspect = F.col("extra").rlike(SEALED)
-    plain = F.when(is_a(object_, "OBJECT"), F.to_json(object_))
-    out = events.withColumn("_plain", plain).withColumn("_safe", F.when(F.col("_plain").isNotNull() & suspect, F.to_json(unsealed(F.try_parse_json("_plain")))).otherwise(F.col("_plain")))
+    # an object's text alone begins with a brace
+    out = events.withColumn("_v", F.try_parse_json("extra")).withColumn("_json", F.to_json("_v"))
+    out = out.withColumn("_plain", F.when(F.startswith("_json", F.lit("{")), F.col("_json")))
+    out = out.withColumn("_safe", F.when(names_sealed(F.col("_plain")), unsealed(F.col("_v"))).otherwise(F.col("_plain")))
     large = F.coalesce(F.octet_length("_safe") > MOST_EXTRA, F.lit(False))
     size = F.octet_length("content").cast("long")
     out = out.withColumns({"content_size": size, "truncated": F.coalesce(size > MOST_TEXT, F.lit(False)), "opaque": F.coalesce(F.col("_safe") != F.col("_plain"), F.lit(False)), "extra_omitted": large})
-    return out.withColumns({"content": F.when(size.isNotNull(), truncate_bytes(F.col("content"), MOST_TEXT)), "extra": F.when(~large, F.col("_safe"))}).drop("_plain", "_safe")
+    return out.withColumns({"content": truncate_bytes(F.col("content"), MOST_TEXT), "extra": F.when(~F.col("extra_omitted"), F.col("_safe"))}).drop("_v", "_json", "_plain", "_safe")
 
 
 def decoded(lines: DataFrame, line: str = "line") -> DataFrame:
