@@ -11,8 +11,10 @@ verified against one pivot of their size band, the one that has the fewest rarer
 the text that the others were copied from. What then remains are pairs of different components: rows outside
 a shingle's largest component against all its rows, with further pivots before that while such pairs
 outnumber the postings and pivots settle most of them. A pair is bounded before its row is made, by sizes, by the
-places of the shingle it meets at and by parity sketches of whole sets. So every link between documents of
-different components would have been found, and no row is dropped.
+places of the shingle it meets at and by parity sketches of what follows that shingle in the order. In the last turn
+a pair needs to be met only at its first common shingle, before which the two sets have nothing in common: all that
+precedes counts as differences, so pairs that share many shingles hardly come again under each. So every link
+between documents of different components would have been found, and no row is dropped.
 
 The order puts first a quarter of all shingles, by hash, whose documents are counted, as far as they are not
 frequent; then the others; then the frequent ones, more frequent later. As a prefix is a fifth of a set,
@@ -36,7 +38,9 @@ from heronlake.llm.wordhash import buffers, mixed
 #: The bound of the table of frequent shingles that is broadcast.
 MOST_FREQUENT = 1 << 22
 WORD_BITS = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = ("s0", "s1", "s2", "s3")
+#: Words of a parity sketch: 64 bits each.
+SKETCH = tuple(f"s{i}" for i in range(8))
+SKETCH_BITS = 64 * len(SKETCH)
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -112,15 +116,49 @@ def in_order(sets: list[np.ndarray], late: tuple[np.ndarray, np.ndarray]) -> Ite
         at += len(s)
 
 
+def shares(hashes: np.ndarray) -> np.ndarray:
+    """The bit of a sketch that each shingle turns."""
+    return ((hashes >> np.uint64(40)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """256 bits of each set, as four words: the parity of its members in each of 256 shares of the hashes.
+    """SKETCH_BITS bits of each set, as words: the parity of its members in each share of the hashes.
 
     Two sets differ in at least as many members as their sketches do in bits.
     """
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    odd = np.bincount(of * 256 + ((flat >> np.uint64(40)) & np.uint64(255)).astype(np.int64), minlength=len(sets) * 256) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+    odd = np.bincount(of * SKETCH_BITS + shares(flat), minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1, bitorder="little").view(np.int64)
+
+
+def sketches_before(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of lists that lie one after the other from `starts` on: for each member, the sketch of those before it in its list."""
+    bit, n = shares(flat), len(flat)
+    turned = np.zeros((n + 1, len(SKETCH)), np.uint64)
+    turned[np.arange(1, n + 1), bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
+    np.bitwise_xor.accumulate(turned, axis=0, out=turned)
+    sizes = np.diff(np.append(starts, n))
+    return (turned[:n] ^ np.repeat(turned[starts], sizes, axis=0)).view(np.int64)
+
+
+def prefix_postings(heads: DataFrame) -> DataFrame:
+    """gid, pos, h and the sketch of the shingles before h, for each shingle of each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                some = batch.slice(i, 200)
+                sizes = np.array([len(x) for x in some.column("prefix")], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                h = some.column("prefix").flatten().to_numpy(zero_copy_only=False)
+                before = np.ascontiguousarray(sketches_before(h.view(np.uint64), starts).T)
+                pos = np.arange(len(h)) - np.repeat(starts, sizes)
+                gid = np.repeat(some.column("gid").to_numpy(zero_copy_only=False), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(pos.astype(np.int32)), pa.array(h), *map(pa.array, before)], ["gid", "pos", "h", *SKETCH])
+
+    return heads.select("gid", "prefix").mapInArrow(run, f"gid long, pos int, h long, {', '.join(f'{c} long' for c in SKETCH)}")
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame:
@@ -144,7 +182,7 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, often) -> DataFrame
                 sketch = [pa.array(c) for c in np.ascontiguousarray(sketches(sets).T)]
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(ns, pa.int64()), pa.array(whole, pa.binary()), pa.array(first, pa.binary()), *sketch, pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "set_hash", "prefix_hash", *SKETCH, "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_hash binary, prefix_hash binary, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id long, n long, set_hash binary, prefix_hash binary, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
 def wide_sketch(s: np.ndarray) -> bytes:
@@ -214,7 +252,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
 
 def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The prefix table, its documents with the class each belongs to (id, rep), and the postings of
-    classes under keys that several classes share: h, id, n, pos, band, sketch; and how many pairs meet under them.
+    classes under keys that several classes share: h, id, n, pos, band, and the sketch of the set from h on; and how
+    many pairs meet under them.
     """
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent(docs, size))
@@ -235,16 +274,18 @@ def postings(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     heads = lists.where("not perhaps").unionByName(unsure).select(F.col("id").alias("gid"), "n", "prefix", *SKETCH)
     heads = stored(heads, "jaccard-heads")
 
-    posts = heads.select("gid", F.posexplode("prefix").alias("pos", "h"))
-    shared = stored(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-shared")
+    shared = stored(heads.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-shared")
     meetings = shared.agg(F.sum(F.col("c") * (F.col("c") - 1))).first()[0] or 0
     shared = shared.select("h")
     release(spark)
-    posts = stored(perhaps_in(posts, shared, ["h"]).where("perhaps").join(shared.hint("merge"), "h", "left_semi").select("gid", "pos", "h"), "jaccard-shared-postings")
+    posts = perhaps_in(prefix_postings(heads), shared, ["h"]).where("perhaps").drop("perhaps")
+    before = [F.col(c).alias(f"before_{c}") for c in SKETCH]
+    posts = stored(posts.join(shared.hint("merge"), "h", "left_semi").select("gid", "pos", "h", *before), "jaccard-shared-postings")
     drop_stored(shared)
     # groups expand to their classes, and the group itself is a key of its classes
     of_group = heads.select("gid", F.col("gid").alias("id"), "n", *SKETCH).unionByName(inner.where("id <> gid").select("gid", "id", "n", *SKETCH))
-    keys = posts.join(of_group.hint("merge"), "gid").select("h", "id", "n", "pos", *SKETCH)
+    after = [F.col(c).bitwiseXOR(F.col(f"before_{c}")).alias(c) for c in SKETCH]
+    keys = posts.join(of_group.hint("merge"), "gid").select("h", "id", "n", "pos", *after)
     whole = inner.select(F.xxhash64("gid", "n", F.lit("group")).alias("h"), "id", "n", F.lit(0).alias("pos"), *SKETCH)
     banded = keys.unionByName(whole).withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int"))
     keys = stored(banded, "jaccard-keys")
@@ -268,13 +309,19 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     several = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id")
     links = stored(member.join(several.hint("merge"), "id", "left_semi").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-links")
 
-    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Distinct pairs of documents of different components whose postings under one key may be their first in common."""
+    def candidates(left: DataFrame, right: DataFrame, first: bool) -> DataFrame:
+        """Distinct pairs of documents of different components that may be similar, by their postings under one key.
+
+        first: only where it may be their first key in common. Else a pair may come under other keys too, as it must where
+        not all rows of a key are compared.
+        """
         right = right.select("h", "band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp", *SKETCH)])
         both = F.col("n") + F.col("n2")
         # up to the first shingle in common, in the order of all shingles, neither has any of the other's
         most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        # members that differ: of those that come before this key, at least the difference in number; of the others, by sketch
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
+        apart += F.col("pos") + F.col("pos2") if first else F.abs(F.col("pos") - F.col("pos2"))
         near = (F.col("comp") != F.col("comp2")) & (most * (den + num) >= both * num) & (apart * (den + num) <= both * (den - num))
         met = left.join(right.hint("merge"), ["h", "band"]).where(near)
         return stored(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "jaccard-pairs")
@@ -286,7 +333,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         # pivots of further turns are drawn by hash
         rank = F.col("pos") if turn == 0 else F.xxhash64("id", F.lit(turn))
         lead = state.groupBy("h", "band").agg(F.min(F.struct(rank.alias("r"), "id", "comp", "n", "pos", *SKETCH)).alias("p"))
-        return candidates(state, lead.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p.*"))
+        return candidates(state, lead.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p.*"), first=False)
 
     def with_found(links: DataFrame, pairs: DataFrame) -> DataFrame:
         found = verified(pairs, rows, size, num, den)
@@ -311,7 +358,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         before = left
         if last:
             outside = opened.join(top.select("h", "top").hint("merge"), "h").where("comp <> top").drop("top")
-            pairs = candidates(outside.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))), opened)
+            pairs = candidates(outside.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))), opened, first=True)
         else:
             pairs = near_pivots(opened.join(top.select("h").hint("merge"), "h", "left_semi"), turn)
         links = with_found(links, pairs)
