@@ -17,7 +17,7 @@ from heronlake.llm.tokens import tokenizer_path
 
 ORACLE_SQL = None
 #: Documents that go to a Python worker at a time.
-BATCH = 1000
+BATCH = 500
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

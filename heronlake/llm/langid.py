@@ -51,8 +51,9 @@ def fit(rows: DataFrame, label: str, train_rows: int, language_rows: int) -> tup
     if not sizes:
         return [], np.zeros((0, CODES + 1), np.float32)
     total, names = sum(sizes.values()), sorted(sizes)
-    rates = [(x, i, min(1.0, max(train_rows / total, language_rows / sizes[x]))) for i, x in enumerate(names)]
-    rates = rows.sparkSession.createDataFrame(rates, "label string, lang long, rate double")
+    rates = [min(1.0, max(train_rows / total, language_rows / sizes[x])) for x in names]
+    # as an Arrow table, which executors read without Python: rows from a list would keep workers of their own there
+    rates = rows.sparkSession.createDataFrame(pa.table({"label": pa.array(names, pa.string()), "lang": pa.array(range(len(names)), pa.int64()), "rate": pa.array(rates, pa.float64())}))
     some = rows.select("doc_id", "text", F.col(label).alias("label")).join(F.broadcast(rates), "label")
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
 

@@ -13,7 +13,8 @@ from heronlake.llm.common import worker_state
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0x9E3779B97F4A7C15
-BUFFER = 1 << 20
+#: A dozen arrays of eight bytes for each byte of a buffer live in a worker at once.
+BUFFER = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
